@@ -30,6 +30,9 @@ from plugload.settings import Settings
 OWN, PREVIOUS, CORE, BELOW, ABOVE, SKIP, EARLIER = range(7)
 
 PACK_ROWS = 200_000
+# A table with one small row per bin is broadcast up to this many bins. There are 2 * rows / block_rows bins, and
+# some more where spans end inside a block.
+BROADCAST_BINS = 200_000
 
 
 def span_widths(keys: Sequence[str]) -> int:
@@ -59,10 +62,10 @@ def sliding_median(
     if (largest or 0) <= s.group_rows:
         return _packed_medians(rows, keys, width_ms, span_ms, total or 0)
     if not keys:
-        return _dense_medians(rows, keys, width_ms, s)
+        return _dense_medians(rows, keys, width_ms, total, s)
     dense = spans.where(F.col("count") > s.group_rows).select(*keys).distinct()
     usual = _packed_medians(rows.join(dense, keys, "left_anti"), keys, width_ms, span_ms, total)
-    return usual.unionByName(_dense_medians(rows.join(dense, keys, "left_semi"), keys, width_ms, s))
+    return usual.unionByName(_dense_medians(rows.join(dense, keys, "left_semi"), keys, width_ms, total, s))
 
 
 def _into_spans(rows: DataFrame, width_ms: int, span_ms: int) -> DataFrame:
@@ -93,7 +96,7 @@ def _packed_medians(rows: DataFrame, keys: list[str], width_ms: int, span_ms: in
     return spread.groupBy("pack").applyInPandas(_answer(keys, width_ms), _schema(rows, keys))
 
 
-def _dense_medians(rows: DataFrame, keys: list[str], width_ms: int, s: Settings) -> DataFrame:
+def _dense_medians(rows: DataFrame, keys: list[str], width_ms: int, total: int, s: Settings) -> DataFrame:
     """Sliding medians for windows of any size; every task sees at most a few blocks of block_rows rows.
 
     1. Number blocks along (key, span, value) -> ``bin`` and along (key, span, event time) -> ``chunk``. Here a
@@ -122,22 +125,30 @@ def _dense_medians(rows: DataFrame, keys: list[str], width_ms: int, s: Settings)
             F.min(F.when(~leaves, F.struct((-F.col("event")).alias("at"), "id"))).alias("newest"),
         )
         .withColumn("continued", F.lead("first").over(along) == F.col("last"))
+        .withColumn("no", F.row_number().over(along))
     )
     # A chunk whose readings all continue in the next one has nothing to answer.
     asked = chunks.where("first <> last or not coalesce(continued, false)")
 
-    counts = spread.groupBy(*group, "bin", "chunk").agg(
-        F.count(F.when(~leaves, F.col("value"))).alias("entering"),
-        F.count(F.when(leaves, F.col("value"))).alias("leaving"),
+    counts = (
+        spread.groupBy(*group, "bin", "chunk").agg(
+            F.count(F.when(~leaves, F.col("value"))).alias("entering"),
+            F.count(F.when(leaves, F.col("value"))).alias("leaving"),
+        )
+        .join(chunks.select(*group, "chunk", "no"), [*group, "chunk"]).drop("chunk")
+    )
+    # Every bin needs a count for every chunk of its span, also where no event of the chunk lies in the bin.
+    last_no = chunks.groupBy(*group).agg(F.max("no").alias("last_no"))
+    cells = counts.select(*group, "bin").distinct().join(last_no, group).select(
+        *group, "bin", F.explode(F.sequence(F.lit(1), "last_no")).alias("no")
     )
-    cells = counts.select(*group, "bin").distinct().join(chunks.select(*group, "chunk"), group)
-    cells = cells.join(counts, [*group, "bin", "chunk"], "left").na.fill(0, ["entering", "leaving"])
-    over_chunks = Window.partitionBy(*group, "bin").orderBy("chunk")
+    cells = cells.join(counts, [*group, "bin", "no"], "left").na.fill(0, ["entering", "leaving"])
+    over_chunks = Window.partitionBy(*group, "bin").orderBy("no")
     core = F.coalesce(
         F.sum("entering").over(over_chunks.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
     ) + F.coalesce(F.sum("leaving").over(over_chunks.rowsBetween(1, Window.unboundedFollowing)), F.lit(0))
     over_bins = Window.partitionBy(*group, "chunk").orderBy("bin")
-    ranked = cells.withColumn("core", core).join(asked, [*group, "chunk"])
+    ranked = cells.withColumn("core", core).join(asked, [*group, "no"])
     ranked = ranked.withColumn(
         "under", F.coalesce(F.sum("core").over(over_bins.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     ).withColumn("size", F.sum("core").over(Window.partitionBy(*group, "chunk")))
@@ -161,8 +172,11 @@ def _dense_medians(rows: DataFrame, keys: list[str], width_ms: int, s: Settings)
     present = F.when(F.col("kind") == PREVIOUS, F.col("chunk") > F.col("for_chunk")).otherwise(
         F.col("chunk") < F.col("for_chunk")
     )
+    bins = band.select(*group, "bin").distinct()
+    if 2 * total // s.block_rows <= BROADCAST_BINS:
+        bins = F.broadcast(bins)
     core_values = (
-        spread.where("value is not null").withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int"))
+        spread.where("value is not null").join(bins, [*group, "bin"], "left_semi").withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int"))
         .join(wanted, [*group, "bin", "salt"]).where(present)
         .groupBy(*group, F.col("for_chunk").alias("chunk"), "first", "value").agg(F.count("*").alias("n"))
         .select(*shape(F.col("first"), F.col("value"), F.col("n"), CORE, none))
