@@ -88,8 +88,7 @@ def _archive_last_n(spark, d):
 def _history_median(keys):
     def run(spark, d):
         averages = P.key_averages(_rows(spark, d), keys, SETTINGS)
-        live = averages.where("slice_idx >= 0").select(*keys, "slice_idx")
-        medians = A.history_median(averages, live, keys, SETTINGS)
+        medians = A.history_of_live(averages, keys, SETTINGS)
         return medians.select(*keys, "target_slice", _r("history_median"), "history_count")
 
     return run

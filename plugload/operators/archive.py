@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from plugload.functions.columns import day_of, slice_index, slot_of
 from plugload.operators.blocks import running
@@ -48,25 +48,43 @@ def last_n_list(averages: DataFrame, keys: Sequence[str], n: int, s: Settings) -
     return latest.groupBy(*keys, "slot").agg(pairs["average_load"].alias("averages"))
 
 
-def history_median(
-    averages: DataFrame, current: DataFrame, keys: Sequence[str], s: Settings
-) -> DataFrame:
+def history_median(averages: DataFrame, current: DataFrame, keys: Sequence[str], s: Settings) -> DataFrame:
     """Per row of ``current`` the median at the same time of day over the 1..history_days days before its target.
 
     The target lies lookahead_slices after slice_idx. Rows without history are dropped. Averages and targets share
     one shuffle by (key, slot); a group there holds at most two rows per calendar day.
     """
-    target = F.col("slice_idx") + s.lookahead_slices
-    asked = current.select(
-        *keys, slot_of(target, s).alias("slot"), day_of(target, s).alias("day"),
-        F.lit(None).cast("double").alias("average_load"), F.struct(*current.columns).alias("asked"),
-    )
+    asked = current.select(*_at_target(keys, s), F.lit(None).cast("double").alias("average_load"), _asked(current))
     nothing = F.lit(None).cast(asked.schema["asked"].dataType).alias("asked")
     history = with_day_and_slot(averages, s).select(*keys, "slot", "day", "average_load", nothing)
+    return _over_history(history.unionByName(asked), keys, s)
+
+
+def history_of_live(averages: DataFrame, keys: Sequence[str], s: Settings) -> DataFrame:
+    """history_median for the live rows among the averages, which are computed and shuffled only once."""
+    current = averages.withColumnRenamed("average_load", "current_load")
+    as_history = F.struct(
+        *(F.col(k) for k in keys), slot_of(F.col("slice_idx"), s).alias("slot"), day_of(F.col("slice_idx"), s).alias("day"),
+        F.col("current_load").alias("average_load"), F.when(F.lit(False), _asked(current)).alias("asked"),
+    )
+    as_target = F.struct(*_at_target(keys, s), F.lit(None).cast("double").alias("average_load"), _asked(current))
+    roles = F.when(F.col("slice_idx") >= 0, F.array(as_history, as_target)).otherwise(F.array(as_history))
+    return _over_history(current.select(F.explode(roles).alias("row")).select("row.*"), keys, s)
+
+
+def _asked(current: DataFrame) -> Column:
+    return F.struct(*current.columns).alias("asked")
+
+
+def _at_target(keys: Sequence[str], s: Settings) -> list[Column]:
+    target = F.col("slice_idx") + s.lookahead_slices
+    return [*(F.col(k) for k in keys), slot_of(target, s).alias("slot"), day_of(target, s).alias("day")]
+
+
+def _over_history(rows: DataFrame, keys: Sequence[str], s: Settings) -> DataFrame:
     earlier = Window.partitionBy(*keys, "slot").orderBy("day").rangeBetween(-s.history_days, -1)
     return (
-        history.unionByName(asked)
-        .withColumn("history_median", F.percentile("average_load", 0.5).over(earlier))
+        rows.withColumn("history_median", F.percentile("average_load", 0.5).over(earlier))
         .withColumn("history_count", F.count("average_load").over(earlier))
         .where("asked is not null and history_median is not null")
         .select("asked.*", "history_median", "history_count")

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from plugload.session import checkpoint
+from plugload.session import materialized
 from plugload.settings import Settings
 
 
@@ -27,7 +27,7 @@ def in_blocks(df: DataFrame, order: Sequence[str | Column], block_rows: int, nam
     """Sort globally by ``order`` and number the blocks of that sort; block numbers grow with the order.
 
     monotonically_increasing_id is (partition << 33) + row, so a shift by log2(block_rows) numbers runs of
-    block_rows sorted rows. The caller must checkpoint before using the number more than once.
+    block_rows sorted rows. The caller must write the result before using the number more than once.
     """
     shift = block_rows.bit_length() - 1
     ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
@@ -55,7 +55,7 @@ def running(
 
     names = {**{f"_sum_{k}": c for k, c in sums.items()}, **{f"_prev_{k}": c for k, c in previous.items()}}
     rows = df.select("*", *(c.alias(n) for n, c in names.items()))
-    rows = checkpoint(in_blocks(rows, [*keys, *order], s.block_rows, "_block"))
+    rows = materialized(in_blocks(rows, [*keys, *order], s.block_rows, "_block"))
     group = [*keys, "_block"]
 
     # One row per (key, block): block totals and the last value of the block, then their running form.

@@ -3,10 +3,9 @@
 Time is cut into spans that are multiples of the width; a reading also goes into the next span if a window
 there can reach it. Spans are independent, so the work spreads over keys and time.
 
-* Usual case: every (key, span) has at most ``group_rows`` rows. Spans are packed by hash into Python groups of
+* Usual case: a (key, span) has at most ``group_rows`` rows. Such spans are packed by hash into Python groups of
   moderate size and one numpy pass answers all windows of a pack.
-* Dense case: keys with a larger span go through ``_dense_medians``, which never puts a whole window into one
-  task. The windows at consecutive readings differ by few rows, so for a block of readings only the rows that
+* Dense case: larger spans go through ``_dense_medians``, which never puts a whole window into one task. The windows at consecutive readings differ by few rows, so for a block of readings only the rows that
   enter or leave during the block and a thin band of values around the median are needed; the rest is counted.
 """
 
@@ -20,7 +19,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from plugload.functions.ranks import select_in_ranges
 from plugload.operators.blocks import in_blocks
-from plugload.session import checkpoint
+from plugload.session import materialized
 from plugload.settings import Settings
 
 # Row kinds inside a group. OWN rows belong to the span and ask for a median; PREVIOUS rows come from the time
@@ -30,9 +29,9 @@ from plugload.settings import Settings
 OWN, PREVIOUS, CORE, BELOW, ABOVE, SKIP, EARLIER = range(7)
 
 PACK_ROWS = 200_000
-# A table with one small row per bin is broadcast up to this many bins. There are 2 * rows / block_rows bins, and
-# some more where spans end inside a block.
-BROADCAST_BINS = 200_000
+# Tables of small rows are broadcast up to this many rows: the dense spans, at most 2 * rows / group_rows, and the
+# bins, 2 * rows / block_rows and some more where spans end inside a block.
+BROADCAST_ROWS = 200_000
 
 
 def span_widths(keys: Sequence[str]) -> int:
@@ -59,13 +58,23 @@ def sliding_median(
     span_ms = width_ms * span_widths(keys)
     spans = span_sizes(rows, keys, width_ms)
     total, largest = sizes or spans.agg(F.sum("count"), F.max("count")).first()
-    if (largest or 0) <= s.group_rows:
-        return _packed_medians(rows, keys, width_ms, span_ms, total or 0)
-    if not keys:
-        return _dense_medians(rows, keys, width_ms, total, s)
-    dense = spans.where(F.col("count") > s.group_rows).select(*keys).distinct()
-    usual = _packed_medians(rows.join(dense, keys, "left_anti"), keys, width_ms, span_ms, total)
-    return usual.unionByName(_dense_medians(rows.join(dense, keys, "left_semi"), keys, width_ms, total, s))
+    total, largest = total or 0, largest or 0
+    packs = max(df.sparkSession.sparkContext.defaultParallelism, -(-total // PACK_ROWS))
+    spread = _into_spans(rows, width_ms, span_ms)
+    if 2 * largest <= s.group_rows:  # a span and what it copies from the one before
+        return _packed_medians(spread, keys, width_ms, packs)
+
+    reached = F.explode(F.array("span", F.col("span") + 1)).alias("span")
+    dense = spans.select(*keys, reached, "count").groupBy(*keys, "span").agg(F.sum("count").alias("count"))
+    dense = dense.where(F.col("count") > s.group_rows).select(*keys, F.col("span").alias("long_span"))
+    if 2 * total // s.group_rows <= BROADCAST_ROWS:
+        dense = F.broadcast(dense)
+    on = [*keys, "long_span"]
+    usual = spread.withColumn("long_span", F.col("span")).join(dense, on, "left_anti").drop("long_span")
+    narrow = _into_spans(rows, width_ms, width_ms)
+    narrow = narrow.withColumn("long_span", F.floor(F.col("span") / span_widths(keys)))
+    narrow = narrow.join(dense, on, "left_semi").drop("long_span")
+    return _packed_medians(usual, keys, width_ms, packs).unionByName(_dense_medians(narrow, keys, width_ms, total, s))
 
 
 def _into_spans(rows: DataFrame, width_ms: int, span_ms: int) -> DataFrame:
@@ -87,16 +96,15 @@ def _schema(df: DataFrame, keys: list[str]) -> str:
     return ", ".join([*parts, "ts_ms bigint", "median double", "first_id bigint"])
 
 
-def _packed_medians(rows: DataFrame, keys: list[str], width_ms: int, span_ms: int, total: int) -> DataFrame:
-    packs = max(rows.sparkSession.sparkContext.defaultParallelism, -(-total // PACK_ROWS))
-    spread = _into_spans(rows, width_ms, span_ms).select(
+def _packed_medians(spread: DataFrame, keys: list[str], width_ms: int, packs: int) -> DataFrame:
+    packed = spread.select(
         *keys, "span", "ts_ms", "value", F.lit(1).cast("long").alias("n"), "kind", "id",
         F.pmod(F.xxhash64(*keys, "span"), F.lit(packs)).alias("pack"),
     )
-    return spread.groupBy("pack").applyInPandas(_answer(keys, width_ms), _schema(rows, keys))
+    return packed.groupBy("pack").applyInPandas(_answer(keys, width_ms), _schema(spread, keys))
 
 
-def _dense_medians(rows: DataFrame, keys: list[str], width_ms: int, total: int, s: Settings) -> DataFrame:
+def _dense_medians(spread: DataFrame, keys: list[str], width_ms: int, total: int, s: Settings) -> DataFrame:
     """Sliding medians for windows of any size; every task sees at most a few blocks of block_rows rows.
 
     1. Number blocks along (key, span, value) -> ``bin`` and along (key, span, event time) -> ``chunk``. Here a
@@ -111,11 +119,10 @@ def _dense_medians(rows: DataFrame, keys: list[str], width_ms: int, total: int,
     group = [*keys, "span"]
     leaves = F.col("kind") == PREVIOUS
     event = F.when(leaves, F.col("ts_ms") + width_ms).otherwise(F.col("ts_ms"))
-    spread = _into_spans(rows, width_ms, width_ms).withColumn("event", event)
-    spread = in_blocks(spread, [*group, "value", "ts_ms", "id"], s.block_rows, "bin")
+    spread = in_blocks(spread.withColumn("event", event), [*group, "value", "ts_ms", "id"], s.block_rows, "bin")
     # Leaving rows first: the last chunk with a given event time then holds an entering row, if there is any.
     spread = spread.withColumn("phase", -F.col("kind"))
-    spread = checkpoint(in_blocks(spread, [*group, "event", "phase", "id"], s.block_rows, "chunk"))
+    spread = materialized(in_blocks(spread, [*group, "event", "phase", "id"], s.block_rows, "chunk"))
 
     along = Window.partitionBy(*group).orderBy("chunk")
     chunks = (
@@ -173,7 +180,7 @@ def _dense_medians(rows: DataFrame, keys: list[str], width_ms: int, total: int,
         F.col("chunk") < F.col("for_chunk")
     )
     bins = band.select(*group, "bin").distinct()
-    if 2 * total // s.block_rows <= BROADCAST_BINS:
+    if 2 * total // s.block_rows <= BROADCAST_ROWS:
         bins = F.broadcast(bins)
     core_values = (
         spread.where("value is not null").join(bins, [*group, "bin"], "left_semi").withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int"))
@@ -198,7 +205,7 @@ def _dense_medians(rows: DataFrame, keys: list[str], width_ms: int, total: int,
     asked_events = events.join(asked.select(*group, "chunk"), [*group, "chunk"], "left_semi")
     parts = asked_events.unionByName(core_values).unionByName(below).unionByName(over).unionByName(skip)
     parts = parts.unionByName(earlier)
-    return parts.groupBy("chunk").applyInPandas(_answer(keys, width_ms), _schema(rows, keys))
+    return parts.groupBy("chunk").applyInPandas(_answer(keys, width_ms), _schema(spread, keys))
 
 
 def _answer(keys: list[str], width_ms: int):

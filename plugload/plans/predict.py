@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from plugload.functions.columns import predicted, slice_index, slice_label
-from plugload.operators.archive import history_median, house_slices, plug_slices
+from plugload.operators.archive import history_of_live, house_slices, plug_slices
 from plugload.operators.blocks import largest_group, running
 from plugload.schema import HOUSE, PLUG
 from plugload.settings import Settings
@@ -44,17 +44,14 @@ def predict(readings: DataFrame, keys: Sequence[str], s: Settings) -> DataFrame:
     The archive is everything in ``readings``: live data become archive a day later.
     """
     rows = slice_rows(readings, s)
-    averages = key_averages(rows, keys, s)
-    current = averages.where("slice_idx >= 0").withColumnRenamed("average_load", "current_load")
-    return _finish(history_median(averages, current, keys, s), s)
+    return _finish(history_of_live(key_averages(rows, keys, s), keys, s), s)
 
 
 def predict_per_reading(readings: DataFrame, keys: Sequence[str], s: Settings) -> DataFrame:
     """The same with one row per live reading, current_load being the average up to that reading."""
     rows = slice_rows(readings, s)
-    averages = key_averages(rows, keys, s)
-    slices = averages.where("slice_idx >= 0").select(*keys, "slice_idx")
-    medians = history_median(averages, slices, keys, s)
+    medians = history_of_live(key_averages(rows, keys, s), keys, s)
+    medians = medians.select(*keys, "slice_idx", "target_slice", "history_median")
     live = running_average(between(rows, s.live_start_ms), keys, s)
     return _finish(live.join(medians, [*keys, "slice_idx"]), s)
 

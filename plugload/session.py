@@ -27,8 +27,6 @@ def shared_dir(spark: SparkSession) -> str:
         folder = _local_dirs.setdefault(context.applicationId, "")
         if not folder:
             folder = _local_dirs[context.applicationId] = tempfile.mkdtemp(prefix="plugload-")
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(folder)
     return folder
 
 
@@ -36,6 +34,8 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+def materialized(df: DataFrame) -> DataFrame:
+    """Write to the shared folder and read back: cuts the lineage and fixes partition-dependent columns."""
+    folder = new_folder(df.sparkSession, "table")
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)

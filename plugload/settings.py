@@ -24,7 +24,7 @@ class Settings:
     jdbc_batch_rows: int = 5_000
     # Largest number of rows that one window partition or one Python group may hold.
     # Larger groups are cut into blocks of at most block_rows rows.
-    group_rows: int = 4_000_000
+    group_rows: int = 2_000_000
     block_rows: int = 1 << 20
 
     def __post_init__(self) -> None:
