@@ -159,8 +159,7 @@ def _reservoir(keys, k):
 
 
 def _hist_lower_median(spark, d):
-    hist = M.histogram(_load_readings(spark, d), HOUSE)
-    return M.lower_median_of_histogram(hist, HOUSE, SETTINGS).select(*HOUSE, "median", "n")
+    return M.lower_median(_load_readings(spark, d), HOUSE, SETTINGS).select(*HOUSE, "median", "n")
 
 
 def _plug_flag_changes(spark, d):

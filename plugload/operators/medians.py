@@ -15,6 +15,12 @@ def histogram(df: DataFrame, keys: Sequence[str], value: str = "value") -> DataF
     return df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n"))
 
 
+def rows_bound(df: DataFrame, keys: Sequence[str | Column], s: Settings, copies: int = 1) -> int | None:
+    """Rows of the largest group if they prove that its histogram is small; None if the histogram must be counted."""
+    most = copies * largest_group(df, keys)
+    return most if most <= s.group_rows else None
+
+
 def median_of_histogram(
     hist: DataFrame, keys: Sequence[str], s: Settings, value: str = "value", largest: int | None = None
 ) -> DataFrame:
@@ -34,9 +40,11 @@ def median_of_histogram(
     )
 
 
-def lower_median_of_histogram(hist: DataFrame, keys: Sequence[str], s: Settings, value: str = "value") -> DataFrame:
+def lower_median_of_histogram(
+    hist: DataFrame, keys: Sequence[str], s: Settings, value: str = "value", largest: int | None = None
+) -> DataFrame:
     """Smallest value whose cumulative count reaches (n + 1) / 2: columns keys, median, n."""
-    return _middle_values(hist, keys, s, value, None).select(*keys, F.col("lower").alias("median"), "n")
+    return _middle_values(hist, keys, s, value, largest).select(*keys, F.col("lower").alias("median"), "n")
 
 
 def _middle_values(hist: DataFrame, keys: Sequence[str], s: Settings, value: str, largest: int | None) -> DataFrame:
@@ -53,7 +61,12 @@ def _middle_values(hist: DataFrame, keys: Sequence[str], s: Settings, value: str
 
 def exact_median(df: DataFrame, keys: Sequence[str], s: Settings, value: str = "value") -> DataFrame:
     """Exact median per key, for groups of any size."""
-    return median_of_histogram(histogram(df, keys, value), keys, s, value)
+    return median_of_histogram(histogram(df, keys, value), keys, s, value, rows_bound(df, keys, s))
+
+
+def lower_median(df: DataFrame, keys: Sequence[str], s: Settings, value: str = "value") -> DataFrame:
+    """Exact lower median per key, for groups of any size."""
+    return lower_median_of_histogram(histogram(df, keys, value), keys, s, value, rows_bound(df, keys, s))
 
 
 def reservoir_median(
@@ -90,4 +103,7 @@ def grid_histogram(df: DataFrame, keys: Sequence[str], width_ms: int, slide_ms:
 
 
 def grid_median(df: DataFrame, keys: Sequence[str], width_ms: int, slide_ms: int, s: Settings) -> DataFrame:
-    return median_of_histogram(grid_histogram(df, keys, width_ms, slide_ms), [*keys, "window_end"], s)
+    # A window touches two aligned spans of its width.
+    bound = rows_bound(df, [*keys, F.floor(F.col("ts_ms") / width_ms)], s, copies=2)
+    hist = grid_histogram(df, keys, width_ms, slide_ms)
+    return median_of_histogram(hist, [*keys, "window_end"], s, largest=bound)

@@ -256,8 +256,15 @@ def _answer(keys: list[str], width_ms: int):
         median = np.full(len(at), np.nan)
         if some.any():
             lo, hi, size, under = lo[some], hi[some], size[some], below[at_group[some]]
-            lower = levels[select_in_ranges(codes, weight, lo, hi, (size - 1) // 2 - under)]
-            upper = levels[select_in_ranges(codes, weight, lo, hi, size // 2 - under)]
+            # Lower and upper middle value in one descent; they are the same row if the size is odd.
+            even = np.flatnonzero(size % 2 == 0)
+            ranks = np.concatenate(((size - 1) // 2 - under, size[even] // 2 - under[even]))
+            found = select_in_ranges(
+                codes, weight, np.concatenate((lo, lo[even])), np.concatenate((hi, hi[even])), ranks
+            )
+            lower = levels[found[: len(size)]]
+            upper = lower.copy()
+            upper[even] = levels[found[len(size):]]
             median[some] = lower + (upper - lower) / 2
         out = pdf.loc[np.searchsorted(position, at), [*keys, "ts_ms"]]
         return out.assign(median=median, first_id=first_id)[result]

@@ -13,7 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from plugload.functions.columns import predicted, slice_index, slice_label
 from plugload.operators.archive import history_median
-from plugload.plans.outliers import count_moves, flag_changes, grid_flags
+from plugload.plans.outliers import Sizes, count_moves, flag_changes, grid_flags
 from plugload.plans.predict import key_averages
 from plugload.operators.blocks import running
 from plugload.schema import HOUSE, PLUG
@@ -22,6 +22,12 @@ from plugload.sources.readings import load_only, slice_rows
 
 Archive = Callable[[], DataFrame]
 
+FLAGS = "house_id int, household_id int, plug_id int, flag boolean"
+CHANGES = (
+    "house_id int, household_id int, plug_id int, window_end bigint, flag boolean, "
+    "above_count bigint, plug_count bigint, percentage double"
+)
+
 
 def _interval(ms: int) -> str:
     return f"{ms} milliseconds"
@@ -91,17 +97,24 @@ def stream_outliers(
     def write(batch: DataFrame, batch_id: int) -> None:
         part = f"batch={batch_id}"
         batch.write.mode("overwrite").parquet(f"{folder}/histogram/{part}")
-        hist = spark.read.parquet(f"{folder}/histogram/{part}")
+        hist = spark.read.schema(batch.schema).parquet(f"{folder}/histogram/{part}")
         known = _known_flags(spark, folder, batch_id)
-
-        grid_flags(hist, s).write.mode("overwrite").parquet(f"{folder}/windows/{part}")
+        rows = hist.count()  # from the Parquet footers
+        if rows == 0:
+            known.write.mode("overwrite").parquet(f"{folder}/flags/{part}")
+            _empty(spark, CHANGES).write.mode("overwrite").parquet(f"{folder}/changes/{part}")
+            return
+        # The whole batch bounds every group; if that is no proof of small groups they are counted one by one.
+        sizes = Sizes(rows, rows, rows, rows, rows) if rows <= s.group_rows else None
+        grid_flags(hist, s, sizes).write.mode("overwrite").parquet(f"{folder}/windows/{part}")
         flags = spark.read.parquet(f"{folder}/windows/{part}")
         latest = flags.groupBy(*PLUG).agg(F.max_by("flag", "window_end").alias("flag"))
         kept = known.join(latest, PLUG, "left_anti")
         latest.unionByName(kept).write.mode("overwrite").parquet(f"{folder}/flags/{part}")
 
-        changes = continued_changes(flags, known, s)
-        continued_percentages(changes, known, s).write.mode("overwrite").parquet(f"{folder}/changes/{part}")
+        most = sizes.house if sizes else None
+        result = continued_percentages(continued_changes(flags, known, s, most), known, s, most)
+        result.write.mode("overwrite").parquet(f"{folder}/changes/{part}")
 
     return (
         window_histogram(stream, slide_ms, s).writeStream.outputMode("append").foreachBatch(write)
@@ -109,28 +122,37 @@ def stream_outliers(
     )
 
 
+def _empty(spark: SparkSession, schema: str) -> DataFrame:
+    columns = [part.split() for part in schema.split(", ")]
+    return spark.range(0).select(*(F.lit(None).cast(kind).alias(name) for name, kind in columns))
+
+
 def _known_flags(spark: SparkSession, folder: str, batch_id: int) -> DataFrame:
-    schema = "house_id int, household_id int, plug_id int, flag boolean"
     if batch_id == 0:
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(f"{folder}/flags/batch={batch_id - 1}")
+        return _empty(spark, FLAGS)
+    return spark.read.schema(FLAGS).parquet(f"{folder}/flags/batch={batch_id - 1}")
+
 
+def continued_changes(flags: DataFrame, known: DataFrame, s: Settings, largest: int | None = None) -> DataFrame:
+    """Flag changes of a batch; the known flags stand before the first window of the batch.
 
-def continued_changes(flags: DataFrame, known: DataFrame, s: Settings) -> DataFrame:
-    """Flag changes of a batch; the known flags stand before the first window of the batch."""
+    A plug has one row per window of the batch and one known flag.
+    """
     before = known.select(*PLUG, F.lit(-1).cast("long").alias("window_end"), "flag")
     every = flags.select(*PLUG, "window_end", "flag").unionByName(before)
-    return flag_changes(every, ["window_end"], s).where("window_end >= 0")
+    return flag_changes(every, ["window_end"], s, largest).where("window_end >= 0")
 
 
-def continued_percentages(changes: DataFrame, known: DataFrame, s: Settings) -> DataFrame:
+def continued_percentages(
+    changes: DataFrame, known: DataFrame, s: Settings, largest: int | None = None
+) -> DataFrame:
     """Percentages after each change, starting from the totals of the known flags of the house."""
     order = ["window_end", "household_id", "plug_id"]
     totals = known.groupBy(*HOUSE).agg(
         F.count_if("flag").alias("known_above"), F.count("*").alias("known_plugs")
     )
-    moved = running(changes, HOUSE, order, s, sums=count_moves()).join(totals, HOUSE, "left")
-    moved = moved.na.fill(0, ["known_above", "known_plugs"])
+    moved = running(changes, HOUSE, order, s, sums=count_moves(), largest=largest)
+    moved = moved.join(totals, HOUSE, "left").na.fill(0, ["known_above", "known_plugs"])
     above_count, plug_count = F.col("above_count") + F.col("known_above"), F.col("plug_count") + F.col("known_plugs")
     return moved.select(
         *PLUG, "window_end", "flag", above_count.alias("above_count"), plug_count.alias("plug_count"),
