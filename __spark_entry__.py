@@ -158,6 +158,10 @@ def _reservoir(keys, k):
     return run
 
 
+def _sketch_median_house(spark, d):
+    return M.sketch_median(_load_readings(spark, d), HOUSE).select(*HOUSE, "median", "n")
+
+
 def _hist_lower_median(spark, d):
     return M.lower_median(_load_readings(spark, d), HOUSE, SETTINGS).select(*HOUSE, "median", "n")
 
@@ -262,11 +266,11 @@ def _persist_roundtrip(spark, d):
 def _stream_predict(keys):
     def run(spark, d):
         folder = new_folder(spark, "prediction")
+        S.prepare_history(readings_from_events(spark, d, end_ms=SETTINGS.live_start_ms), keys, SETTINGS, folder)
         S.stream_prediction(
-            stream_readings_from_events(spark, d), lambda: readings_from_events(spark, d), keys, SETTINGS,
-            folder, new_folder(spark, "state"), available_now=True,
+            stream_readings_from_events(spark, d), keys, SETTINGS, folder, new_folder(spark, "state"), available_now=True
         ).awaitTermination()
-        return spark.read.parquet(folder).select(
+        return spark.read.parquet(f"{folder}/predictions").select(
             *keys, "slice_idx", "time_slice", _r("current_load"), _r("predicted_load")
         )
 
@@ -309,6 +313,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "exact_median_house": _exact_median_house,
         "reservoir_median": _reservoir([], 1000),
         "reservoir_median_house": _reservoir(HOUSE, 50),
+        "sketch_median_house": _sketch_median_house,
         "hist_lower_median": _hist_lower_median,
         "reading_with_global_median": _reading_with_global_median,
         "plug_flag_changes": _plug_flag_changes,
@@ -537,6 +542,10 @@ def oracle_sql() -> dict[str, str]:
         ),
         "reservoir_median": _reservoir_sql("", 1000),
         "reservoir_median_house": _reservoir_sql("house_id", 50),
+        # Up to 10,000 readings per house the rank error of the sketch is below one row.
+        "sketch_median_house": _sql(
+            "SELECT house_id, quantile_disc(value, 0.5) AS median, count(*) AS n FROM loads GROUP BY house_id"
+        ),
         "hist_lower_median": _sql(
             "SELECT house_id, quantile_disc(value, 0.5) AS median, count(*) AS n FROM loads GROUP BY house_id"
         ),

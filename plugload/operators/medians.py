@@ -86,6 +86,13 @@ def reservoir_median(
     return sample.groupBy(*keys).agg(F.median(value).alias("median"), F.count("*").alias("n"))
 
 
+def sketch_median(df: DataFrame, keys: Sequence[str], accuracy: int = 10_000, value: str = "value") -> DataFrame:
+    """Lower median with a rank error of at most n / accuracy; memory per group is bounded, partials are merged."""
+    return df.where(F.col(value).isNotNull()).groupBy(*keys).agg(
+        F.percentile_approx(value, 0.5, accuracy).alias("median"), F.count("*").alias("n")
+    )
+
+
 def grid_windows(ts_ms: Column, width_ms: int, slide_ms: int) -> Column:
     """Ends of the half-open windows [end - width, end) that hold ts_ms; ends are multiples of the slide."""
     if width_ms % slide_ms:

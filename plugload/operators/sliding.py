@@ -97,11 +97,9 @@ def _schema(df: DataFrame, keys: list[str]) -> str:
 
 
 def _packed_medians(spread: DataFrame, keys: list[str], width_ms: int, packs: int) -> DataFrame:
-    packed = spread.select(
-        *keys, "span", "ts_ms", "value", F.lit(1).cast("long").alias("n"), "kind", "id",
-        F.pmod(F.xxhash64(*keys, "span"), F.lit(packs)).alias("pack"),
-    )
-    return packed.groupBy("pack").applyInPandas(_answer(keys, width_ms), _schema(spread, keys))
+    pack = F.pmod(F.xxhash64(*keys, "span"), F.lit(packs))
+    rows = spread.select(*keys, "span", "ts_ms", "value", F.col("kind").cast("byte").alias("kind"), "id")
+    return rows.groupBy(pack).applyInPandas(_answer(keys, width_ms), _schema(spread, keys))
 
 
 def _dense_medians(spread: DataFrame, keys: list[str], width_ms: int, total: int, s: Settings) -> DataFrame:
@@ -216,7 +214,8 @@ def _answer(keys: list[str], width_ms: int):
     def answer(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.iloc[np.lexsort([pdf[c].to_numpy() for c in ["ts_ms", *reversed(group)]])].reset_index(drop=True)
         ts, kind = pdf["ts_ms"].to_numpy(), pdf["kind"].to_numpy()
-        value, n = pdf["value"].to_numpy(dtype=float), pdf["n"].to_numpy()
+        value = pdf["value"].to_numpy(dtype=float)
+        n = pdf["n"].to_numpy() if "n" in pdf else np.ones(len(pdf), dtype=np.int64)
         changed = np.zeros(len(pdf), dtype=bool)
         changed[0] = True
         for c in group:

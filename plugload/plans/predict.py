@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from plugload.functions.columns import predicted, slice_index, slice_label
-from plugload.operators.archive import history_of_live, house_slices, plug_slices
+from plugload.operators.archive import history_of_live
 from plugload.operators.blocks import largest_group, running
 from plugload.schema import HOUSE, PLUG
 from plugload.settings import Settings
@@ -34,8 +34,8 @@ def slice_average(rows: DataFrame, keys: Sequence[str], s: Settings) -> DataFram
 
 
 def key_averages(rows: DataFrame, keys: Sequence[str], s: Settings) -> DataFrame:
-    plugs = plug_slices(rows, s)
-    return plugs if list(keys) == PLUG else house_slices(plugs)
+    """Averages per key and slice. The average over readings equals the weighted average of the plug averages."""
+    return slice_average(rows, keys, s).withColumnRenamed("current_load", "average_load")
 
 
 def predict(readings: DataFrame, keys: Sequence[str], s: Settings) -> DataFrame:

@@ -6,7 +6,7 @@ readings of a closed window are dropped.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -18,10 +18,12 @@ from plugload.plans.predict import key_averages
 from plugload.operators.blocks import running
 from plugload.schema import HOUSE, PLUG
 from plugload.settings import Settings
-from plugload.sources.readings import load_only, slice_rows
-
-Archive = Callable[[], DataFrame]
+from plugload.sources.readings import between, load_only, slice_rows
 
+PREDICTION = (
+    "slice_idx bigint, current_load double, readings_count bigint, history_median double, history_count bigint, "
+    "target_slice bigint, predicted_load double, time_slice string"
+)
 FLAGS = "house_id int, household_id int, plug_id int, flag boolean"
 CHANGES = (
     "house_id int, household_id int, plug_id int, window_end bigint, flag boolean, "
@@ -49,22 +51,46 @@ def slice_averages(stream: DataFrame, keys: Sequence[str], s: Settings) -> DataF
     )
 
 
+def prepare_history(archive: DataFrame, keys: Sequence[str], s: Settings, folder: str) -> None:
+    """Write the slice averages of the archive before live_start, the starting history of ``stream_prediction``."""
+    rows = slice_rows(between(archive, end_ms=s.live_start_ms), s)
+    # Files hold ranges of slices, so that a batch skips those outside its days.
+    averages = key_averages(rows, keys, s).repartitionByRange("slice_idx", *keys)
+    averages.write.mode("overwrite").parquet(f"{folder}/averages/batch=-1")
+
+
 def stream_prediction(
-    stream: DataFrame, archive: Archive, keys: Sequence[str], s: Settings, folder: str, state: str,
+    stream: DataFrame, keys: Sequence[str], s: Settings, folder: str, state: str,
     available_now: bool = False, every: str = "1 minute",
 ) -> StreamingQuery:
-    """Predictions for each closed slice, written to folder/batch=<id>.
+    """Predictions for each closed slice, written to folder/predictions/batch=<id>.
 
-    ``archive`` is called per micro-batch, so live readings persisted meanwhile take part as history. Writing a
-    batch again replaces its folder: a retry after a failure leaves no duplicates.
+    The history is the table folder/averages: the averages of the archive (``prepare_history``) and those of every
+    slice closed since, so live data become history a day later and no raw reading is read again. A batch reads only
+    the slices it needs. Writing a batch again replaces its folders: a retry leaves no duplicates.
     """
+    spark = stream.sparkSession
+    key_types = ", ".join(f"{k} int" for k in keys)
+    columns = f"{key_types}, slice_idx bigint, average_load double, readings_count bigint"
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        averages = key_averages(slice_rows(archive(), s), keys, s)
-        joined = history_median(averages, batch, keys, s)
+        target = f"{folder}/predictions/batch={batch_id}"
+        closed = batch.withColumnRenamed("current_load", "average_load")
+        closed.write.mode("overwrite").parquet(f"{folder}/averages/batch={batch_id}")
+        stored = spark.read.schema(f"{columns}, batch int").parquet(f"{folder}/averages")
+        current = stored.where(F.col("batch") == batch_id)
+        first, last = current.agg(F.min("slice_idx"), F.max("slice_idx")).first()
+        if first is None:
+            _empty(spark, f"{key_types}, {PREDICTION}").write.mode("overwrite").parquet(target)
+            return
+        oldest = first + s.lookahead_slices - s.history_days * s.slices_per_day
+        newest = last + s.lookahead_slices - s.slices_per_day
+        history = stored.where((F.col("batch") <= batch_id) & F.col("slice_idx").between(oldest, newest)).drop("batch")
+        current = current.drop("batch").withColumnRenamed("average_load", "current_load")
+        joined = history_median(history, current, keys, s)
         result = joined.withColumn("predicted_load", predicted(F.col("history_median"), F.col("current_load")))
         result = result.withColumn("time_slice", slice_label(F.col("target_slice"), s))
-        result.write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")
+        result.write.mode("overwrite").parquet(target)
 
     return (
         slice_averages(stream, keys, s).writeStream.outputMode("append").foreachBatch(write)

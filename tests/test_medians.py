@@ -4,7 +4,7 @@ from statistics import median, median_low
 import pytest
 
 from plugload.operators.medians import (
-    exact_median, grid_median, histogram, lower_median_of_histogram, reservoir_median,
+    exact_median, grid_median, histogram, lower_median_of_histogram, reservoir_median, sketch_median,
 )
 from plugload.settings import Settings
 
@@ -45,6 +45,16 @@ def test_lower(rows, s):
     assert got == {k: median_low(v) for k, v in groups(data).items()}
 
 
+def test_sketch(rows):
+    data, df = rows
+    got = {r.k: (r["median"], r.n) for r in sketch_median(df, ["k"]).collect()}
+    assert got == {k: (median_low(v), len(v)) for k, v in groups(data).items()}
+    # A coarse sketch stays within n / accuracy ranks.
+    value, n = sketch_median(df, [], 20).first()
+    below, upto = sum(r[2] < value for r in data), sum(r[2] <= value for r in data)
+    assert below - n / 20 <= n / 2 <= upto + n / 20
+
+
 def test_reservoir_of_everything_is_exact(rows):
     data, df = rows
     got = {r.k: (r["median"], r.n) for r in reservoir_median(df, ["k"], 1000, 1).collect()}

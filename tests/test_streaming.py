@@ -1,3 +1,5 @@
+import pytest
+
 from plugload.operators import archive as A
 from plugload.plans.outliers import flag_changes, grid_flags, percentages
 from plugload.operators.medians import grid_histogram
@@ -48,9 +50,9 @@ def test_restart_gives_batch_result_once(spark, readings, tmp_path):
 def test_late_readings(spark, readings, tmp_path):
     """Out of order within the watermark counts, beyond it is dropped."""
     src, out, state = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "state")
-    archive = readings([(900, LIVE + 2 * HOUR - 24 * HOUR, 50, 0, 0, 0)])
+    S.prepare_history(readings([(900, LIVE + 2 * HOUR - 24 * HOUR, 50, 0, 0, 0)]), HOUSE, CONF, out)
     run = lambda: S.stream_prediction(
-        stream_readings(spark, str(src)), lambda: archive, HOUSE, CONF, out, state, available_now=True
+        stream_readings(spark, str(src)), HOUSE, CONF, out, state, available_now=True
     ).awaitTermination()
     write(readings([(1, LIVE, 10, 0, 0, 0), (2, LIVE + HOUR + 30_000, 99, 0, 0, 0)]), src)
     run()
@@ -59,24 +61,27 @@ def test_late_readings(spark, readings, tmp_path):
     run()
     write(readings([(5, LIVE + 6, 1000, 0, 0, 0), (6, LIVE + 3 * HOUR, 1, 0, 0, 0)]), src)
     run()
-    got = {r.slice_idx: (r.current_load, r.predicted_load) for r in spark.read.parquet(out).collect()}
+    got = {r.slice_idx: (r.current_load, r.predicted_load) for r in spark.read.parquet(f"{out}/predictions").collect()}
     assert got == {0: (15.0, 32.5)}
 
 
-def test_prediction_equals_batch(spark, readings, tmp_path):
-    rows = series(-48, 60)
-    src = tmp_path / "in"
-    write(readings(rows), src)
-    S.stream_prediction(
-        stream_readings(spark, str(src)), lambda: readings(rows), PLUG, CONF, str(tmp_path / "out"), str(tmp_path / "state"),
-        available_now=True,
-    ).awaitTermination()
-    newest = max(r[1] for r in rows)
-    want = predict(readings(rows), PLUG, CONF).where(f"(slice_idx + 1) * {HOUR} + {LIVE} <= {newest - CONF.watermark_ms}")
-    columns = [*PLUG, "slice_idx", "readings_count", "history_median", "predicted_load", "time_slice"]
-    key = lambda rows: sorted((*r[:5], round(r[5], 9), round(r[6], 9), r[7]) for r in rows)
-    got = spark.read.parquet(str(tmp_path / "out")).select(*columns).collect()
-    assert len(got) > 10 and key(got) == key(want.select(*columns).collect())
+@pytest.mark.parametrize("keys", [HOUSE, PLUG])
+def test_prediction_equals_batch(spark, readings, tmp_path, keys):
+    """History from the archive and, after a day, from slices closed in earlier runs of the stream."""
+    parts = [series(-48, 30, 100_000), series(-18, 30), series(12, 20, 10_000), series(32, 20, 20_000)]
+    everything = [r for rows in parts for r in rows]
+    src, out, state = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "state")
+    S.prepare_history(readings(everything), keys, CONF, out)
+    for rows in parts:
+        write(readings(rows), src)
+        S.stream_prediction(stream_readings(spark, str(src)), keys, CONF, out, state, available_now=True).awaitTermination()
+    newest = max(r[1] for r in everything)
+    want = predict(readings(everything), keys, CONF).where(f"(slice_idx + 1) * {HOUR} + {LIVE} <= {newest - CONF.watermark_ms}")
+    columns = [*keys, "slice_idx", "readings_count", "time_slice", "history_median", "predicted_load"]
+    key = lambda rows: sorted((*r[:-2], round(r[-2], 9), round(r[-1], 9)) for r in rows)
+    got = spark.read.parquet(f"{out}/predictions").select(*columns).collect()
+    assert max(r.slice_idx for r in got) >= 48
+    assert key(got) == key(want.select(*columns).collect())
 
 
 def test_persisted_stream_is_archive(spark, readings, tmp_path):
