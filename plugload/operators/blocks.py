@@ -50,7 +50,7 @@ def running(
     sums, previous = sums or {}, previous or {}
     if largest is None:
         largest = largest_group(df, keys)
-    if keys and largest <= s.group_rows:
+    if keys and largest <= s.window_rows:
         return df.select("*", *_window_columns(keys, order, sums, previous))
 
     names = {**{f"_sum_{k}": c for k, c in sums.items()}, **{f"_prev_{k}": c for k, c in previous.items()}}

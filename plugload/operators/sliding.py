@@ -49,12 +49,13 @@ def sliding_median(
 ) -> DataFrame:
     """Columns keys, ts_ms, median, first_id: one row per distinct (key, ts_ms), first_id the smallest id there.
 
-    ``df`` needs keys, ts_ms, value and id. Rows with the same millisecond see each other. Null values are not
-    counted; a window without values has a null median. ``sizes`` are the number of rows and the rows of the
+    ``df`` needs keys, ts_ms, value and id. Rows with the same millisecond see each other. Null and NaN values are
+    not counted; a window without values has a null median. ``sizes`` are the number of rows and the rows of the
     largest (key, span) if known, otherwise they are counted.
     """
     keys = list(keys)
-    rows = df.select(*keys, "ts_ms", "value", "id")
+    number = F.when(~F.isnan("value"), F.col("value")).alias("value")
+    rows = df.select(*keys, "ts_ms", number, "id")
     span_ms = width_ms * span_widths(keys)
     spans = span_sizes(rows, keys, width_ms)
     total, largest = sizes or spans.agg(F.sum("count"), F.max("count")).first()

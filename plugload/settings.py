@@ -22,9 +22,10 @@ class Settings:
     window_ms: int = 3_600_000
     watermark_ms: int = 60_000
     jdbc_batch_rows: int = 5_000
-    # Largest number of rows that one window partition or one Python group may hold.
-    # Larger groups are cut into blocks of at most block_rows rows.
+    # Largest group that one task may hold in memory (Python groups, percentile buffers) and that one task may sort
+    # for a window function (spills to disk). Larger groups are cut into blocks of at most block_rows rows.
     group_rows: int = 2_000_000
+    window_rows: int = 32_000_000
     block_rows: int = 1 << 20
 
     def __post_init__(self) -> None:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from plugload.operators.blocks import largest_group, row_numbers, running, sample_every_n
 from plugload.settings import Settings
 
-PLAIN, BLOCKS = Settings(), Settings(group_rows=1, block_rows=8)
+PLAIN, BLOCKS = Settings(), Settings(group_rows=1, window_rows=1, block_rows=8)
 
 
 @pytest.fixture(scope="module")

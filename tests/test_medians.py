@@ -8,7 +8,7 @@ from plugload.operators.medians import (
 )
 from plugload.settings import Settings
 
-BLOCKS = Settings(group_rows=1, block_rows=4)
+BLOCKS = Settings(group_rows=1, window_rows=1, block_rows=4)
 
 
 @pytest.fixture(scope="module")

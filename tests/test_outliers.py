@@ -7,7 +7,7 @@ from plugload.settings import Settings
 from plugload.sources.readings import load_only
 
 HOUR = 3_600_000
-PLANS = [Settings(), Settings(group_rows=1, block_rows=16)]
+PLANS = [Settings(), Settings(group_rows=1, window_rows=1, block_rows=16)]
 
 
 def replay(rows, width):

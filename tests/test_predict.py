@@ -40,7 +40,7 @@ def test_slice_edges_and_gap(readings):
     assert got == {0: (2.0, 2), 1: (10.0, 1), 4: (7.0, 1), -1: (2.0, 1)}
 
 
-@pytest.mark.parametrize("s", [S, Settings(live_start_ms=LIVE, group_rows=1, block_rows=2)])
+@pytest.mark.parametrize("s", [S, Settings(live_start_ms=LIVE, group_rows=1, window_rows=1, block_rows=2)])
 def test_running_average(readings, s):
     rows = readings([(2, LIVE + 1, 4, 0, 0, 0), (1, LIVE + 1, 2, 0, 0, 1), (3, LIVE + 9, 9, 0, 1, 0), (4, LIVE + MIN, 8, 0, 0, 0)])
     house = {r.id: (r.current_load, r.readings_count) for r in running_average(slice_rows(rows, s), HOUSE, s).collect()}
@@ -102,7 +102,7 @@ def test_last_n(spark):
     assert [(r.house_id, r.slot, r.averages) for r in lists] == [(0, 5, [1.0, 2.0, 3.0])]
 
 
-@pytest.mark.parametrize("s", [S, Settings(group_rows=1, block_rows=2)])
+@pytest.mark.parametrize("s", [S, Settings(group_rows=1, window_rows=1, block_rows=2)])
 def test_punctuated_batches(spark, s):
     rows = [(0, 1, 5.0), (0, 2, 7.0), (0, 3, -1.0), (0, 4, -1.0), (0, 5, 9.0), (0, 6, -1.0), (0, 7, 4.0), (1, 1, 3.0)]
     df = spark.createDataFrame(rows, "k int, t int, v double").withColumn("marker", F.col("v") < 0)
