@@ -18,45 +18,44 @@ def histogram(df: DataFrame, keys: Sequence[str], value: str = "value") -> DataF
 def rows_bound(df: DataFrame, keys: Sequence[str | Column], s: Settings, copies: int = 1) -> int | None:
     """Rows of the largest group if they prove that its histogram is small; None if the histogram must be counted."""
     most = copies * largest_group(df, keys)
-    return most if most <= s.group_rows else None
+    return most if most <= s.window_rows else None
 
 
 def median_of_histogram(
     hist: DataFrame, keys: Sequence[str], s: Settings, value: str = "value", largest: int | None = None
 ) -> DataFrame:
-    """Exact median per key of a value -> n histogram: columns keys, median, n.
-
-    Spark's percentile keeps the whole histogram of a group in one buffer. It is used while the largest histogram
-    is small; above the limit running counts over blocks find the two middle values.
-    """
-    if largest is None:
-        largest = largest_group(hist, keys)
-    if largest <= s.group_rows:
-        return hist.groupBy(*keys).agg(
-            F.percentile(value, 0.5, F.col("n")).alias("median"), F.sum("n").alias("n")
-        )
-    return _middle_values(hist, keys, s, value, largest).select(
-        *keys, ((F.col("lower") + F.col("upper")) / 2).alias("median"), "n"
-    )
+    """Exact median per key of a value -> n histogram: columns keys, median, n."""
+    middle = (F.min(value) + F.max(value)) / 2
+    return _middle_rows(hist, keys, s, value, largest).groupBy(*keys).agg(middle.alias("median"), F.max("size").alias("n"))
 
 
 def lower_median_of_histogram(
     hist: DataFrame, keys: Sequence[str], s: Settings, value: str = "value", largest: int | None = None
 ) -> DataFrame:
     """Smallest value whose cumulative count reaches (n + 1) / 2: columns keys, median, n."""
-    return _middle_values(hist, keys, s, value, largest).select(*keys, F.col("lower").alias("median"), "n")
-
-
-def _middle_values(hist: DataFrame, keys: Sequence[str], s: Settings, value: str, largest: int | None) -> DataFrame:
-    ranked = running(hist, keys, [value], s, sums={"upto": F.col("n")}, largest=largest)
-    sizes = hist.groupBy(*keys).agg(F.sum("n").alias("size"))
-    ranked = ranked.join(sizes, list(keys)) if keys else ranked.join(F.broadcast(sizes))  # without keys: one row
-    at_rank = lambda rank: F.min(F.when(F.col("upto") >= rank, F.col(value)))
-    return ranked.groupBy(*keys).agg(
-        at_rank(F.floor((F.col("size") + 1) / 2)).alias("lower"),
-        at_rank(F.floor(F.col("size") / 2) + 1).alias("upper"),
-        F.max("size").alias("n"),
-    )
+    middle = _middle_rows(hist, keys, s, value, largest)
+    return middle.groupBy(*keys).agg(F.min(value).alias("median"), F.max("size").alias("n"))
+
+
+def _middle_rows(hist: DataFrame, keys: Sequence[str], s: Settings, value: str, largest: int | None) -> DataFrame:
+    """The one or two histogram rows per key that hold the middle ranks, with the group size.
+
+    Running counts find them; unlike Spark's percentile no task keeps a histogram in memory. Groups above
+    ``window_rows`` distinct values are counted block by block.
+    """
+    keys = list(keys)
+    if largest is None:
+        largest = largest_group(hist, keys)
+    if keys and largest <= s.window_rows:
+        w = Window.partitionBy(*keys)
+        upto = F.sum("n").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        ranked = hist.select(*keys, value, "n", upto.alias("upto"), F.sum("n").over(w).alias("size"))
+    else:
+        ranked = running(hist, keys, [value], s, sums={"upto": F.col("n")}, largest=largest)
+        sizes = hist.groupBy(*keys).agg(F.sum("n").alias("size"))
+        ranked = ranked.join(sizes, keys) if keys else ranked.join(F.broadcast(sizes))  # without keys: one row
+    lower, upper = F.floor((F.col("size") + 1) / 2), F.floor(F.col("size") / 2) + 1
+    return ranked.where((F.col("upto") >= lower) & (F.col("upto") - F.col("n") < upper))
 
 
 def exact_median(df: DataFrame, keys: Sequence[str], s: Settings, value: str = "value") -> DataFrame:

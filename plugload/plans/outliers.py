@@ -128,7 +128,7 @@ def grid_flags(hist: DataFrame, s: Settings, sizes: Sizes | None = None) -> Data
 
     ``sizes`` are bounds of the histogram groups if known: plug_span per (plug, window), time_span per window.
     """
-    proven = lambda n: n if n <= s.group_rows else None
+    proven = lambda n: n if n <= s.window_rows else None
     per_plug, per_window = (proven(sizes.plug_span), proven(sizes.time_span)) if sizes else (None, None)
     plugs = median_of_histogram(hist, [*PLUG, "window_end"], s, largest=per_plug)
     all_plugs = hist.groupBy("window_end", "value").agg(F.sum("n").alias("n"))

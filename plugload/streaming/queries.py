@@ -131,7 +131,7 @@ def stream_outliers(
             _empty(spark, CHANGES).write.mode("overwrite").parquet(f"{folder}/changes/{part}")
             return
         # The whole batch bounds every group; if that is no proof of small groups they are counted one by one.
-        sizes = Sizes(rows, rows, rows, rows, rows) if rows <= s.group_rows else None
+        sizes = Sizes(rows, rows, rows, rows, rows) if rows <= s.window_rows else None
         grid_flags(hist, s, sizes).write.mode("overwrite").parquet(f"{folder}/windows/{part}")
         flags = spark.read.parquet(f"{folder}/windows/{part}")
         latest = flags.groupBy(*PLUG).agg(F.max_by("flag", "window_end").alias("flag"))
