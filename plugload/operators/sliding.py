@@ -265,7 +265,7 @@ def _answer(keys: list[str], width_ms: int):
             lower = levels[found[: len(size)]]
             upper = lower.copy()
             upper[even] = levels[found[len(size):]]
-            median[some] = lower + (upper - lower) / 2
+            median[some] = (lower + upper) / 2
         out = pdf.loc[np.searchsorted(position, at), [*keys, "ts_ms"]]
         return out.assign(median=median, first_id=first_id)[result]
 
