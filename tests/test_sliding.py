@@ -83,3 +83,11 @@ def test_same_millisecond_and_nulls(spark):
 def test_no_rows(spark):
     df = spark.createDataFrame([], "id long, ts_ms long, value double")
     assert sliding_median(df, [], 1000, Settings()).count() == 0
+
+
+def test_even_median_is_half_of_the_sum(readings):
+    """A last-bit difference would flip "above" where both medians come from the same two values."""
+    pairs = [(i / 1000, j / 1000) for i in range(1, 200, 7) for j in range(i, 4000, 611)]
+    rows = [(2 * n + side, 10_000_000 * n, pair[side], 0, 0, 0) for n, pair in enumerate(pairs) for side in (0, 1)]
+    got = {r.ts_ms: r["median"] for r in sliding_median(readings(rows), [], 3_600_000, Settings()).collect()}
+    assert got == {10_000_000 * n: (a + b) / 2 for n, (a, b) in enumerate(pairs)}
