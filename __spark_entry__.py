@@ -5,7 +5,9 @@ The ``events`` table stands in for smart-plug readings, see ``readings_from_even
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
+from importlib.util import find_spec
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -33,6 +35,11 @@ SETTINGS = Settings(live_start_ms=1705968000000, slice_ms=6 * HOUR_MS)
 SAMPLE_SEED = 42
 
 
+# The operators of the training-data pipeline are an optional part.
+_extra = importlib.import_module("plugload.llm.queries") if find_spec("plugload.llm") else None
+_pipeline = importlib.import_module("corpus_pipeline") if _extra and find_spec("corpus_pipeline") else None
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Predicted load per house and slice."""
     return queries()["q1a_predict_house"](spark, "/root/testdata/sf0.001")
@@ -332,6 +339,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "stream_q1a": _stream_predict(HOUSE),
         "stream_q1b": _stream_predict(PLUG),
         "stream_q2a": _stream_outliers,
+        **(_extra.QUERIES if _extra else {}),
+        **({"pipeline": _pipeline.run} if _pipeline else {}),
     }
 
 
@@ -599,4 +608,6 @@ def oracle_sql() -> dict[str, str]:
             _GRID_RESULT,
             _GRID.format(where="WHERE window_end <= " + _CLOSED.format(rows="loads"), moves=_MOVES),
         ),
+        **(_extra.ORACLE_SQL if _extra else {}),
+        **({"pipeline": _pipeline.ORACLE_SQL} if _pipeline and _pipeline.ORACLE_SQL else {}),
     }
