@@ -4,10 +4,29 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plugload.llm import mixing, quality, simhash
+from plugload.llm import mixing, packing, quality, simhash, substrings, toxicity
 from plugload.llm.common import table
 
 
+def toxicity_model(spark, d):
+    """Learnt from labelled rows outside the held-out fifth."""
+    labels = table(spark, d, "labels").where(~held_out())
+    return toxicity.train(table(spark, d, "documents").select("doc_id", "text"), labels)
+
+
+def held_out():
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+
+
+def op1_toxicity(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    scored = toxicity.score(docs, toxicity_model(spark, d), carry=["doc_id"])
+    return scored.select(
+        "doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
 def op3_quality_rules(spark, d):
     verdicts = quality.host_verdicts(table(spark, d, "documents"))
     return verdicts.select(
@@ -21,14 +40,36 @@ def op6_simhash(spark, d):
     return found.select("doc_id", digits, "component_id")
 
 
+def tokenizer_file() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op7_packing(spark, d):
+    placed = packing.pack_documents(table(spark, d, "documents"), tokenizer_file())
+    return placed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
+def op9_suffix_dedup(spark, d):
+    cleaned = substrings.remove_repeats(table(spark, d, "documents"), carry=["doc_id"])
+    return cleaned.select(
+        "doc_id", F.col("_bytes").alias("n_bytes"), F.col("_removed").alias("n_removed"),
+        F.col("_spans").alias("n_spans"), F.col("_sha256").alias("kept_sha256"),
+    )
+
+
 def op10_mixing(spark, d):
     mixed = mixing.mix(table(spark, d, "documents"), carry=["doc_id"])
     return mixed.select("row.doc_id", "size", "source_size", "target", "taken")
 
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op3_quality_rules": op3_quality_rules,
     "op6_simhash": op6_simhash,
+    "op7_packing": op7_packing,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_mixing": op10_mixing,
 }
 
