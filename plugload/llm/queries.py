@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plugload.llm import mixing, packing, quality, simhash, substrings, toxicity
+from plugload.llm import hnsw, mixing, packing, quality, simhash, substrings, toxicity
 from plugload.llm.common import table
 
 
@@ -51,6 +51,10 @@ def op7_packing(spark, d):
     return placed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op8_hnsw(spark, d):
+    return hnsw.near_vectors(table(spark, d, "embeddings"))
+
+
 def op9_suffix_dedup(spark, d):
     cleaned = substrings.remove_repeats(table(spark, d, "documents"), carry=["doc_id"])
     return cleaned.select(
@@ -69,6 +73,7 @@ QUERIES = {
     "op3_quality_rules": op3_quality_rules,
     "op6_simhash": op6_simhash,
     "op7_packing": op7_packing,
+    "op8_hnsw": op8_hnsw,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_mixing": op10_mixing,
 }

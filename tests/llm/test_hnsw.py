@@ -1,0 +1,89 @@
+from collections import Counter
+
+import numpy as np
+
+from plugload.llm import hnsw as H
+
+SCHEMA = "vec_id bigint, embedding array<float>, label int, component string, n string"
+
+
+def naive(rows, least=0.9):
+    """{row number: (links, component)} by comparing all pairs; rows without id or with unusable vectors stand alone."""
+    usable = [i for i, r in enumerate(rows) if r[0] is not None and r[1] and all(v is not None and np.isfinite(v) for v in r[1]) and any(r[1])]
+    out = {i: (0, r[0]) for i, r in enumerate(rows)}
+    near = {i: set() for i in usable}
+    for dim in {len(rows[i][1]) for i in usable}:
+        ids = [i for i in usable if len(rows[i][1]) == dim]
+        x = np.array([rows[i][1] for i in ids], np.float32).astype(float)
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        for k, hit in zip(ids, x @ x.T >= least):
+            near[k] = {ids[j] for j in np.flatnonzero(hit)} - {k}
+    seen = set()
+    for i in sorted(usable, key=lambda i: rows[i][0]):
+        if i not in seen:
+            front = [i]
+            seen.add(i)
+            while front:
+                at = front.pop()
+                out[at] = (len(near[at]), rows[i][0])
+                front += near[at] - seen
+                seen |= near[at]
+    return out
+
+
+def check(spark, rows, least_recall=0.99, **more):
+    df = spark.createDataFrame([(i, v, 0, "c", "n") for i, v in rows], SCHEMA).repartition(3)
+    got = H.near_vectors(df, **more).collect()
+    want = naive(rows)
+    true = Counter((rows[i][0], n, c) for i, (n, c) in want.items())
+    have = Counter((r["vec_id"], r["n_links"], r["component_id"]) for r in got)
+    assert len(got) == len(rows) and sum((true & have).values()) >= least_recall * len(rows)
+    assert sum(r["n_links"] for r in got) <= sum(n for n, _ in want.values())
+    assert all(r["kept"] == (r["vec_id"] == r["component_id"] or r["vec_id"] is None) for r in got)
+    return got
+
+
+def groups(rng, n, dim, copies):
+    rows = []
+    for _ in range(n):
+        centre = rng.normal(size=dim)
+        rows += [centre + rng.normal(size=dim) * s for s in rng.choice([0, 0.02, 0.2, 0.42], int(rng.integers(1, copies)))]
+    return [(i, [float(np.float32(v)) for v in x]) for i, x in enumerate(rows)]
+
+
+def test_links_equal_brute_force(spark):
+    rng = np.random.default_rng(4)
+    rows = groups(rng, 150, 24, 12)
+    dense = rng.normal(size=24)
+    rows += [(5000 + i, (dense + rng.normal(size=24) * 0.05).astype(np.float32).tolist()) for i in range(400)]
+    rows += [(6000 + i, rows[0][1]) for i in range(50)]
+    check(spark, rows)
+    check(spark, rows, block_rows=100, shard_rows=90)
+
+
+def test_odd_vectors(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [(1, None), (2, []), (3, [0.0, 0.0]), (4, [nan, 1.0]), (5, [inf, 1.0]), (6, [None, 1.0]), (7, [1.0, 0.0]), (8, [2.0, 0.0]),
+            (9, [1e-30, 1e-30]), (10, [1e30, 1e30]), (11, [1.0, 0.0, 0.0]), (12, [1.0]), (13, [-1.0]), (None, [1.0, 0.0]), (7, [1.0, 0.0]), (14, [-0.0, 3.0]), (15, [0.0, 3.0])]
+    got = check(spark, rows, 1.0)
+    assert {r["vec_id"]: r["component_id"] for r in got if r["vec_id"] in (8, 10, 15)} == {8: 7, 10: 9, 15: 14}
+    empty = spark.createDataFrame([], SCHEMA)
+    assert H.near_vectors(empty).count() == 0
+    assert H.near_vectors(spark.createDataFrame([(1, None, 0, "", "")], SCHEMA)).count() == 1
+
+
+def test_given_vectors(spark):
+    rows = [(r["vec_id"], r["embedding"]) for r in spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").collect()]
+    check(spark, rows)
+
+
+def test_graph_recall_on_structureless_vectors():
+    rng = np.random.default_rng(0)
+    x = H._unit(rng.normal(size=(1500, 16)))
+    graph, order = H.Graph.build(x.astype(np.float32))
+    exact = x[order]
+    found = {i: set(nodes.tolist()) for i, nodes in H._verified(graph, exact, exact, 0.8, 32)}
+    true = [set(np.flatnonzero(exact @ q >= 0.8).tolist()) for q in exact]
+    assert sum(len(found[i] & t) for i, t in enumerate(true)) > 0.97 * sum(map(len, true))
+    again, more = H.Graph.from_bytes(graph.to_bytes(ids=order))
+    assert (again.layers[0] == graph.layers[0]).all() and (more["ids"] == order).all()
