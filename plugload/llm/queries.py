@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plugload.llm import hnsw, mixing, packing, quality, simhash, substrings, toxicity
+from plugload.llm import archives, hnsw, mixing, packing, quality, simhash, substrings, toxicity
 from plugload.llm.common import table
 
 
@@ -27,6 +27,10 @@ def op1_toxicity(spark, d):
     )
 
 
+def op2_warc(spark, d):
+    return archives.through_archives(table(spark, d, "pages"))
+
+
 def op3_quality_rules(spark, d):
     verdicts = quality.host_verdicts(table(spark, d, "documents"))
     return verdicts.select(
@@ -70,6 +74,7 @@ def op10_mixing(spark, d):
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
+    "op2_warc": op2_warc,
     "op3_quality_rules": op3_quality_rules,
     "op6_simhash": op6_simhash,
     "op7_packing": op7_packing,
