@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plugload.llm import archives, hnsw, mixing, packing, quality, simhash, substrings, toxicity
+from plugload.llm import archives, hnsw, maintext, mixing, packing, quality, quoting, simhash, substrings, toxicity
 from plugload.llm.common import table
 
 
@@ -38,6 +38,15 @@ def op3_quality_rules(spark, d):
     )
 
 
+def op4_quotes(spark, d):
+    return quoting.without_quotes(table(spark, d, "conversations"))
+
+
+def op5_main_text(spark, d):
+    pages = maintext.extract(table(spark, d, "pages"))
+    return pages.withColumn("n_chars", F.length("text").cast("bigint"))
+
+
 def op6_simhash(spark, d):
     found = simhash.near_duplicates(table(spark, d, "documents"))
     digits = F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint")
@@ -76,6 +85,8 @@ QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_warc": op2_warc,
     "op3_quality_rules": op3_quality_rules,
+    "op4_quotes": op4_quotes,
+    "op5_main_text": op5_main_text,
     "op6_simhash": op6_simhash,
     "op7_packing": op7_packing,
     "op8_hnsw": op8_hnsw,
@@ -83,4 +94,79 @@ QUERIES = {
     "op10_mixing": op10_mixing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_quality_rules": r"""
+WITH base AS (
+  SELECT doc_id, source, text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+  FROM documents
+), grams AS (
+  SELECT doc_id, i, array_to_string(w[i : i + 4], ' ') AS gram
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM base WHERE len(w) >= 5)
+), repeated AS (
+  SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, gram) AS n FROM grams) WHERE n > 1
+), covered AS (
+  SELECT doc_id, count(DISTINCT i + k) AS n FROM repeated, range(0, 5) AS offsets(k) GROUP BY doc_id
+), measured AS (
+  SELECT doc_id, source, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+         CAST(length(regexp_replace(coalesce(text, ''), '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+         CAST(len(lines) AS BIGINT) AS n_lines, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+         CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words
+  FROM base LEFT JOIN covered c USING (doc_id)
+), ruled AS (
+  SELECT *, n_words < 10 AS short, n_repeat_words * 100 > n_words * 20 AS repetitive, n_symbols * 10 > word_chars AS symbols,
+         n_dup_lines * 10 > n_lines * 3 AS copied_lines
+  FROM measured
+), failures AS (
+  SELECT source, rule, count(*) AS n, CAST(count(*) FILTER (failed) AS DOUBLE) AS k
+  FROM (UNPIVOT (SELECT source, short, repetitive, symbols, copied_lines FROM ruled WHERE source IS NOT NULL)
+        ON short, repetitive, symbols, copied_lines INTO NAME rule VALUE failed) GROUP BY source, rule
+), sums AS (
+  SELECT rule, count(*) AS hosts, sum(n) AS n, sum(n * n) AS nn, sum(k) / sum(n) AS mean, sum(k * k / n) AS kk FROM failures GROUP BY rule
+), prior AS (
+  SELECT rule, mean, 1 / least(greatest(CASE WHEN mean * (1 - mean) * (n - nn / n - (hosts - 1)) > 0
+    THEN (kk - mean * mean * n - mean * (1 - mean) * (hosts - 1)) / (mean * (1 - mean) * (n - nn / n - (hosts - 1))) ELSE 0 END, 0.001), 0.999) - 1 AS weight
+  FROM sums
+), hosts AS (
+  SELECT source, max((k + weight * mean) / (n + weight)) AS worst FROM failures JOIN prior USING (rule) GROUP BY source
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, short OR repetitive AS base_failed,
+       NOT (short OR repetitive) AND NOT coalesce(worst > 0.5, false) AS kept
+FROM ruled LEFT JOIN hosts USING (source)
+""",
+    "op4_quotes": r"""
+WITH RECURSIVE lines AS (
+  SELECT conv_id, turn, pos, line, len(regexp_replace(regexp_extract(line, '^ {0,3}((?:> ?)+)', 1), '[^>]', '', 'g')) AS level,
+         trim(lower(regexp_replace(regexp_replace(line, '^ {0,3}((?:> ?)+)', ''), '\s+', ' ', 'g'))) AS words
+  FROM (SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM conversations)
+), own AS (
+  SELECT conv_id, words, min(turn) AS first_turn FROM lines WHERE level = 0 AND words <> '' GROUP BY conv_id, words
+), quoted AS (
+  SELECT * FROM lines WHERE level > 0 AND words <> ''
+), sourced AS (
+  SELECT q.conv_id, q.turn, q.level, coalesce(
+    (SELECT {'c': o.conv_id, 't': o.first_turn} FROM own o WHERE o.conv_id = q.conv_id AND o.words = q.words AND o.first_turn < q.turn),
+    (SELECT min({'c': o.conv_id, 't': o.first_turn}) FROM own o WHERE o.words = q.words AND o.conv_id =
+      (CASE WHEN q.conv_id = (SELECT min(p.conv_id) FROM own p WHERE p.words = q.words) THEN (SELECT max(p.conv_id) FROM own p WHERE p.words = q.words)
+       ELSE (SELECT min(p.conv_id) FROM own p WHERE p.words = q.words) END) AND o.conv_id <> q.conv_id)) AS source
+  FROM quoted q
+), links AS (
+  SELECT conv_id, turn, level, source.c AS from_conv, source.t AS from_turn, count(*) AS n FROM sourced WHERE source IS NOT NULL GROUP BY ALL
+), answers AS (
+  SELECT conv_id, turn, arg_max(from_turn, (n, from_turn)) AS parent FROM links WHERE level = 1 AND from_conv = conv_id GROUP BY conv_id, turn
+), up AS (
+  SELECT conv_id, turn, parent AS root FROM answers
+  UNION ALL SELECT up.conv_id, up.turn, a.parent FROM up JOIN answers a ON a.conv_id = up.conv_id AND a.turn = up.root
+), replies AS (
+  SELECT conv_id, turn, string_agg(line, chr(10) ORDER BY pos) FILTER (level = 0) AS reply, count(*) FILTER (level > 0 AND words <> '') AS n_quoted
+  FROM lines GROUP BY conv_id, turn
+), every AS (
+  SELECT c.conv_id, c.turn, c.role, trim(coalesce(r.reply, '')) AS reply, coalesce(r.n_quoted, 0) AS n_quoted,
+         CAST(coalesce((SELECT sum(n) FROM links l WHERE l.conv_id = c.conv_id AND l.turn = c.turn), 0) AS BIGINT) AS n_linked,
+         a.parent AS parent_turn, coalesce((SELECT min(root) FROM up WHERE up.conv_id = c.conv_id AND up.turn = c.turn), c.turn) AS root_turn
+  FROM conversations c LEFT JOIN replies r ON r.conv_id = c.conv_id AND r.turn = c.turn
+  LEFT JOIN answers a ON a.conv_id = c.conv_id AND a.turn = c.turn
+)
+SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY root_turn, turn, role, reply) AS position FROM every
+""",
+}
