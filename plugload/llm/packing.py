@@ -2,47 +2,89 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from plugload.llm.common import as_bytes
+from plugload.llm.common import slices
 from plugload.session import materialized
 
 LENGTH = 2048
 #: Items that one task packs together; each shard leaves a few sequences that are not full.
 SHARD_ITEMS = 4_096
-#: Words whose ids a task remembers.
+#: Words whose ids a task remembers in each of two generations.
 CACHE_WORDS = 400_000
 
 
+_LETTERS = re.compile(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+#: Letters and the signs that follow them are encoded apart by a tokenizer that splits between the two.
+_PARTS = re.compile(rf"({_LETTERS.pattern})([.,;:!?%&*#$]*)")
+
+
 class WordIds:
-    """Ids of a text as little-endian unsigned 32-bit bytes, word by word.
+    """Ids of texts, word by word.
 
-    For tokenizers whose pieces never cross white space: a text's ids are those of its words, so every distinct word
-    is encoded once per task.
+    For tokenizers with word ends whose pieces never cross white space, nor from letters to signs: a text's ids are
+    those of its words. The words of a batch are
+    split and numbered by Arrow; only distinct words reach Python, and new ones the tokenizer.
     """
 
     def __init__(self, tokenizer_file: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
-        self.known: dict[bytes, bytes] = {}
-
-    def __call__(self, text: bytes) -> bytes:
-        words = text.split()
-        new = [w for w in set(words) if w not in self.known]
-        if new:
-            if len(self.known) > CACHE_WORDS:
-                self.known.clear()
-                new = list(set(words))
-            coded = self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
-            self.known.update((w, np.array(c.ids, "<u4").tobytes()) for w, c in zip(new, coded))
-        return b"".join(map(self.known.__getitem__, words))
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.young: dict[str, bytes] = {"": b""}
+        self.old: dict[str, bytes] = {}
+
+    def _learn(self, new: list[str]) -> None:
+        """Encode new parts. Words of letters only are one piece of text each, whose last id is a word end, so that
+        many can be encoded in one go; if the ends do not come out even, and for other parts, one by one."""
+        plain = [w for w in new if _LETTERS.fullmatch(w)]
+        lines = [plain[i : i + 500] for i in range(0, len(plain), 500)]
+        for line, coded in zip(lines, self.tokenizer.encode_batch_fast([" ".join(x) for x in lines], add_special_tokens=False)):
+            ids = np.array(coded.ids, "<u4")
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) == len(line) and ends[-1] == len(ids):
+                data, cuts = ids.tobytes(), [0, *(4 * ends).tolist()]
+                self.young.update((w, data[a:b]) for w, a, b in zip(line, cuts, cuts[1:]))
+        rest = [w for w in new if w not in self.young]
+        coded = self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)
+        self.young.update((w, np.array(c.ids, "<u4").tobytes()) for w, c in zip(rest, coded))
+
+    def _look_up(self, words: list[str]) -> list[bytes]:
+        """Ids of distinct words as bytes. Of two generations of known parts the older one is forgotten in time."""
+        if len(self.young) > CACHE_WORDS:
+            self.old, self.young = self.young, {"": b""}
+        young, old = self.young, self.old
+        parts = [m.groups() if (m := _PARTS.fullmatch(w)) else (w, "") for w in words]
+        distinct = {x for pair in parts for x in pair}
+        young.update((x, old[x]) for x in distinct if x not in young and x in old)
+        if new := [x for x in distinct if x not in young]:
+            self._learn(new)
+        return [young[a] + young[b] for a, b in parts]
+
+    def __call__(self, texts: pa.Array) -> list[np.ndarray]:
+        lists = pc.ascii_split_whitespace(texts)
+        numbered = lists.flatten().dictionary_encode()
+        ids = self._look_up(numbered.dictionary.to_pylist())
+        size = np.array([len(x) // 4 for x in ids], np.int64)
+        start = np.cumsum(size) - size
+        word = np.asarray(numbered.indices)
+        ends = np.cumsum(size[word])
+        total = int(ends[-1]) if len(ends) else 0
+        take = np.repeat(start[word] - (ends - size[word]), size[word]) + np.arange(total)
+        flat = np.frombuffer(b"".join(ids), "<u4")[take]
+        offsets = np.asarray(lists.offsets) - lists.offsets[0].as_py()
+        return np.split(flat, np.append(0, ends)[offsets[1:-1]])
 
 
 def pieces(
@@ -57,10 +99,10 @@ def pieces(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = WordIds(tokenizer_file), np.array([end_id], "<u4").tobytes()
-        for batch in batches:
+        for batch in slices(batches, "text", 16 << 20):
             rows = []
-            for i, t in enumerate(batch.column(1)):
-                coded = encode(t.as_py()) + end
+            for i, found in enumerate(encode(batch.column(1))):
+                coded = found.tobytes() + end
                 for start in range(0, len(coded), 4 * length):
                     cut = coded[start : start + 4 * length]
                     rows.append((i, len(coded) // 4, start // 4, len(cut) // 4, zlib.crc32(cut)))
@@ -70,7 +112,8 @@ def pieces(
                 ["doc_id", "doc_tokens", "start", "length", "ids_crc32"],
             )
 
-    return docs.select(F.col(doc_id).alias("doc_id"), as_bytes(text)).mapInArrow(run, schema)
+    texts = F.coalesce(F.col(text), F.lit("")).alias("text")
+    return docs.select(F.col(doc_id).alias("doc_id"), texts).mapInArrow(run, schema)
 
 
 def pack_shard(demand: np.ndarray, limits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -135,6 +135,30 @@ def test_every_threshold_plan_finds_all_links(spark, monkeypatch):
         assert {values_of[r["fp"]]: r["component"] for r in got} == want
 
 
+def test_similar_documents(spark):
+    import random
+
+    rnd = random.Random(7)
+    vocabulary = [f"word{i}" for i in range(500)]
+    rows, want = [], {}
+    for g in range(60):
+        base = rnd.choices(vocabulary, k=rnd.choice([60, 150, 400]))
+        for k in range(rnd.choice([1, 2, 4])):
+            text = list(base)
+            for _ in range(max(1, len(base) // 150) if k else 0):  # a change touches five of the shingles
+                text[rnd.randrange(len(text))] = rnd.choice(vocabulary)
+            want[len(rows)] = next((i for i, x in enumerate(rows) if x[2] == str(g)), len(rows))
+            rows.append((len(rows), " ".join(text), str(g)))
+    n = len(rows)
+    rows += [(n, None, ""), (n + 1, " ", ""), (n + 2, "a b", ""), (n + 3, "A  b", ""), (n + 4, "a c", ""), (None, "a b", "")]
+    df = spark.createDataFrame([(i, t, s, 0, "", "", "") for i, t, s in rows], SCHEMA).repartition(3)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(df).collect()}
+    assert len(got) == len(rows)
+    assert sum(got[i] == want[i] for i in range(n)) >= 0.97 * n and all(rows[got[i]][2] == rows[i][2] for i in range(n))
+    assert [got[n + k] - n for k in range(5)] == [0, 0, 2, 2, 4] and got[None] is None
+    assert simhash.similar_documents(df.limit(0)).count() == 0
+
+
 def test_thresholds_add_up():
     import numpy as np
 
