@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
-from math import comb
+from math import acos, comb, floor, pi, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -21,35 +21,50 @@ SEED = 42
 BUCKET_ROWS = 20_000
 #: Fingerprints from which distances are estimated; a fixed bound.
 SAMPLE_ROWS = 4_096
+#: Radii up to here have their large buckets divided.
+WIDE = 6
 _CHUNK = 4_096
 
 
-def fingerprint(text: bytes, shingle: int = 3) -> int:
-    """Unsigned 64-bit SimHash of UTF-8 bytes: a bit is set if over half the shingle hashes have it."""
+def fingerprint(text: bytes, shingle: int = 3, more: int = 0) -> list[int]:
+    """Unsigned 64-bit SimHash of UTF-8 bytes: a bit is set if over half the shingle hashes have it.
+
+    ``more`` further SimHashes follow, of hashes derived from the first ones.
+    """
     words = text.lower().split()
     if not words:
-        return 0
+        return [0] * (1 + more)
     parts = [words[i:] for i in range(min(shingle, len(words)))]
     digest, space = xxhash.xxh64_intdigest, b" "
     hashes = np.fromiter((digest(space.join(x), SEED) for x in zip(*parts)), np.uint64)
-    counts = np.zeros(BITS, np.int64)
-    for start in range(0, len(hashes), _CHUNK):
-        some = hashes[start : start + _CHUNK].view(np.uint8).reshape(-1, 8)
-        counts += np.unpackbits(some, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(counts * 2 > len(hashes), bitorder="little").tobytes(), "little")
-
-
-def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3) -> DataFrame:
-    """(doc_id, fp): fp is the SimHash as a signed long. ASCII letters are lower-cased, words are cut at ASCII white
-    space; a text of fewer words than a shingle is one shingle; an empty or null text has fingerprint zero."""
+    found = []
+    for k in range(1 + more):
+        if k:
+            hashes = (hashes ^ (hashes >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            hashes = (hashes ^ (hashes >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            hashes ^= hashes >> np.uint64(31)
+        counts = np.zeros(BITS, np.int64)
+        for start in range(0, len(hashes), _CHUNK):
+            some = hashes[start : start + _CHUNK].view(np.uint8).reshape(-1, 8)
+            counts += np.unpackbits(some, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        found.append(int.from_bytes(np.packbits(counts * 2 > len(hashes), bitorder="little").tobytes(), "little"))
+    return found
+
+
+def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, more: int = 0) -> DataFrame:
+    """(doc_id, fp, more): fp is the SimHash as a signed long, more an array of further ones. ASCII letters are
+    lower-cased, words are cut at ASCII white space; a text of fewer words than a shingle is one shingle; an empty or
+    null text has fingerprint zero."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = np.fromiter((fingerprint(t.as_py(), shingle) for t in batch.column(1)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values.view(np.int64))], ["doc_id", "fp"])
+            values = np.array([fingerprint(t.as_py(), shingle, more) for t in batch.column(1)], np.uint64).reshape(-1, 1 + more)
+            values = values.view(np.int64)
+            rest = pa.array(list(values[:, 1:]), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values[:, 0]), rest], ["doc_id", "fp", "more"])
 
     ids = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(F.col(doc_id).alias("doc_id"), as_bytes(text)).mapInArrow(run, f"doc_id {ids}, fp bigint")
+    return docs.select(F.col(doc_id).alias("doc_id"), as_bytes(text)).mapInArrow(run, f"doc_id {ids}, fp bigint, more array<bigint>")
 
 
 # -- plan: parts and thresholds --------------------------------------------------------------------------------------
@@ -103,28 +118,44 @@ def mask_of(bits: list[int]) -> int:
     return sum(1 << b for b in bits)
 
 
+def reach(threshold: int) -> int:
+    """Both sides try all values within this distance: two values at most ``threshold`` apart then meet."""
+    return -(-threshold // 2)
+
+
+def common(width: int, ball: int, d: int) -> int:
+    """Values of ``width`` bits within ``ball`` of both of two values that are d apart."""
+    return sum(
+        comb(d, a) * comb(width - d, b) for a in range(d + 1) for b in range(width - d + 1) if a + b <= ball and d - a + b <= ball
+    )
+
+
 def candidate_costs(n: int, sample: np.ndarray, parts: list[list[int]], radius: int) -> np.ndarray:
-    """cost[i, e + 1]: rows written and pairs met if part i is probed up to distance e; e = -1 leaves the part out.
+    """cost[i, e + 1]: rows written and pairs met if part i is searched up to distance e; e = -1 leaves the part out.
 
-    The share of pairs within e is the larger of what the sample shows and what independent bits would give.
+    The share of pairs at a distance is the larger of what the sample shows and what independent bits would give.
     """
-    cost = np.zeros((len(parts), radius + 2))
+    cost = np.full((len(parts), radius + 2), np.inf)
     share = _bits(sample).mean(axis=0) if len(sample) else np.full(BITS, 0.5)
     apart = 2 * share * (1 - share)
     half = max(len(sample) // 2, 1)
     for i, bits in enumerate(parts):
-        mask = np.uint64(mask_of(bits))
+        width, mask = len(bits), np.uint64(mask_of(bits))
         far = np.bitwise_count((sample[:half, None].view(np.uint64) ^ sample[None, half:].view(np.uint64)) & mask)
-        seen = np.bincount(far.ravel(), minlength=radius + 1)[: radius + 1].cumsum() / max(far.size, 1)
-        exactly = np.zeros(len(bits) + 1)
-        exactly[0] = 1
+        seen = np.bincount(far.ravel(), minlength=width + 1) / max(far.size, 1)
+        even = np.zeros(width + 1)
+        even[0] = 1
         for b in bits:
-            exactly[1:] = exactly[1:] * (1 - apart[b]) + exactly[:-1] * apart[b]
-            exactly[0] *= 1 - apart[b]
-        even = exactly[: radius + 1].cumsum()
-        for e in range(radius + 1):
-            probes = sum(comb(len(bits), k) for k in range(e + 1)) + (e > 0)
-            cost[i, e + 1] = n * probes * 20 + n * float(n) / 2 * max(seen[e], even[e])
+            even[1:] = even[1:] * (1 - apart[b]) + even[:-1] * apart[b]
+            even[0] *= 1 - apart[b]
+        cost[i, 0] = 0
+        for e in range(min(radius, width) + 1):
+            ball = reach(e)
+            if ball > 3:
+                break
+            rows = sum(comb(width, k) for k in range(ball + 1))
+            met = sum(max(seen[d], even[d]) * common(width, ball, d) for d in range(min(2 * ball, width) + 1))
+            cost[i, e + 1] = n * rows * 300.0 + n * float(n) / 2 * met
     return cost
 
 
@@ -167,11 +198,11 @@ def _signed(mask: int) -> int:
 
 
 def _buckets(fps: DataFrame, chosen: list[tuple[int, int]]) -> DataFrame:
-    """(part, key, fp, rep): a row for the part's own value and one for each value within the part's threshold."""
+    """(part, key, fp, rep): a row for each value of the part within half its threshold."""
 
     def flips(mask: int, threshold: int) -> np.ndarray:
         bits = [b for b in range(BITS) if mask >> b & 1]
-        return np.array([_signed(mask_of(list(c))) for k in range(threshold + 1) for c in combinations(bits, k)], np.int64)
+        return np.array([_signed(mask_of(list(c))) for k in range(reach(threshold) + 1) for c in combinations(bits, k)], np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -244,13 +275,22 @@ def _bucket_links(fp: np.ndarray, rep: np.ndarray, radius: int) -> tuple[np.ndar
     return join(a), join(b)
 
 
-def _links(rows: DataFrame, radius: int, short: int = 48) -> DataFrame:
-    """Verified links (a, b) of all buckets. Buckets arrive sorted, so a task holds one batch and one bucket."""
+def _links(rows: DataFrame, radius: int, short: int = 48, middle: int = 1024) -> DataFrame:
+    """Verified links (a, b) of all buckets. Buckets arrive sorted, so a task holds one batch and one bucket.
+
+    Small buckets give all their links, others at most eight per row, or else only those that join their components.
+    """
 
     def pairs(part, key, fp, rep):
         edge = np.flatnonzero((part[1:] != part[:-1]) | (key[1:] != key[:-1])) + 1
         starts, ends = np.append(0, edge), np.append(edge, len(fp))
         for s, e in zip(starts[ends - starts > short], ends[ends - starts > short]):
+            if e - s <= middle:
+                near = np.triu(np.bitwise_count((fp[s:e, None] ^ fp[None, s:e]).view(np.uint64)) <= radius, 1)
+                a, b = np.nonzero(near)
+                if len(a) <= 8 * (e - s):
+                    yield rep[s + a], rep[s + b]
+                    continue
             yield _bucket_links(fp[s:e], rep[s:e], radius)
         size = np.repeat(ends - starts, ends - starts)
         left = np.repeat(ends, ends - starts) - np.arange(len(fp)) - 1
@@ -291,15 +331,21 @@ def _links(rows: DataFrame, radius: int, short: int = 48) -> DataFrame:
     return dealt.mapInArrow(run, "a bigint, b bigint")
 
 
-def near_components(fps: DataFrame, radius: int = 3, limit: int = BUCKET_ROWS) -> DataFrame:
-    """(fp, component) for distinct fingerprints (fp, rep): the least rep that links of at most ``radius`` bits reach.
+def near_links(fps: DataFrame, radius: int, limit: int = BUCKET_ROWS) -> DataFrame:
+    """Links (a, b) between the reps of distinct fingerprints, enough to join all within ``radius`` bits.
 
     Buckets that hold more than ``limit`` fingerprints are divided until they do not, so no bucket is too large for
-    a task and none is cut off. Within a bucket only links that join its components are given out.
+    a task and none is cut off. Within a large bucket only links that join its components are given out. A radius above
+    WIDE leaves too few agreeing bits to divide by: its buckets stay whole, and a task holds one of them.
     """
     chosen = plan(fps, radius)
-    rows = _refined(_buckets(fps, chosen), chosen, radius, limit)
-    found = components(_links(rows, radius).distinct())
+    rows = _buckets(fps, chosen)
+    return _links(_refined(rows, chosen, radius, limit) if radius <= WIDE else rows, radius).distinct()
+
+
+def near_components(fps: DataFrame, radius: int = 3, limit: int = BUCKET_ROWS) -> DataFrame:
+    """(fp, component) for distinct fingerprints (fp, rep): the least rep that links of at most ``radius`` bits reach."""
+    found = components(near_links(fps, radius, limit))
     joined = fps.join(found, fps["rep"] == found["node"], "left")
     return joined.select("fp", F.coalesce("component", "rep").alias("component"))
 
@@ -320,3 +366,37 @@ def near_duplicates(
     found = near_components(fps, radius, limit).select(F.col("fp").alias("_fp"), F.col("component").alias("component_id"))
     joined = prints.join(found, F.col("fp") == F.col("_fp"), "left")
     return joined.select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+
+
+def expected_share(similarity: float) -> float:
+    """The share of bits in which two shingle sets of equal size and this Jaccard similarity differ on average."""
+    return acos(2 * similarity / (1 + similarity)) / pi
+
+
+def similar_documents(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8
+) -> DataFrame:
+    """(doc_id, component_id): groups of texts whose shingle sets have about this Jaccard similarity or more.
+
+    Two of four SimHashes of a text are searched, each up to the distance that nearly all such pairs keep; all four
+    together, 256 bits, then tell similar pairs from chance. The bounds lie 1.5 standard deviations beyond what
+    the similarity gives on average. Other rules as for ``near_duplicates``; a text of no words is like no other
+    text but another of no words.
+    """
+    share = expected_share(similarity)
+    bound = lambda bits: floor(bits * share + 1.5 * sqrt(bits * share * (1 - share)))
+    prints = materialized(fingerprints(docs, doc_id, text, shingle, more=3))
+    known = prints.where("doc_id is not null")
+    fps = materialized(known.groupBy("fp", "more").agg(F.min("doc_id").alias("rep")))
+    first = near_links(fps.select("fp", "rep"), bound(BITS))
+    second = near_links(fps.select(F.get("more", F.lit(0)).alias("fp"), "rep"), bound(BITS))
+    links = materialized(first.union(second).distinct())
+    side = lambda n: fps.select(F.col("rep").alias(n), F.concat(F.array("fp"), "more").alias(f"bits_{n}"))
+    apart = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    verified = links.join(side("a"), "a").join(side("b"), "b").where(apart <= bound(4 * BITS)).select("a", "b")
+    found = components(verified).withColumnsRenamed({"node": "_node"})
+    of = fps.join(found, F.col("rep") == F.col("_node"), "left").select(
+        F.col("fp").alias("_fp"), F.col("more").alias("_more"), F.coalesce("component", "rep").alias("component_id")
+    )
+    joined = prints.join(of, (F.col("fp") == F.col("_fp")) & (F.col("more") == F.col("_more")), "left")
+    return joined.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
