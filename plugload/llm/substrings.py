@@ -245,7 +245,7 @@ def _shuffled_groups(rims: DataFrame, length: int) -> DataFrame:
 def repeats(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, group_phrases: int = GROUP_PHRASES) -> DataFrame:
     """(doc, mark, places): runs of starts whose string of ``length`` bytes starts anywhere else too."""
     parsed = materialized(parse(texts, length, gram))
-    shared = parsed.groupBy("key").count().where("count > 1").select("key")
+    shared = materialized(parsed.groupBy("key").count().where("count > 1").select("key"))
     parsed = materialized(parsed.join(shared, "key", "left_semi"))
     # The dictionary of phrases with shared triggers, each with its number of occurrences and one of its places.
     entries = parsed.groupBy("key", "phrase").agg(F.count("*").alias("n"), F.min(F.struct("doc", "mark", "place")).alias("one"))
