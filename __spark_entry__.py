@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import importlib
 from collections.abc import Callable
+from dataclasses import replace
 from importlib.util import find_spec
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -22,7 +23,7 @@ from plugload.settings import DAY_MS, Settings
 from plugload.sources import sinks
 from plugload.sources.readings import (
     load_only,
-    read_readings,
+    read_archive,
     readings_from_events,
     slice_rows,
     stream_readings_from_events,
@@ -33,6 +34,10 @@ HOUR_MS = 3_600_000
 # 6-hour slices and live data from 2024-01-23 00:00 UTC suit the density of the driver tables.
 SETTINGS = Settings(live_start_ms=1705968000000, slice_ms=6 * HOUR_MS)
 SAMPLE_SEED = 42
+# So small that the driver tables go through the plans for groups that do not fit into one task.
+SMALL = replace(SETTINGS, group_rows=20, window_rows=200, block_rows=32)
+SMALL_WINDOWS = replace(SETTINGS, window_rows=2, block_rows=8)
+SMALL_DAYS = replace(SETTINGS, group_rows=200, window_rows=200, block_rows=64)
 
 
 # The operators of the training-data pipeline are an optional part.
@@ -47,7 +52,7 @@ def entry(spark: SparkSession) -> DataFrame:
 
 def _six(value: Column) -> Column:
     """Six places. Both engines round a decimal, so that ties do not depend on the last bit of a double."""
-    return F.round(value.cast("decimal(18,9)"), 6).cast("double")
+    return F.round(value.cast("decimal(38,9)"), 6).cast("double")
 
 
 def _r(name: str) -> Column:
@@ -66,6 +71,18 @@ def _plugs(spark: SparkSession, d: str) -> DataFrame:
     return A.plug_slices(_rows(spark, d), SETTINGS)
 
 
+def _holey(spark: SparkSession, d: str) -> DataFrame:
+    """The readings with every seventh value missing and every eleventh not a number."""
+    value = F.when(F.col("id") % 7 == 0, None).when(F.col("id") % 11 == 0, float("nan")).otherwise(F.col("value"))
+    return readings_from_events(spark, d).withColumn("value", value)
+
+
+def _house_limited(spark, d):
+    """The archive slices of the first houses only."""
+    rows = slice_rows(readings_from_events(spark, d), replace(SETTINGS, house_limit=10))
+    return A.plug_slices(rows, SETTINGS).select(*PLUG, "slice_idx", _r("average_load"), "readings_count")
+
+
 def _archive_plug_slice(spark, d):
     return _plugs(spark, d).select(*PLUG, "slice_idx", _r("average_load"), "readings_count")
 
@@ -101,9 +118,9 @@ def _history_median(keys):
     return run
 
 
-def _running_avg(keys):
+def _running_avg(keys, settings=SETTINGS, source=readings_from_events):
     def run(spark, d):
-        rows = P.running_average(_rows(spark, d), keys, SETTINGS)
+        rows = P.running_average(slice_rows(source(spark, d), settings), keys, settings)
         return rows.select("id", *keys, "slice_idx", _r("current_load"), "readings_count")
 
     return run
@@ -120,7 +137,7 @@ def _slice_avg(keys):
 def _predict(keys, per_reading=False):
     def run(spark, d):
         plan = P.predict_per_reading if per_reading else P.predict
-        result = plan(readings_from_events(spark, d), keys, SETTINGS)
+        result = plan(readings_from_events(spark, d, SETTINGS.history_start_ms), keys, SETTINGS)
         head = ["id", *keys] if per_reading else list(keys)
         key = [C.plug_key().alias("plug_key")] if keys == PLUG else []
         return result.select(*head, *key, "slice_idx", "time_slice", _r("current_load"), _r("predicted_load"))
@@ -128,9 +145,9 @@ def _predict(keys, per_reading=False):
     return run
 
 
-def _global_median(width):
+def _global_median(width, settings=SETTINGS):
     def run(spark, d):
-        medians = O.global_median(readings_from_events(spark, d), SETTINGS.with_window(width))
+        medians = O.global_median(readings_from_events(spark, d), settings.with_window(width))
         return medians.select("ts_ms", _r("global_median"))
 
     return run
@@ -179,9 +196,9 @@ def _plug_flag_changes(spark, d):
     return changes.select("id", *PLUG, C.member_key().alias("member"), "ts_ms", "flag", "previous_flag")
 
 
-def _outliers(plan):
+def _outliers(plan, settings=SETTINGS, source=readings_from_events):
     def run(spark, d):
-        result = plan(readings_from_events(spark, d), SETTINGS)
+        result = plan(source(spark, d), settings)
         return result.select("id", "ts_ms", "time_frame", *PLUG, _r("percentage"))
 
     return run
@@ -206,10 +223,10 @@ def _punctuated(spark, d):
     rows = A.with_markers(_plugs(spark, d))
     order = ["slice_idx", "is_marker", "household_id", "plug_id"]
     batches = A.punctuated_batches(rows, "is_marker", HOUSE, order, SETTINGS)
-    weight = F.col("readings_count")
+    weight = F.col("value_count")
     return batches.groupBy(*HOUSE, "batch_no").agg(
         _six(F.sum(F.col("average_load") * weight) / F.sum(weight)).alias("average_load"),
-        F.sum(weight).alias("readings_count"),
+        F.sum("readings_count").alias("readings_count"),
     )
 
 
@@ -240,8 +257,7 @@ def _suffix_map(spark, d):
 
 def _round_half_up(spark, d):
     rows = readings_from_events(spark, d)
-    exact = F.col("value").cast("decimal(18,4)")
-    return rows.select("id", C.round_half_up(exact, 1).cast("double").alias("rounded"))
+    return rows.select("id", C.round_half_up(F.col("value"), 1).alias("rounded"))
 
 
 def _sql_steps(spark, d):
@@ -249,7 +265,7 @@ def _sql_steps(spark, d):
         "create or replace temp view plug_day as select house_id, household_id, plug_id, ts_ms div 86400000 as day_no, "
         "avg(value) as average_load, count(*) as n from readings where property = 1 "
         "group by house_id, household_id, plug_id, ts_ms div 86400000",
-        "select house_id, day_no, cast(round(cast(sum(average_load * n) / sum(n) as decimal(18,9)), 6) as double) as average_load, sum(n) as n, "
+        "select house_id, day_no, cast(round(cast(sum(average_load * n) / sum(n) as decimal(38,9)), 6) as double) as average_load, sum(n) as n, "
         "count(*) as plugs from plug_day group by house_id, day_no",
     ]
     return run_statements(spark, {"readings": readings_from_events(spark, d)}, steps)
@@ -264,7 +280,7 @@ def _persisted(spark, d) -> str:
 
 
 def _persist_roundtrip(spark, d):
-    archive = read_readings(spark, _persisted(spark, d))
+    archive = read_archive(spark, _persisted(spark, d))
     return A.plug_slices(slice_rows(archive, SETTINGS), SETTINGS).select(
         *PLUG, "slice_idx", _r("average_load"), "readings_count"
     )
@@ -277,8 +293,9 @@ def _stream_predict(keys):
         S.stream_prediction(
             stream_readings_from_events(spark, d), keys, SETTINGS, folder, new_folder(spark, "state"), available_now=True
         ).awaitTermination()
+        key = [C.plug_key().alias("plug_key")] if keys == PLUG else []
         return spark.read.parquet(f"{folder}/predictions").select(
-            *keys, "slice_idx", "time_slice", _r("current_load"), _r("predicted_load")
+            *keys, *key, "slice_idx", "time_slice", _r("current_load"), _r("predicted_load")
         )
 
     return run
@@ -291,7 +308,7 @@ def _stream_outliers(spark, d):
         new_folder(spark, "state"), available_now=True,
     ).awaitTermination()
     return spark.read.parquet(f"{folder}/changes").select(
-        *PLUG, "window_end", "flag", "above_count", "plug_count", _r("percentage")
+        *PLUG, "time_frame", "window_end", "flag", "above_count", "plug_count", _r("percentage")
     )
 
 
@@ -339,6 +356,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "stream_q1a": _stream_predict(HOUSE),
         "stream_q1b": _stream_predict(PLUG),
         "stream_q2a": _stream_outliers,
+        "house_limited_plug_slice": _house_limited,
+        "q2a_blocks": _outliers(O.q2a, SMALL),
+        "running_blocks": _running_avg(HOUSE, SMALL_WINDOWS),
+        "sliding_dense": _global_median(DAY_MS, SMALL_DAYS),
+        "q2a_with_nulls": _outliers(O.q2a, source=_holey),
+        "house_running_avg_nulls": _running_avg(HOUSE, source=_holey),
+        "running_blocks_nulls": _running_avg(HOUSE, SMALL_WINDOWS, _holey),
         **(_extra.QUERIES if _extra else {}),
         **({"pipeline": _pipeline.run} if _pipeline else {}),
     }
@@ -355,7 +379,7 @@ readings AS (
   FROM events),
 loads AS (SELECT * FROM readings WHERE property = 1),
 q1_rows AS (
-  SELECT *, CAST(floor((ts_ms - 1705968000000) / 21600000) AS BIGINT) AS slice_idx FROM loads WHERE house_id < 10),
+  SELECT *, CAST(floor((ts_ms - 1705968000000) / 21600000) AS BIGINT) AS slice_idx FROM loads),
 plug_slices AS (
   SELECT house_id, household_id, plug_id, slice_idx, avg(value) AS average_load, count(*) AS readings_count
   FROM q1_rows GROUP BY house_id, household_id, plug_id, slice_idx),
@@ -386,7 +410,7 @@ def _history_cte(keys: str, table: str) -> str:
 
 def _running_cte(keys: str) -> str:
     over = f"OVER (PARTITION BY {keys}, slice_idx ORDER BY ts_ms, id ROWS UNBOUNDED PRECEDING)"
-    return f"live AS (SELECT *, sum(value) {over} / count(*) {over} AS current_load, count(*) {over} AS n FROM q1_rows)"
+    return f"live AS (SELECT *, sum(value) {over} / nullif(count(value) {over}, 0) AS current_load, count(*) {over} AS n FROM q1_rows)"
 
 
 def _flags_cte(width: int) -> str:
@@ -394,7 +418,7 @@ def _flags_cte(width: int) -> str:
     return f"""medians AS (
   SELECT *, median(value) OVER ({frame}) AS global_median,
          median(value) OVER (PARTITION BY house_id, household_id, plug_id {frame}) AS plug_median FROM loads),
-flags AS (SELECT *, plug_median > global_median AS flag FROM medians),
+flags AS (SELECT *, plug_median > global_median AS flag FROM medians WHERE plug_median IS NOT NULL AND global_median IS NOT NULL),
 lagged AS (
   SELECT *, lag(flag) OVER (PARTITION BY house_id, household_id, plug_id ORDER BY ts_ms, id) AS previous_flag FROM flags),
 changes AS (SELECT * FROM lagged WHERE previous_flag IS NULL OR previous_flag <> flag)"""
@@ -417,8 +441,8 @@ totals AS (
   SELECT *, sum({moves}) OVER w AS above_count, count(*) FILTER (previous_flag IS NULL) OVER w AS plug_count
   FROM changes WINDOW w AS (PARTITION BY house_id ORDER BY window_end, household_id, plug_id ROWS UNBOUNDED PRECEDING))"""
 
-_GRID_RESULT = """SELECT house_id, household_id, plug_id, window_end, flag, CAST(above_count AS BIGINT) AS above_count,
-  CAST(plug_count AS BIGINT) AS plug_count, CAST(round(CAST(above_count * 100.0 / plug_count AS DECIMAL(18,9)), 6) AS DOUBLE) AS percentage FROM totals"""
+_GRID_RESULT = """SELECT house_id, household_id, plug_id, {frame} window_end, flag, CAST(above_count AS BIGINT) AS above_count,
+  CAST(plug_count AS BIGINT) AS plug_count, CAST(round(CAST(above_count * 100.0 / plug_count AS DECIMAL(38,9)), 6) AS DOUBLE) AS percentage FROM totals"""
 
 _CLOSED = "(SELECT max(ts_ms) - 60000 FROM {rows})"
 _PLUG_COLS = "house_id, household_id, plug_id"
@@ -426,13 +450,13 @@ _PLUG_COLS = "house_id, household_id, plug_id"
 
 def _predict_sql(keys: str, closed: bool = False) -> str:
     table = "plug_slices" if "plug_id" in keys else "house_slices"
-    key = "house_id || '_' || household_id || '_' || plug_id AS plug_key," if "plug_id" in keys and not closed else ""
+    key = "house_id || '_' || household_id || '_' || plug_id AS plug_key," if "plug_id" in keys else ""
     ended = (
-        "WHERE (slice_idx + 1) * 21600000 + 1705968000000 <= " + _CLOSED.format(rows="q1_rows") if closed else ""
+        "WHERE (slice_idx + 1) * 21600000 + 1705968000000 <= " + _CLOSED.format(rows="readings") if closed else ""
     )
     return _sql(
-        f"SELECT {keys}, {key} slice_idx, {_LABEL.format(ahead=2)} AS time_slice, CAST(round(CAST(average_load AS DECIMAL(18,9)), 6) AS DOUBLE) AS current_load, "
-        f"CAST(round(CAST((history_median + average_load) / 2 AS DECIMAL(18,9)), 6) AS DOUBLE) AS predicted_load "
+        f"SELECT {keys}, {key} slice_idx, {_LABEL.format(ahead=2)} AS time_slice, CAST(round(CAST(average_load AS DECIMAL(38,9)), 6) AS DOUBLE) AS current_load, "
+        f"CAST(round(CAST((history_median + average_load) / 2 AS DECIMAL(38,9)), 6) AS DOUBLE) AS predicted_load "
         f"FROM {table} JOIN history USING ({keys}, slice_idx) {ended}",
         _history_cte(keys, table),
     )
@@ -443,7 +467,7 @@ def _per_reading_sql(keys: str) -> str:
     key = "house_id || '_' || household_id || '_' || plug_id AS plug_key," if "plug_id" in keys else ""
     return _sql(
         f"SELECT id, {keys}, {key} slice_idx, {_LABEL.format(ahead=2)} AS time_slice, "
-        f"CAST(round(CAST(current_load AS DECIMAL(18,9)), 6) AS DOUBLE) AS current_load, CAST(round(CAST((history_median + current_load) / 2 AS DECIMAL(18,9)), 6) AS DOUBLE) AS predicted_load "
+        f"CAST(round(CAST(current_load AS DECIMAL(38,9)), 6) AS DOUBLE) AS current_load, CAST(round(CAST((history_median + current_load) / 2 AS DECIMAL(38,9)), 6) AS DOUBLE) AS predicted_load "
         f"FROM live JOIN history USING ({keys}, slice_idx)",
         _history_cte(keys, table), _running_cte(keys),
     )
@@ -453,28 +477,33 @@ def _outliers_sql(width: int) -> str:
     over = "OVER (PARTITION BY house_id ORDER BY ts_ms, id ROWS UNBOUNDED PRECEDING)"
     return _sql(
         f"SELECT id, ts_ms, {_FRAME.format(width=width)} AS time_frame, {_PLUG_COLS}, "
-        f"CAST(round(CAST(100.0 * sum({_MOVES}) {over} / count(*) FILTER (previous_flag IS NULL) {over} AS DECIMAL(18,9)), 6) AS DOUBLE) AS percentage FROM changes",
+        f"CAST(round(CAST(100.0 * sum({_MOVES}) {over} / count(*) FILTER (previous_flag IS NULL) {over} AS DECIMAL(38,9)), 6) AS DOUBLE) AS percentage FROM changes",
         _flags_cte(width),
     )
 
 
+def _holes(sql: str) -> str:
+    missing = "CASE WHEN event_id % 7 = 0 OR event_id % 11 = 0 THEN NULL ELSE value END AS value,"
+    return sql.replace("AS ts_ms, value,", f"AS ts_ms, {missing}")
+
+
 def _history_sql(keys: str) -> str:
     return _sql(
-        f"SELECT {keys}, slice_idx + 2 AS target_slice, CAST(round(CAST(history_median AS DECIMAL(18,9)), 6) AS DOUBLE) AS history_median, history_count FROM history",
+        f"SELECT {keys}, slice_idx + 2 AS target_slice, CAST(round(CAST(history_median AS DECIMAL(38,9)), 6) AS DOUBLE) AS history_median, history_count FROM history",
         _history_cte(keys, "plug_slices" if "plug_id" in keys else "house_slices"),
     )
 
 
 def _running_sql(keys: str) -> str:
     return _sql(
-        f"SELECT id, {keys}, slice_idx, CAST(round(CAST(current_load AS DECIMAL(18,9)), 6) AS DOUBLE) AS current_load, n AS readings_count FROM live",
+        f"SELECT id, {keys}, slice_idx, CAST(round(CAST(current_load AS DECIMAL(38,9)), 6) AS DOUBLE) AS current_load, n AS readings_count FROM live",
         _running_cte(keys),
     )
 
 
 def _slice_sql(keys: str) -> str:
     return _sql(
-        f"SELECT {keys}, slice_idx, CAST(round(CAST(avg(value) AS DECIMAL(18,9)), 6) AS DOUBLE) AS current_load, count(*) AS readings_count "
+        f"SELECT {keys}, slice_idx, CAST(round(CAST(avg(value) AS DECIMAL(38,9)), 6) AS DOUBLE) AS current_load, count(*) AS readings_count "
         f"FROM q1_rows GROUP BY {keys}, slice_idx"
     )
 
@@ -482,14 +511,14 @@ def _slice_sql(keys: str) -> str:
 def _global_sql(width: int) -> str:
     return _sql(
         "SELECT DISTINCT ts_ms, CAST(round(CAST(median(value) OVER (ORDER BY ts_ms RANGE BETWEEN "
-        f"{width - 1} PRECEDING AND CURRENT ROW) AS DECIMAL(18,9)), 6) AS DOUBLE) AS global_median FROM loads"
+        f"{width - 1} PRECEDING AND CURRENT ROW) AS DECIMAL(38,9)), 6) AS DOUBLE) AS global_median FROM loads"
     )
 
 
 def _plug_sql(width: int) -> str:
     return _sql(
         f"SELECT DISTINCT {_PLUG_COLS}, ts_ms, CAST(round(CAST(median(value) OVER (PARTITION BY {_PLUG_COLS} ORDER BY ts_ms "
-        f"RANGE BETWEEN {width - 1} PRECEDING AND CURRENT ROW) AS DECIMAL(18,9)), 6) AS DOUBLE) AS plug_median FROM loads"
+        f"RANGE BETWEEN {width - 1} PRECEDING AND CURRENT ROW) AS DECIMAL(38,9)), 6) AS DOUBLE) AS plug_median FROM loads"
     )
 
 
@@ -498,7 +527,7 @@ def _reservoir_sql(keys: str, k: int) -> str:
     head = f"{keys}, " if keys else ""
     group = f" GROUP BY {keys}" if keys else ""
     return _sql(
-        f"SELECT {head}CAST(round(CAST(median(value) AS DECIMAL(18,9)), 6) AS DOUBLE) AS median, count(*) AS n FROM drawn WHERE rn <= {k}{group}",
+        f"SELECT {head}CAST(round(CAST(median(value) AS DECIMAL(38,9)), 6) AS DOUBLE) AS median, count(*) AS n FROM drawn WHERE rn <= {k}{group}",
         f"drawn AS (SELECT *, row_number() OVER ({part}ORDER BY md5('{SAMPLE_SEED}:' || id), id) AS rn FROM loads)",
     )
 
@@ -509,21 +538,21 @@ _SNAPSHOT = f"""latest AS (
 
 def oracle_sql() -> dict[str, str]:
     plug_slice = _sql(
-        f"SELECT {_PLUG_COLS}, slice_idx, CAST(round(CAST(average_load AS DECIMAL(18,9)), 6) AS DOUBLE) AS average_load, readings_count FROM plug_slices"
+        f"SELECT {_PLUG_COLS}, slice_idx, CAST(round(CAST(average_load AS DECIMAL(38,9)), 6) AS DOUBLE) AS average_load, readings_count FROM plug_slices"
     )
     return {
         "load_readings": _sql(f"SELECT id, ts_ms, value, property, {_PLUG_COLS} FROM loads"),
         "archive_plug_slice": plug_slice,
         "archive_window_scan": _sql(
-            f"SELECT {_PLUG_COLS}, CAST(round(CAST(average_load AS DECIMAL(18,9)), 6) AS DOUBLE) AS average_load, readings_count, k.n AS day_count, "
+            f"SELECT {_PLUG_COLS}, CAST(round(CAST(average_load AS DECIMAL(38,9)), 6) AS DOUBLE) AS average_load, readings_count, k.n AS day_count, "
             f"{_LABEL.format(ahead=0)} AS time_slice FROM plug_slices JOIN range(1, 30) AS k(n) ON slice_idx = 2 - 4 * k.n"
         ),
         "archive_house_weighted_avg": _sql(
-            "SELECT house_id, slice_idx, CAST(round(CAST(average_load AS DECIMAL(18,9)), 6) AS DOUBLE) AS average_load, readings_count FROM house_slices"
+            "SELECT house_id, slice_idx, CAST(round(CAST(average_load AS DECIMAL(38,9)), 6) AS DOUBLE) AS average_load, readings_count FROM house_slices"
         ),
         "archive_last_n": _sql(
             "SELECT house_id, CAST(slot AS INTEGER) AS slot, CAST(day AS INTEGER) AS day, CAST(age AS INTEGER) AS age, "
-            "CAST(round(CAST(average_load AS DECIMAL(18,9)), 6) AS DOUBLE) AS average_load FROM aged WHERE age <= 29",
+            "CAST(round(CAST(average_load AS DECIMAL(38,9)), 6) AS DOUBLE) AS average_load FROM aged WHERE age <= 29",
             "days AS (SELECT *, CAST(floor(slice_idx / 4) AS BIGINT) AS day, "
             "slice_idx - 4 * CAST(floor(slice_idx / 4) AS BIGINT) AS slot FROM house_slices)",
             "aged AS (SELECT *, row_number() OVER (PARTITION BY house_id, slot ORDER BY day DESC) AS age FROM days)",
@@ -543,11 +572,11 @@ def oracle_sql() -> dict[str, str]:
         "global_median_24h": _global_sql(DAY_MS),
         "plug_median_24h": _plug_sql(DAY_MS),
         "global_median_grid_1h": _sql(
-            "SELECT (ts_ms // 900000 + k.n) * 900000 AS window_end, CAST(round(CAST(median(value) AS DECIMAL(18,9)), 6) AS DOUBLE) AS median, count(*) AS n "
+            "SELECT (ts_ms // 900000 + k.n) * 900000 AS window_end, CAST(round(CAST(median(value) AS DECIMAL(38,9)), 6) AS DOUBLE) AS median, count(*) AS n "
             "FROM loads CROSS JOIN range(1, 5) AS k(n) GROUP BY (ts_ms // 900000 + k.n) * 900000"
         ),
         "exact_median_house": _sql(
-            "SELECT house_id, CAST(round(CAST(median(value) AS DECIMAL(18,9)), 6) AS DOUBLE) AS median, count(*) AS n FROM loads GROUP BY house_id"
+            "SELECT house_id, CAST(round(CAST(median(value) AS DECIMAL(38,9)), 6) AS DOUBLE) AS median, count(*) AS n FROM loads GROUP BY house_id"
         ),
         "reservoir_median": _reservoir_sql("", 1000),
         "reservoir_median_house": _reservoir_sql("house_id", 50),
@@ -559,7 +588,7 @@ def oracle_sql() -> dict[str, str]:
             "SELECT house_id, quantile_disc(value, 0.5) AS median, count(*) AS n FROM loads GROUP BY house_id"
         ),
         "reading_with_global_median": _sql(
-            f"SELECT id, {_PLUG_COLS}, ts_ms, value, CAST(round(CAST(global_median AS DECIMAL(18,9)), 6) AS DOUBLE) AS global_median FROM medians",
+            f"SELECT id, {_PLUG_COLS}, ts_ms, value, CAST(round(CAST(global_median AS DECIMAL(38,9)), 6) AS DOUBLE) AS global_median FROM medians",
             _flags_cte(HOUR_MS),
         ),
         "plug_flag_changes": _sql(
@@ -573,17 +602,17 @@ def oracle_sql() -> dict[str, str]:
             _flags_cte(HOUR_MS), _SNAPSHOT,
         ),
         "snapshot_percentage": _sql(
-            "SELECT house_id, CAST(round(CAST(avg(CASE WHEN flag THEN 100.0 ELSE 0.0 END) AS DECIMAL(18,9)), 6) AS DOUBLE) AS percentage, count(*) AS plug_count "
+            "SELECT house_id, CAST(round(CAST(avg(CASE WHEN flag THEN 100.0 ELSE 0.0 END) AS DECIMAL(38,9)), 6) AS DOUBLE) AS percentage, count(*) AS plug_count "
             "FROM latest GROUP BY house_id",
             _flags_cte(HOUR_MS), _SNAPSHOT,
         ),
-        "house_outlier_pct_grid": _sql(_GRID_RESULT, _GRID.format(where="", moves=_MOVES)),
+        "house_outlier_pct_grid": _sql(_GRID_RESULT.format(frame=""), _GRID.format(where="", moves=_MOVES)),
         "punctuated_weighted_avg": _sql(
             "SELECT house_id, row_number() OVER (PARTITION BY house_id ORDER BY slice_idx) AS batch_no, "
-            "CAST(round(CAST(average_load AS DECIMAL(18,9)), 6) AS DOUBLE) AS average_load, CAST(readings_count AS BIGINT) AS readings_count FROM house_slices"
+            "CAST(round(CAST(average_load AS DECIMAL(38,9)), 6) AS DOUBLE) AS average_load, CAST(readings_count AS BIGINT) AS readings_count FROM house_slices"
         ),
         "sample_every_n": _sql(
-            "SELECT row_no, id, house_id, CAST(round(CAST(current_load AS DECIMAL(18,9)), 6) AS DOUBLE) AS current_load "
+            "SELECT row_no, id, house_id, CAST(round(CAST(current_load AS DECIMAL(38,9)), 6) AS DOUBLE) AS current_load "
             "FROM (SELECT *, row_number() OVER (ORDER BY ts_ms, id) AS row_no FROM live) WHERE row_no % 100 = 0",
             _running_cte("house_id"),
         ),
@@ -595,19 +624,26 @@ def oracle_sql() -> dict[str, str]:
         "suffix_map": "SELECT w || '!!!!!!' AS word, count(*) AS n, count(DISTINCT doc_id) AS docs "
         "FROM (SELECT doc_id, unnest(string_split(text, ' ')) AS w FROM documents) WHERE w <> '' GROUP BY w",
         "round_half_up": _sql(
-            "SELECT id, CAST(round(CAST(value AS DECIMAL(18,4)), 1) AS DOUBLE) AS rounded FROM readings"
+            "SELECT id, CAST(round(CAST(CAST(value AS VARCHAR) AS DECIMAL(38,18)), 1) AS DOUBLE) AS rounded FROM readings"
         ),
         "sql_steps": _sql(
-            "SELECT house_id, ts_ms // 86400000 AS day_no, CAST(round(CAST(avg(value) AS DECIMAL(18,9)), 6) AS DOUBLE) AS average_load, count(*) AS n, "
+            "SELECT house_id, ts_ms // 86400000 AS day_no, CAST(round(CAST(avg(value) AS DECIMAL(38,9)), 6) AS DOUBLE) AS average_load, count(*) AS n, "
             f"count(DISTINCT (household_id, plug_id)) AS plugs FROM loads GROUP BY house_id, ts_ms // 86400000"
         ),
         "persist_roundtrip": plug_slice,
         "stream_q1a": _predict_sql("house_id", closed=True),
         "stream_q1b": _predict_sql(_PLUG_COLS, closed=True),
         "stream_q2a": _sql(
-            _GRID_RESULT,
-            _GRID.format(where="WHERE window_end <= " + _CLOSED.format(rows="loads"), moves=_MOVES),
+            _GRID_RESULT.format(frame=_FRAME.format(width=DAY_MS).replace("ts_ms", "window_end") + " AS time_frame,"),
+            _GRID.format(where="WHERE window_end <= " + _CLOSED.format(rows="readings"), moves=_MOVES),
         ),
+        "house_limited_plug_slice": plug_slice.replace("FROM loads),", "FROM loads WHERE house_id < 10),"),
+        "q2a_blocks": _outliers_sql(HOUR_MS),
+        "running_blocks": _running_sql("house_id"),
+        "sliding_dense": _global_sql(DAY_MS),
+        "q2a_with_nulls": _holes(_outliers_sql(HOUR_MS)),
+        "house_running_avg_nulls": _holes(_running_sql("house_id")),
+        "running_blocks_nulls": _holes(_running_sql("house_id")),
         **(_extra.ORACLE_SQL if _extra else {}),
         **({"pipeline": _pipeline.ORACLE_SQL} if _pipeline and _pipeline.ORACLE_SQL else {}),
     }

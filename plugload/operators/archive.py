@@ -13,19 +13,20 @@ from plugload.settings import Settings
 
 
 def plug_slices(rows: DataFrame, s: Settings) -> DataFrame:
-    """Average load and reading count per plug and slice. One scan covers every archive day."""
+    """Average load, readings and readings with a value per plug and slice. One scan covers every archive day."""
     return (
         rows.groupBy(*PLUG, slice_index(F.col("ts_ms"), s).alias("slice_idx"))
-        .agg(F.avg("value").alias("average_load"), F.count("*").alias("readings_count"))
+        .agg(F.avg("value").alias("average_load"), F.count("*").alias("readings_count"), F.count("value").alias("value_count"))
     )
 
 
 def house_slices(plugs: DataFrame) -> DataFrame:
-    """House average per slice, plug averages weighted by their reading counts."""
-    weight = F.col("readings_count")
+    """House average per slice, plug averages weighted by the readings that have a value."""
+    weight = F.col("value_count")
+    total = F.sum(weight)
     return plugs.groupBy(*HOUSE, "slice_idx").agg(
-        (F.sum(F.col("average_load") * weight) / F.sum(weight)).alias("average_load"),
-        F.sum(weight).alias("readings_count"),
+        F.when(total > 0, F.sum(F.col("average_load") * weight) / total).alias("average_load"),
+        F.sum("readings_count").alias("readings_count"),
     )
 
 
@@ -97,8 +98,9 @@ def with_markers(plugs: DataFrame) -> DataFrame:
     markers = plugs.select(*HOUSE, "slice_idx").distinct().select(
         *HOUSE, F.lit(-1).alias("household_id"), F.lit(-1).alias("plug_id"), "slice_idx",
         F.lit(-1.0).alias("average_load"), F.lit(1).cast("long").alias("readings_count"),
+        F.lit(1).cast("long").alias("value_count"),
     )
-    return plugs.unionByName(markers).withColumn("is_marker", F.col("average_load") < 0)
+    return plugs.unionByName(markers).withColumn("is_marker", F.col("plug_id") < 0)
 
 
 def punctuated_batches(

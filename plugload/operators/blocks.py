@@ -77,11 +77,17 @@ def running(
     joined = inside.join(carry, group, "left")
     return joined.select(
         *df.columns,
-        *((F.col(f"_l_{k}") + F.coalesce(F.col(f"_c_{k}"), F.lit(0))).alias(k) for k in sums),
+        *(_total(F.col(f"_l_{k}"), F.col(f"_c_{k}")).alias(k) for k in sums),
         *(F.when(F.col("_first"), F.col(f"_c_{k}")).otherwise(F.col(f"_l_{k}")).alias(k) for k in previous),
     )
 
 
+def _total(local: Column, carried: Column) -> Column:
+    """Like sum: null only without any value."""
+    some = F.coalesce(local, F.lit(0)) + F.coalesce(carried, F.lit(0))
+    return F.when(local.isNotNull() | carried.isNotNull(), some)
+
+
 def _window_columns(keys, order, sums, previous) -> list[Column]:
     w = Window.partitionBy(*keys).orderBy(*order)
     upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from plugload.operators.blocks import largest_group, running
+from plugload.operators.sliding import sliding_median
 from plugload.settings import Settings
 
 
@@ -73,15 +74,21 @@ def reservoir_median(
 ) -> DataFrame:
     """Median of k rows per key, drawn uniformly by a hash of (seed, id): repeatable and independent of row order.
 
-    Only the k rows with the smallest hash are wanted, so every task keeps at most k rows per key before the shuffle.
+    Only the k rows with the smallest hash are wanted. Every task keeps at most k rows per key and bucket before the
+    shuffle, every bucket k rows per key before the last step, which so gets a fixed number of rows.
     """
     draw = F.md5(F.concat_ws(":", F.lit(seed), F.col(id_col)))
     rows = df.where(F.col(value).isNotNull()).select(*keys, value, id_col, draw.alias("draw"))
     if keys:
-        w = Window.partitionBy(*keys).orderBy("draw", id_col)
-        sample = rows.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k)
+        sample = rows.withColumn("bucket", F.pmod(F.xxhash64("draw"), F.lit(64)))
+        for group in ([*keys, "bucket"], keys):
+            w = Window.partitionBy(*group).orderBy("draw", id_col)
+            sample = sample.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k)
     else:
-        sample = rows.orderBy("draw", id_col).limit(k)
+        # First the k of each of many buckets, each in a task of its own, then the k of these.
+        w = Window.partitionBy("bucket").orderBy("draw", id_col)
+        first = rows.withColumn("bucket", F.pmod(F.xxhash64("draw"), F.lit(256))).withColumn("rn", F.row_number().over(w))
+        sample = first.where(F.col("rn") <= k).orderBy("draw", id_col).limit(k)
     return sample.groupBy(*keys).agg(F.median(value).alias("median"), F.count("*").alias("n"))
 
 
@@ -92,24 +99,39 @@ def sketch_median(df: DataFrame, keys: Sequence[str], accuracy: int = 10_000, va
     )
 
 
-def grid_windows(ts_ms: Column, width_ms: int, slide_ms: int) -> Column:
-    """Ends of the half-open windows [end - width, end) that hold ts_ms; ends are multiples of the slide."""
+def grid_ends(df: DataFrame, keys: Sequence[str], width_ms: int, slide_ms: int) -> DataFrame:
+    """Columns keys, window_end, n: the half-open windows [end - width, end) that hold values, each once.
+
+    Ends are multiples of the slide. Values are counted per pane of one slide; a pane adds the ends that the pane
+    before it did not reach, and range sums of the panes give n. A key has at most one pane per slide of time.
+    """
     if width_ms % slide_ms:
         raise ValueError("the slide must divide the width")
-    first = (F.floor(ts_ms / slide_ms) + 1) * slide_ms
-    return F.explode(F.sequence(first, first + (width_ms - slide_ms), F.lit(slide_ms)))
-
-
-def grid_histogram(df: DataFrame, keys: Sequence[str], width_ms: int, slide_ms: int) -> DataFrame:
-    """Histogram per key and window end. Readings are counted per pane first, then panes are copied to windows."""
-    pane = (F.floor(F.col("ts_ms") / slide_ms) * slide_ms).alias("pane_ms")
-    panes = histogram(df.select(*keys, pane, "value"), [*keys, "pane_ms"])
-    end = grid_windows(F.col("pane_ms"), width_ms, slide_ms).alias("window_end")
-    return panes.select(*keys, end, "value", "n").groupBy(*keys, "window_end", "value").agg(F.sum("n").alias("n"))
+    pane = ((F.floor(F.col("ts_ms") / slide_ms) + 1) * slide_ms).alias("window_end")
+    panes = df.where(F.col("value").isNotNull()).groupBy(*keys, pane).agg(F.count("*").alias("n"))
+    along = Window.partitionBy(*keys).orderBy("window_end")
+    first = F.greatest("window_end", F.coalesce(F.lag("window_end").over(along) + width_ms, "window_end"))
+    last = F.col("window_end") + (width_ms - slide_ms)
+    asked = panes.select(*keys, first.alias("first"), last.alias("last")).where("first <= last")
+    asked = asked.select(*keys, F.explode(F.sequence("first", "last", F.lit(slide_ms))).alias("window_end"))
+    every = panes.withColumn("asked", F.lit(False)).unionByName(
+        asked.select("*", F.lit(0).cast("long").alias("n"), F.lit(True).alias("asked"))
+    )
+    inside = F.sum("n").over(along.rangeBetween(-(width_ms - slide_ms), 0))
+    return every.withColumn("n", inside).where("asked").drop("asked")
 
 
 def grid_median(df: DataFrame, keys: Sequence[str], width_ms: int, slide_ms: int, s: Settings) -> DataFrame:
-    # A window touches two aligned spans of its width.
-    bound = rows_bound(df, [*keys, F.floor(F.col("ts_ms") / width_ms)], s, copies=2)
-    hist = grid_histogram(df, keys, width_ms, slide_ms)
-    return median_of_histogram(hist, [*keys, "window_end"], s, largest=bound)
+    """Columns keys, window_end, median, n for every window that holds values.
+
+    A window is the sliding window asked one millisecond before its end, so no reading is copied to its windows.
+    ``df`` needs keys, ts_ms, value and id.
+    """
+    ends = grid_ends(df, keys, width_ms, slide_ms)
+    asked = ends.select(
+        *keys, (F.col("window_end") - 1).alias("ts_ms"), F.lit(None).cast("double").alias("value"), F.lit((1 << 63) - 1).alias("id")
+    )
+    rows = df.where(F.col("value").isNotNull()).select(*keys, "ts_ms", "value", "id").unionByName(asked)
+    answered = sliding_median(rows, keys, width_ms, s).withColumn("window_end", F.col("ts_ms") + 1)
+    medians = answered.where(F.col("window_end") % slide_ms == 0).select(*keys, "window_end", "median")
+    return medians.join(ends, [*keys, "window_end"])

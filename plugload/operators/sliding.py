@@ -171,7 +171,8 @@ def _dense_medians(spread: DataFrame, keys: list[str], width_ms: int, total: int
     events = spread.select(*shape(F.col("ts_ms"), F.col("value"), F.lit(1), F.col("kind"), F.col("id")))
 
     # The middle bins meet every chunk of a span: salt them so that the join output spreads.
-    salts = 32
+    # More blocks in all mean more of them per span and more salts.
+    salts = min(1024, max(32, 2 * total // s.block_rows))
     wanted = band.select(*group, "bin", F.col("chunk").alias("for_chunk"), "first").withColumn(
         "salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
     )

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from plugload.functions.columns import above, share_of_true, time_frame
 from plugload.operators.blocks import running
-from plugload.operators.medians import grid_histogram, median_of_histogram
+from plugload.operators.medians import grid_median, median_of_histogram
 from plugload.operators.sliding import sliding_median, span_widths
 from plugload.schema import HOUSE, PLUG
 from plugload.settings import DAY_MS, Settings
@@ -66,10 +66,12 @@ def plug_flags(readings: DataFrame, s: Settings, sizes: Sizes | None = None) ->
     """Per plug and reading time the flag "plug median above global median".
 
     Both medians depend on the time only, so readings of one plug in the same millisecond share one row; its id is
-    the smallest of them, the reading at which a change would be seen first.
+    the smallest of them, the reading at which a change would be seen first. A window without value has no median and
+    gives no flag.
     """
     sizes = sizes or measure(load_only(readings), s.window_ms)
-    flags = plug_median(readings, s, sizes).join(global_median(readings, s, sizes), "ts_ms")
+    plugs = plug_median(readings, s, sizes).where("plug_median is not null")
+    flags = plugs.join(global_median(readings, s, sizes), "ts_ms")
     return flags.withColumn("flag", above(F.col("plug_median"), F.col("global_median")))
 
 
@@ -142,9 +144,8 @@ def grid_flags(hist: DataFrame, s: Settings, sizes: Sizes | None = None) -> Data
 def grid_outliers(readings: DataFrame, slide_ms: int, s: Settings) -> DataFrame:
     """Change events on a grid of windows, in the order (window_end, household, plug) within a house."""
     load = load_only(readings)
-    # A window touches two aligned spans of its width; a reading lies in width / slide windows.
-    one, copies = measure(load, s.window_ms), s.window_ms // slide_ms
-    sizes = Sizes(one.rows * copies, 2 * one.time_span, 2 * one.plug_span, one.plug * copies, one.house * copies)
-    hist = grid_histogram(load, PLUG, s.window_ms, slide_ms)
-    changes = flag_changes(grid_flags(hist, s, sizes), ["window_end"], s, sizes.plug)
-    return percentages(changes, ["window_end", "household_id", "plug_id"], s, sizes.house)
+    plugs = grid_median(load, PLUG, s.window_ms, slide_ms, s).select(*PLUG, "window_end", F.col("median").alias("plug_median"))
+    overall = grid_median(load, [], s.window_ms, slide_ms, s).select("window_end", F.col("median").alias("global_median"))
+    flags = plugs.join(overall, "window_end").withColumn("flag", above(F.col("plug_median"), F.col("global_median")))
+    changes = flag_changes(flags, ["window_end"], s)
+    return percentages(changes, ["window_end", "household_id", "plug_id"], s)

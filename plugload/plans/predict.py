@@ -15,15 +15,19 @@ from plugload.sources.readings import between, slice_rows
 
 
 def running_average(rows: DataFrame, keys: Sequence[str], s: Settings) -> DataFrame:
-    """Average and count within the slice up to each reading, per house or per plug."""
+    """Average and count within the slice up to each reading, per house or per plug.
+
+    Readings without value are counted and do not move the average, which is null until there is a value.
+    """
     rows = rows.withColumn("slice_idx", slice_index(F.col("ts_ms"), s))
     group = [*keys, "slice_idx"]
     one = F.lit(1).cast("long")
     with_sums = running(
-        rows, group, ["ts_ms", "id"], s, sums={"_sum": F.col("value"), "readings_count": one},
+        rows, group, ["ts_ms", "id"], s,
+        sums={"_sum": F.col("value"), "_values": F.when(F.col("value").isNotNull(), one), "readings_count": one},
         largest=largest_group(rows, group),
     )
-    return with_sums.withColumn("current_load", F.col("_sum") / F.col("readings_count")).drop("_sum")
+    return with_sums.withColumn("current_load", F.col("_sum") / F.col("_values")).drop("_sum", "_values")
 
 
 def slice_average(rows: DataFrame, keys: Sequence[str], s: Settings) -> DataFrame:
@@ -41,15 +45,16 @@ def key_averages(rows: DataFrame, keys: Sequence[str], s: Settings) -> DataFrame
 def predict(readings: DataFrame, keys: Sequence[str], s: Settings) -> DataFrame:
     """One row per key and live slice with its average and the predicted load of the target slice.
 
-    The archive is everything in ``readings``: live data become archive a day later.
+    The archive is everything in ``readings`` from the oldest day that a live slice may need: live data become
+    archive a day later.
     """
-    rows = slice_rows(readings, s)
+    rows = slice_rows(between(readings, s.history_start_ms), s)
     return _finish(history_of_live(key_averages(rows, keys, s), keys, s), s)
 
 
 def predict_per_reading(readings: DataFrame, keys: Sequence[str], s: Settings) -> DataFrame:
     """The same with one row per live reading, current_load being the average up to that reading."""
-    rows = slice_rows(readings, s)
+    rows = slice_rows(between(readings, s.history_start_ms), s)
     medians = history_of_live(key_averages(rows, keys, s), keys, s)
     medians = medians.select(*keys, "slice_idx", "target_slice", "history_median")
     live = running_average(between(rows, s.live_start_ms), keys, s)

@@ -21,8 +21,10 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir; a temporary one only for a local session without it."""
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None and context._jsc.sc().getCheckpointDir().isDefined():
+        folder = context._jsc.sc().getCheckpointDir().get()
     if folder is None:
-        if not context.master.startswith("local"):
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
         folder = _local_dirs.setdefault(context.applicationId, "")
         if not folder:
@@ -39,3 +41,26 @@ def materialized(df: DataFrame) -> DataFrame:
     folder = new_folder(df.sparkSession, "table")
     df.write.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def _path(spark: SparkSession, folder: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def is_folder(spark: SparkSession, folder: str) -> bool:
+    """Whether a path names a folder, on whatever file system it is."""
+    path, files = _path(spark, folder)
+    return files.exists(path) and files.getFileStatus(path).isDirectory()
+
+
+def subfolders(spark: SparkSession, folder: str) -> list[str]:
+    """Names of the folders within a folder; none if it does not exist."""
+    path, files = _path(spark, folder)
+    return sorted(f.getPath().getName() for f in files.listStatus(path) if f.isDirectory()) if files.exists(path) else []
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder that this package wrote, if it is there."""
+    path, files = _path(spark, folder)
+    files.delete(path, True)

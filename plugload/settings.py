@@ -18,7 +18,10 @@ class Settings:
     slice_ms: int = 60_000
     lookahead_slices: int = 2
     history_days: int = 29
-    house_limit: int = 10
+    # Day streams that a running prediction starts from; its history then grows up to history_days as days pass.
+    start_days: int = 29
+    # Houses with this number or above are left out of slice_rows; None keeps all.
+    house_limit: int | None = None
     window_ms: int = 3_600_000
     watermark_ms: int = 60_000
     jdbc_batch_rows: int = 5_000
@@ -43,6 +46,11 @@ class Settings:
         """Start of the first archive slice: one day back, two slices ahead."""
         return self.live_start_ms - DAY_MS + self.lookahead_slices * self.slice_ms
 
+    @property
+    def history_start_ms(self) -> int:
+        """Start of the oldest slice that the history of a live slice may need."""
+        return self.live_start_ms + (self.lookahead_slices - self.history_days * self.slices_per_day) * self.slice_ms
+
     def with_window(self, window_ms: int) -> "Settings":
         return replace(self, window_ms=window_ms)
 
@@ -53,6 +61,6 @@ class Settings:
         names = {
             "live.start.time": ("live_start_ms", 1),
             "slice.in.mins": ("slice_ms", 60_000),
-            "number.of.archive.streams": ("history_days", 1),
+            "number.of.archive.streams": ("start_days", 1),
         }
         return cls(**{field: int(values[name]) * factor for name, (field, factor) in names.items() if name in values})

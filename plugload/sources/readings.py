@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import DateType, StructField, StructType
 
 from plugload.schema import PLUG, READING
-from plugload.session import configure
+from plugload.session import configure, is_folder
 from plugload.settings import LOAD, Settings
 
 
@@ -23,18 +24,36 @@ def between(df: DataFrame, start_ms: int | None = None, end_ms: int | None = Non
     return df
 
 
+def usable(df: DataFrame) -> DataFrame:
+    """Rows that are readings: those with an id and a time. Files of JSON or CSV may hold others."""
+    return df.where("id is not null and ts_ms is not null")
+
+
 def load_only(df: DataFrame, house_limit: int | None = None) -> DataFrame:
-    df = df.where(F.col("property") == LOAD)
+    """Load readings. A value that is NaN becomes null: such a reading exists and is counted, but has no value."""
+    df = df.where(F.col("property") == LOAD).withColumn("value", F.when(~F.isnan("value"), F.col("value")))
     return df if house_limit is None else df.where(F.col("house_id") < house_limit)
 
 
 def read_readings(spark: SparkSession, path: str, fmt: str = "parquet", **options: str) -> DataFrame:
-    return configure(spark).read.format(fmt).schema(READING).options(**options).load(path)
+    return usable(configure(spark).read.format(fmt).schema(READING).options(**options).load(path))
+
+
+def read_archive(spark: SparkSession, folder: str, start_ms: int | None = None, end_ms: int | None = None) -> DataFrame:
+    """Readings of a time range from an archive that ``persist_readings`` wrote; only its days are listed and read."""
+    schema = StructType([*READING.fields, StructField("day", DateType())])
+    rows = configure(spark).read.schema(schema).parquet(folder)
+    day = lambda ms: F.to_date(F.timestamp_millis(F.lit(ms)))
+    if start_ms is not None:
+        rows = rows.where(F.col("day") >= day(start_ms))
+    if end_ms is not None:
+        rows = rows.where(F.col("day") <= day(end_ms - 1))
+    return between(rows, start_ms, end_ms).drop("day")
 
 
 def stream_readings(spark: SparkSession, path: str, fmt: str = "parquet", **options: str) -> DataFrame:
     reader = configure(spark).readStream.format(fmt).schema(READING).options(**options)
-    return with_event_time(reader.load(path))
+    return with_event_time(usable(reader.load(path)))
 
 
 def stream_kafka(spark: SparkSession, servers: str, topic: str, **options: str) -> DataFrame:
@@ -48,7 +67,7 @@ def stream_kafka(spark: SparkSession, servers: str, topic: str, **options: str)
 
 def parse_json(raw: DataFrame) -> DataFrame:
     reading = F.from_json(F.col("value").cast("string"), READING)
-    return raw.select(reading.alias("r")).select("r.*").where("id is not null and ts_ms is not null")
+    return usable(raw.select(reading.alias("r")).select("r.*"))
 
 
 def jdbc_options(
@@ -77,8 +96,27 @@ def read_jdbc_archive(
     return between(to_readings(raw.withColumnRenamed("time_stamp", "ts_ms")), start_ms, end_ms)
 
 
-def read_jdbc_query(spark: SparkSession, url: str, query: str, **properties: str) -> DataFrame:
-    return spark.read.format("jdbc").options(url=url, query=query, **properties).load()
+def jdbc_query_options(
+    url: str, query: str, split_by: str | None = None, bounds: tuple[int, int] = (0, 0), partitions: int = 1
+) -> dict[str, str]:
+    """Options of a JDBC query; with a numeric column to split by, it runs as parallel range queries."""
+    if split_by is None:
+        return {"url": url, "query": query}
+    if bounds[1] <= bounds[0]:
+        raise ValueError("empty range")
+    return {
+        "url": url, "dbtable": f"({query}) q", "partitionColumn": split_by, "lowerBound": str(bounds[0]),
+        "upperBound": str(bounds[1]), "numPartitions": str(partitions),
+    }
+
+
+def read_jdbc_query(
+    spark: SparkSession, url: str, query: str, split_by: str | None = None, bounds: tuple[int, int] = (0, 0),
+    partitions: int = 1, **properties: str,
+) -> DataFrame:
+    """Rows of a query. Without ``split_by`` the result comes through one task, which suits small results only."""
+    options = jdbc_query_options(url, query, split_by, bounds, partitions)
+    return spark.read.format("jdbc").options(**properties, **options).load()
 
 
 def to_readings(df: DataFrame) -> DataFrame:
@@ -113,11 +151,16 @@ def readings_from_events(
 
 
 def stream_readings_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    schema = configure(spark).read.parquet(f"{sf_dir}/events.parquet").schema
-    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    """The events table as a stream, be it one file or a folder of part files."""
+    path = f"{sf_dir}/events.parquet"
+    reader = spark.readStream.schema(configure(spark).read.parquet(path).schema)
+    if is_folder(spark, path):
+        events = reader.parquet(path)
+    else:
+        events = reader.option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     return with_event_time(_from_events(events))
 
 
 def slice_rows(readings: DataFrame, s: Settings) -> DataFrame:
-    """Load readings below the house limit, as the archive scan selects them."""
+    """Load readings as the archive scan selects them, below the house limit if one is set."""
     return load_only(readings, s.house_limit).select("id", "ts_ms", "value", *PLUG)

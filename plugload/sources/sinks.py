@@ -23,7 +23,7 @@ def with_day_folder(df: DataFrame) -> DataFrame:
 def persist_readings(
     stream: DataFrame, folder: str, state: str, available_now: bool = False, trigger: str = "1 minute"
 ) -> StreamingQuery:
-    """Append live readings to the Parquet archive, one folder per day so that archive scans prune.
+    """Append live readings to the Parquet archive, one folder per day; ``read_archive`` reads a range of days.
 
     The file sink commits each micro-batch once; a restart from ``state`` neither loses nor repeats rows.
     """
@@ -34,12 +34,20 @@ def persist_readings(
     )
 
 
-def jdbc_writer(url: str, table: str, s: Settings, **properties: str) -> Callable[[DataFrame, int], None]:
-    """foreachBatch function that appends readings to the relational archive in batches of jdbc_batch_rows."""
+def jdbc_writer(
+    url: str, table: str, s: Settings, staged: bool = True, **properties: str
+) -> Callable[[DataFrame, int], None]:
+    """foreachBatch function that writes readings to the relational archive in batches of jdbc_batch_rows.
+
+    Each micro-batch has a table of its own, ``<table>_<batch id>``, which a retry overwrites, so no row is stored
+    twice; a view over them or a scheduled insert gives the archive. With ``staged=False`` rows are appended to the
+    archive at once and a retried micro-batch repeats its rows.
+    """
     options = {**properties, "batchsize": str(s.jdbc_batch_rows)}
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        archive_rows(batch).write.jdbc(url, table, mode="append", properties=options)
+        target, mode = (f"{table}_{batch_id}", "overwrite") if staged else (table, "append")
+        archive_rows(batch).write.jdbc(url, target, mode=mode, properties=options)
 
     return write
 

@@ -7,27 +7,29 @@ readings of a closed window are dropped.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from time import time
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from plugload.functions.columns import predicted, slice_index, slice_label
+from plugload.functions.columns import day_of, predicted, slice_index, slice_label, time_frame
 from plugload.operators.archive import history_median
 from plugload.plans.outliers import Sizes, count_moves, flag_changes, grid_flags
 from plugload.plans.predict import key_averages
 from plugload.operators.blocks import running
 from plugload.schema import HOUSE, PLUG
-from plugload.settings import Settings
-from plugload.sources.readings import between, load_only, slice_rows
+from plugload.session import remove, subfolders
+from plugload.settings import LOAD, Settings
+from plugload.sources.readings import between, slice_rows
 
 PREDICTION = (
     "slice_idx bigint, current_load double, readings_count bigint, history_median double, history_count bigint, "
-    "target_slice bigint, predicted_load double, time_slice string"
+    "target_slice bigint, predicted_load double, time_slice string, eval_ms bigint"
 )
 FLAGS = "house_id int, household_id int, plug_id int, flag boolean"
 CHANGES = (
     "house_id int, household_id int, plug_id int, window_end bigint, flag boolean, "
-    "above_count bigint, plug_count bigint, percentage double"
+    "above_count bigint, plug_count bigint, percentage double, time_frame string, eval_ms bigint"
 )
 
 
@@ -39,24 +41,68 @@ def _trigger(available_now: bool, every: str) -> dict:
     return {"availableNow": True} if available_now else {"processingTime": every}
 
 
+def _load(s: Settings, limited: bool) -> Column:
+    wanted = F.col("property") == LOAD
+    return wanted & (F.col("house_id") < s.house_limit) if limited and s.house_limit is not None else wanted
+
+
 def slice_averages(stream: DataFrame, keys: Sequence[str], s: Settings) -> DataFrame:
-    """Streaming average and count per key and closed slice."""
+    """Streaming average and count per key and closed slice.
+
+    Any reading moves the watermark, also one that does not count here; so the readings that do not are not filtered
+    out before but gathered under null keys, as groups without a counted reading, which are dropped at the end.
+    """
     slices = F.window("ts", _interval(s.slice_ms), startTime=_interval(s.live_start_ms % s.slice_ms))
-    rows = load_only(stream, s.house_limit).where(F.col("ts_ms") >= s.live_start_ms)
-    closed = rows.withWatermark("ts", _interval(s.watermark_ms)).groupBy(*keys, slices).agg(
-        F.avg("value").alias("current_load"), F.count("*").alias("readings_count")
-    )
-    return closed.select(
+    wanted = _load(s, limited=True) & (F.col("ts_ms") >= s.live_start_ms)
+    number = F.when(wanted & ~F.isnan("value"), F.col("value"))
+    closed = stream.withWatermark("ts", _interval(s.watermark_ms)).groupBy(
+        *(F.when(wanted, F.col(k)).alias(k) for k in keys), slices
+    ).agg(F.avg(number).alias("current_load"), F.count(F.when(wanted, 1)).alias("readings_count"))
+    return closed.where("readings_count > 0").select(
         *keys, slice_index(F.unix_millis("window.start"), s).alias("slice_idx"), "current_load", "readings_count"
     )
 
 
 def prepare_history(archive: DataFrame, keys: Sequence[str], s: Settings, folder: str) -> None:
-    """Write the slice averages of the archive before live_start, the starting history of ``stream_prediction``."""
-    rows = slice_rows(between(archive, end_ms=s.live_start_ms), s)
-    # Files hold ranges of slices, so that a batch skips those outside its days.
-    averages = key_averages(rows, keys, s).repartitionByRange("slice_idx", *keys)
-    averages.write.mode("overwrite").parquet(f"{folder}/averages/batch=-1")
+    """Write the slice averages of ``start_days`` days before live_start, the starting history of ``stream_prediction``."""
+    first = s.live_start_ms + (s.lookahead_slices - s.start_days * s.slices_per_day) * s.slice_ms
+    rows = slice_rows(between(archive, first, s.live_start_ms), s)
+    _store_averages(key_averages(rows, keys, s), s, folder, -1)
+
+
+def _store_averages(averages: DataFrame, s: Settings, folder: str, batch_id: int) -> None:
+    """Put averages into the folders of their days; those of the same batch and day are replaced."""
+    dated = averages.withColumn("day", day_of(F.col("slice_idx"), s)).withColumn("batch", F.lit(batch_id))
+    dated = dated.repartitionByRange("day", "slice_idx")
+    writer = dated.write.partitionBy("day", "batch").mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.parquet(f"{folder}/averages")
+
+
+def _stored_averages(spark: SparkSession, folder: str, schema: str, days: Sequence[int]) -> DataFrame:
+    """Averages of the given days; only their folders are listed. A batch and a merged copy of it count once."""
+    there = set(subfolders(spark, f"{folder}/averages"))
+    paths = [f"{folder}/averages/day={d}" for d in days if f"day={d}" in there]
+    if not paths:
+        return _empty(spark, schema)
+    return spark.read.schema(schema).option("basePath", f"{folder}/averages").parquet(*paths)
+
+
+def _tidy_averages(spark: SparkSession, folder: str, schema: str, keys: Sequence[str], s: Settings, first: int, batch_id: int) -> None:
+    """Remove days that no later slice needs and merge the batches of each complete day into one.
+
+    The merged copy is written before the batches are removed; readers drop repeated averages, so a failure between
+    the two does no harm.
+    """
+    for name in subfolders(spark, f"{folder}/averages"):
+        day = int(name.split("=")[1])
+        path = f"{folder}/averages/{name}"
+        if day < first - s.history_days:
+            remove(spark, path)
+        elif day < first and len(batches := subfolders(spark, path)) > 1:
+            every = _stored_averages(spark, folder, schema, [day]).dropDuplicates([*keys, "slice_idx"])
+            _store_averages(every.drop("day", "batch"), s, folder, -2 - batch_id)
+            for old in batches:
+                remove(spark, f"{path}/{old}")
 
 
 def stream_prediction(
@@ -66,31 +112,32 @@ def stream_prediction(
     """Predictions for each closed slice, written to folder/predictions/batch=<id>.
 
     The history is the table folder/averages: the averages of the archive (``prepare_history``) and those of every
-    slice closed since, so live data become history a day later and no raw reading is read again. A batch reads only
-    the slices it needs. Writing a batch again replaces its folders: a retry leaves no duplicates.
+    slice closed since, so live data become history a day later and no raw reading is read again. The table has a
+    folder per day: a batch lists and reads only the days it needs, complete days are merged, days beyond the history
+    are removed. Writing a batch again replaces its folders: a retry leaves no duplicates. ``eval_ms`` is the time
+    at which a batch was evaluated, for ``sinks.with_latency``.
     """
     spark = stream.sparkSession
     key_types = ", ".join(f"{k} int" for k in keys)
-    columns = f"{key_types}, slice_idx bigint, average_load double, readings_count bigint"
+    columns = f"{key_types}, slice_idx bigint, average_load double, readings_count bigint, day int, batch bigint"
 
     def write(batch: DataFrame, batch_id: int) -> None:
         target = f"{folder}/predictions/batch={batch_id}"
-        closed = batch.withColumnRenamed("current_load", "average_load")
-        closed.write.mode("overwrite").parquet(f"{folder}/averages/batch={batch_id}")
-        stored = spark.read.schema(f"{columns}, batch int").parquet(f"{folder}/averages")
-        current = stored.where(F.col("batch") == batch_id)
-        first, last = current.agg(F.min("slice_idx"), F.max("slice_idx")).first()
-        if first is None:
+        _store_averages(batch.withColumnRenamed("current_load", "average_load"), s, folder, batch_id)
+        newest = [int(n.split("=")[1]) for n in subfolders(spark, f"{folder}/averages")]
+        newest = [d for d in newest if f"batch={batch_id}" in subfolders(spark, f"{folder}/averages/day={d}")]
+        if not newest:
             _empty(spark, f"{key_types}, {PREDICTION}").write.mode("overwrite").parquet(target)
             return
-        oldest = first + s.lookahead_slices - s.history_days * s.slices_per_day
-        newest = last + s.lookahead_slices - s.slices_per_day
-        history = stored.where((F.col("batch") <= batch_id) & F.col("slice_idx").between(oldest, newest)).drop("batch")
-        current = current.drop("batch").withColumnRenamed("average_load", "current_load")
-        joined = history_median(history, current, keys, s)
+        current = _stored_averages(spark, folder, columns, newest).where(F.col("batch") == batch_id).drop("batch", "day")
+        ahead = -(-s.lookahead_slices // s.slices_per_day)
+        days = range(min(newest) - s.history_days, max(newest) + ahead)
+        history = _stored_averages(spark, folder, columns, days).drop("batch", "day").dropDuplicates([*keys, "slice_idx"])
+        joined = history_median(history, current.withColumnRenamed("average_load", "current_load"), keys, s)
         result = joined.withColumn("predicted_load", predicted(F.col("history_median"), F.col("current_load")))
         result = result.withColumn("time_slice", slice_label(F.col("target_slice"), s))
-        result.write.mode("overwrite").parquet(target)
+        result.withColumn("eval_ms", F.lit(round(time() * 1000))).write.mode("overwrite").parquet(target)
+        _tidy_averages(spark, folder, columns, keys, s, min(newest), batch_id)
 
     return (
         slice_averages(stream, keys, s).writeStream.outputMode("append").foreachBatch(write)
@@ -98,14 +145,26 @@ def stream_prediction(
     )
 
 
-def window_histogram(stream: DataFrame, slide_ms: int, s: Settings) -> DataFrame:
-    """Value counts per plug and closed window. State rows are (plug, window, value): no state value grows."""
-    windows = F.window("ts", _interval(s.window_ms), _interval(slide_ms))
-    counted = (
-        load_only(stream).where("value is not null").withWatermark("ts", _interval(s.watermark_ms))
-        .groupBy(windows, *PLUG, "value").agg(F.count("*").alias("n"))
-    )
-    return counted.select(*PLUG, F.unix_millis("window.end").alias("window_end"), "value", "n")
+def pane_histogram(stream: DataFrame, slide_ms: int, s: Settings) -> DataFrame:
+    """Value counts per plug and closed pane of one slide. State rows are (plug, pane, value): each reading is counted
+    once, whatever the width of the windows. Any reading moves the watermark, as in ``slice_averages``."""
+    if s.window_ms % slide_ms:
+        raise ValueError("the slide must divide the width")
+    wanted = _load(s, limited=False) & F.col("value").isNotNull() & ~F.isnan("value")
+    names = [*PLUG, "value"]
+    counted = stream.withWatermark("ts", _interval(s.watermark_ms)).groupBy(
+        F.window("ts", _interval(slide_ms)), *(F.when(wanted, F.col(k)).alias(k) for k in names)
+    ).agg(F.count(F.when(wanted, 1)).alias("n"))
+    return counted.where("n > 0").select(*PLUG, F.unix_millis("window.end").alias("pane_end"), "value", "n")
+
+
+def windows_of_panes(panes: DataFrame, first: int, last: int, slide_ms: int, width_ms: int) -> DataFrame:
+    """Histogram per plug and window that ends from ``first`` to ``last``, from the panes that such windows hold."""
+    start = F.greatest(F.col("pane_end"), F.lit(first))
+    end = F.least(F.col("pane_end") + (width_ms - slide_ms), F.lit(last))
+    held = panes.where((F.col("pane_end") > first - width_ms) & (F.col("pane_end") <= last) & (start <= end))
+    ends = F.explode(F.sequence(start, end, F.lit(slide_ms))).alias("window_end")
+    return held.select(*PLUG, ends, "value", "n").groupBy(*PLUG, "window_end", "value").agg(F.sum("n").alias("n"))
 
 
 def stream_outliers(
@@ -114,40 +173,76 @@ def stream_outliers(
 ) -> StreamingQuery:
     """Percentage changes per house for each closed window, written to folder/changes/batch=<id>.
 
-    The last flag of every plug is kept as a table, one version per micro-batch (folder/flags/batch=<id>); it never
-    expires. A batch reads version id - 1 and replaces version id, so a retry gives the same result. All steps are
-    distributed over plugs, values and blocks; nothing is kept per house.
+    Closed panes are stored, and a batch builds the windows that have become complete from the panes of one width; a
+    window is complete once a pane that ends with it or later has closed. The last flag of every plug is kept as a
+    table, one version per micro-batch (folder/flags/batch=<id>); it never expires. A batch reads version id - 1
+    and replaces version id, so a retry gives the same result. What a retry cannot need is removed when the next
+    batch begins, so the folder holds the panes of one width and two versions of the flags, however long the stream
+    runs. All steps are distributed over plugs, values and blocks; nothing is kept per house.
     """
     spark = stream.sparkSession
 
     def write(batch: DataFrame, batch_id: int) -> None:
         part = f"batch={batch_id}"
-        batch.write.mode("overwrite").parquet(f"{folder}/histogram/{part}")
-        hist = spark.read.schema(batch.schema).parquet(f"{folder}/histogram/{part}")
-        known = _known_flags(spark, folder, batch_id)
-        rows = hist.count()  # from the Parquet footers
-        if rows == 0:
+        batch.write.mode("overwrite").parquet(f"{folder}/panes/{part}")
+        own = spark.read.schema(batch.schema).parquet(f"{folder}/panes/{part}")
+        known, kept = _known_flags(spark, folder, batch_id), _known_panes(spark, folder, batch_id)
+        oldest, newest = own.agg(F.min("pane_end"), F.max("pane_end")).first()
+        before = max(kept.values(), default=None)
+        _tidy_outliers(spark, folder, batch_id, kept)
+        if newest is None:
+            _remember_panes(spark, folder, batch_id, kept)
             known.write.mode("overwrite").parquet(f"{folder}/flags/{part}")
             _empty(spark, CHANGES).write.mode("overwrite").parquet(f"{folder}/changes/{part}")
             return
+        first = oldest if before is None else before + slide_ms
+        needed = [b for b, end in kept.items() if end > first - s.window_ms]
+        panes = spark.read.schema(batch.schema).parquet(*(f"{folder}/panes/batch={b}" for b in [*needed, batch_id]))
+        windows_of_panes(panes, first, newest, slide_ms, s.window_ms).write.mode("overwrite").parquet(f"{folder}/histogram/{part}")
+        hist = spark.read.parquet(f"{folder}/histogram/{part}")
+        rows = hist.count()  # from the Parquet footers
         # The whole batch bounds every group; if that is no proof of small groups they are counted one by one.
         sizes = Sizes(rows, rows, rows, rows, rows) if rows <= s.window_rows else None
         grid_flags(hist, s, sizes).write.mode("overwrite").parquet(f"{folder}/windows/{part}")
         flags = spark.read.parquet(f"{folder}/windows/{part}")
         latest = flags.groupBy(*PLUG).agg(F.max_by("flag", "window_end").alias("flag"))
-        kept = known.join(latest, PLUG, "left_anti")
-        latest.unionByName(kept).write.mode("overwrite").parquet(f"{folder}/flags/{part}")
+        silent = known.join(latest, PLUG, "left_anti")
+        latest.unionByName(silent).write.mode("overwrite").parquet(f"{folder}/flags/{part}")
 
         most = sizes.house if sizes else None
         result = continued_percentages(continued_changes(flags, known, s, most), known, s, most)
-        result.write.mode("overwrite").parquet(f"{folder}/changes/{part}")
+        result = result.withColumn("time_frame", time_frame(F.col("window_end"), s.window_ms))
+        result.withColumn("eval_ms", F.lit(round(time() * 1000))).write.mode("overwrite").parquet(f"{folder}/changes/{part}")
+        _remember_panes(spark, folder, batch_id, {b: end for b, end in {**kept, batch_id: newest}.items() if end > newest - s.window_ms})
 
     return (
-        window_histogram(stream, slide_ms, s).writeStream.outputMode("append").foreachBatch(write)
+        pane_histogram(stream, slide_ms, s).writeStream.outputMode("append").foreachBatch(write)
         .option("checkpointLocation", state).trigger(**_trigger(available_now, every)).start()
     )
 
 
+def _known_panes(spark: SparkSession, folder: str, batch_id: int) -> dict[int, int]:
+    """Batches whose panes later windows may need, and where their last pane ends; at most width / slide and one."""
+    if batch_id == 0:
+        return {}
+    rows = spark.read.schema("pane_batch bigint, newest bigint").parquet(f"{folder}/kept/batch={batch_id - 1}").collect()
+    return {r["pane_batch"]: r["newest"] for r in rows}
+
+
+def _remember_panes(spark: SparkSession, folder: str, batch_id: int, kept: dict[int, int]) -> None:
+    rows = spark.createDataFrame(list(kept.items()), "pane_batch bigint, newest bigint")
+    rows.coalesce(1).write.mode("overwrite").parquet(f"{folder}/kept/batch={batch_id}")
+
+
+def _tidy_outliers(spark: SparkSession, folder: str, batch_id: int, kept: dict[int, int]) -> None:
+    """Remove what batches before the last one left and no later batch reads."""
+    for table, oldest in (("flags", batch_id - 1), ("kept", batch_id - 1), ("histogram", batch_id), ("windows", batch_id), ("panes", batch_id)):
+        for name in subfolders(spark, f"{folder}/{table}"):
+            number = int(name.split("=")[1])
+            if number < oldest and not (table == "panes" and number in kept):
+                remove(spark, f"{folder}/{table}/{name}")
+
+
 def _empty(spark: SparkSession, schema: str) -> DataFrame:
     columns = [part.split() for part in schema.split(", ")]
     return spark.range(0).select(*(F.lit(None).cast(kind).alias(name) for name, kind in columns))

@@ -1,13 +1,13 @@
 import pytest
+from pyspark.sql import functions as F
 
 from plugload.operators import archive as A
-from plugload.plans.outliers import flag_changes, grid_flags, percentages
-from plugload.operators.medians import grid_histogram
+from plugload.plans.outliers import grid_outliers
 from plugload.plans.predict import predict
 from plugload.schema import HOUSE, PLUG, READING
 from plugload.settings import Settings
 from plugload.sources import sinks
-from plugload.sources.readings import load_only, read_readings, slice_rows, stream_readings
+from plugload.sources.readings import read_readings, slice_rows, stream_readings
 from plugload.streaming import queries as S
 
 HOUR = 3_600_000
@@ -37,10 +37,7 @@ def test_restart_gives_batch_result_once(spark, readings, tmp_path):
         S.stream_outliers(stream_readings(spark, str(src)), HOUR, CONF, out, state, available_now=True).awaitTermination()
     everything = readings([r for rows in parts for r in rows])
     newest = max(r[1] for rows in parts for r in rows)
-    flags = grid_flags(grid_histogram(load_only(everything), PLUG, CONF.window_ms, HOUR), CONF)
-    flags = flags.where(flags.window_end <= newest - CONF.watermark_ms)
-    changes = flag_changes(flags, ["window_end"], CONF)
-    want = percentages(changes, ["window_end", "household_id", "plug_id"], CONF)
+    want = grid_outliers(everything, HOUR, CONF).where(F.col("window_end") <= newest - CONF.watermark_ms)
     columns = [*PLUG, "window_end", "flag", "above_count", "plug_count", "percentage"]
     got = spark.read.parquet(f"{out}/changes").select(*columns).collect()
     assert len(got) > 3
