@@ -129,7 +129,7 @@ def grid_median(df: DataFrame, keys: Sequence[str], width_ms: int, slide_ms: int
     """
     ends = grid_ends(df, keys, width_ms, slide_ms)
     asked = ends.select(
-        *keys, (F.col("window_end") - 1).alias("ts_ms"), F.lit(None).cast("double").alias("value"), F.lit((1 << 63) - 1).alias("id")
+        *keys, (F.col("window_end") - 1).alias("ts_ms"), F.lit(None).cast("double").alias("value"), F.lit(-1).cast("long").alias("id")
     )
     rows = df.where(F.col("value").isNotNull()).select(*keys, "ts_ms", "value", "id").unionByName(asked)
     answered = sliding_median(rows, keys, width_ms, s).withColumn("window_end", F.col("ts_ms") + 1)

@@ -1,3 +1,5 @@
+from dataclasses import replace
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -27,7 +29,7 @@ def test_slice_must_divide_a_day():
 
 def test_from_properties():
     s = Settings.from_properties({"live.start.time": "5", "slice.in.mins": "15", "number.of.archive.streams": "3", "x": "y"})
-    assert (s.live_start_ms, s.slice_ms, s.history_days) == (5, 15 * MIN, 3)
+    assert (s.live_start_ms, s.slice_ms, s.start_days, s.history_days) == (5, 15 * MIN, 3, 29)
 
 
 def test_slice_edges_and_gap(readings):
@@ -36,7 +38,7 @@ def test_slice_edges_and_gap(readings):
         (4, LIVE + 4 * MIN, 7, 0, 0, 0), (5, LIVE + 5, 1000, 0, 0, 0, 0), (6, LIVE + 5, 50, 11, 0, 0),
         (7, LIVE - 1, 2, 0, 0, 0),
     ])
-    got = {r.slice_idx: (r.current_load, r.readings_count) for r in slice_average(slice_rows(rows, S), HOUSE, S).collect()}
+    got = {r.slice_idx: (r.current_load, r.readings_count) for r in slice_average(slice_rows(rows, replace(S, house_limit=10)), HOUSE, S).collect()}
     assert got == {0: (2.0, 2), 1: (10.0, 1), 4: (7.0, 1), -1: (2.0, 1)}
 
 

@@ -59,7 +59,7 @@ def test_jdbc_options():
 def test_jdbc_writer(readings, monkeypatch):
     calls = []
     monkeypatch.setattr("pyspark.sql.readwriter.DataFrameWriter.jdbc", lambda self, *a, **k: calls.append((a, k)))
-    sinks.jdbc_writer("jdbc:x://h/db", "archive", Settings(), user="u")(readings([(1, 5, 1, 0, 0, 0)]), 0)
+    sinks.jdbc_writer("jdbc:x://h/db", "archive", Settings(), staged=False, user="u")(readings([(1, 5, 1, 0, 0, 0)]), 0)
     assert calls == [(("jdbc:x://h/db", "archive"), {"mode": "append", "properties": {"user": "u", "batchsize": "5000"}})]
 
 
