@@ -198,7 +198,8 @@ def _signed(mask: int) -> int:
 
 
 def _buckets(fps: DataFrame, chosen: list[tuple[int, int]]) -> DataFrame:
-    """(part, key, fp, rep): a row for each value of the part within half its threshold."""
+    """(part, key, fp, rep, and other if there is one): a row for each value of the part within half its threshold."""
+    carried = [c for c in ("fp", "rep", "other") if c in fps.columns]
 
     def flips(mask: int, threshold: int) -> np.ndarray:
         bits = [b for b in range(BITS) if mask >> b & 1]
@@ -206,17 +207,18 @@ def _buckets(fps: DataFrame, chosen: list[tuple[int, int]]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp, rep = (np.asarray(batch.column(k)) for k in (0, 1))
+            columns = [np.asarray(c) for c in batch.columns]
+            fp = columns[0]
             for i, (mask, threshold) in enumerate(chosen):
                 own, masks = fp & np.int64(_signed(mask)), flips(mask, threshold)
                 for some in np.array_split(masks, -(-len(masks) // 64)):
                     keys = (own[:, None] ^ some[None, :]).ravel()
                     yield pa.RecordBatch.from_arrays([
                         pa.array(np.full(len(keys), i, np.int32)), pa.array(keys),
-                        pa.array(np.repeat(fp, len(some))), pa.array(np.repeat(rep, len(some))),
-                    ], ["part", "key", "fp", "rep"])
+                        *(pa.array(np.repeat(c, len(some))) for c in columns),
+                    ], ["part", "key", *carried])
 
-    return fps.select("fp", "rep").mapInArrow(run, "part int, key bigint, fp bigint, rep bigint")
+    return fps.select(*carried).mapInArrow(run, "part int, key bigint, " + ", ".join(f"{c} bigint" for c in carried))
 
 
 def _refined(rows: DataFrame, chosen: list[tuple[int, int]], radius: int, limit: int) -> DataFrame:
@@ -255,49 +257,60 @@ def _refined(rows: DataFrame, chosen: list[tuple[int, int]], radius: int, limit:
         rows, masks = materialized(deeper), nxt
 
 
-def _bucket_links(fp: np.ndarray, rep: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links that join each of a bucket's components: whoever is reached is never compared again with its kind."""
-    a, b = [], []
-    fp, first = np.unique(fp, return_index=True)
-    rep = rep[first]
-    left = np.arange(len(fp))
+class _Bits:
+    """Fingerprints of a bucket, with a second one or not, and the bounds of a link: of the first, and of both."""
+
+    def __init__(self, columns: list[np.ndarray], radius: int, both: int | None):
+        self.columns, self.radius, self.both = columns, radius, both
+
+    def close(self, i, j) -> np.ndarray:
+        apart = [np.bitwise_count((c[i] ^ c[j]).view(np.uint64)) for c in self.columns]
+        near = apart[0] <= self.radius
+        return near & (apart[0].astype(np.int16) + apart[1] <= self.both) if self.both is not None else near
+
+
+def _bucket_links(bits: _Bits, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows that join each of a bucket's components: whoever is reached is never compared again with its kind."""
+    a, b, left = [], [], rows
     while len(left) > 1:
         front, left = [left[0]], left[1:]
         while front and len(left):
             at = front.pop()
-            near = np.bitwise_count((fp[left] ^ fp[at]).view(np.uint64)) <= radius
+            near = bits.close(left, np.array([at]))
             if near.any():
                 met, left = left[near], left[~near]
-                a.append(np.full(len(met), rep[at]))
-                b.append(rep[met])
+                a.append(np.full(len(met), at))
+                b.append(met)
                 front.extend(met.tolist())
     join = lambda x: np.concatenate(x) if x else np.empty(0, np.int64)
     return join(a), join(b)
 
 
-def _links(rows: DataFrame, radius: int, short: int = 48, middle: int = 1024) -> DataFrame:
+def _links(rows: DataFrame, radius: int, both: int | None = None, short: int = 48, middle: int = 512) -> DataFrame:
     """Verified links (a, b) of all buckets. Buckets arrive sorted, so a task holds one batch and one bucket.
 
     Small buckets give all their links, others at most eight per row, or else only those that join their components.
     """
 
-    def pairs(part, key, fp, rep):
+    def pairs(part, key, fp, rep, *other):
+        bits = _Bits([fp, *other], radius, both)
         edge = np.flatnonzero((part[1:] != part[:-1]) | (key[1:] != key[:-1])) + 1
         starts, ends = np.append(0, edge), np.append(edge, len(fp))
         for s, e in zip(starts[ends - starts > short], ends[ends - starts > short]):
+            run = np.arange(s, e)
             if e - s <= middle:
-                near = np.triu(np.bitwise_count((fp[s:e, None] ^ fp[None, s:e]).view(np.uint64)) <= radius, 1)
-                a, b = np.nonzero(near)
+                a, b = np.nonzero(np.triu(bits.close(run[:, None], run[None, :]), 1))
                 if len(a) <= 8 * (e - s):
                     yield rep[s + a], rep[s + b]
                     continue
-            yield _bucket_links(fp[s:e], rep[s:e], radius)
+            a, b = _bucket_links(bits, run)
+            yield rep[a], rep[b]
         size = np.repeat(ends - starts, ends - starts)
         left = np.repeat(ends, ends - starts) - np.arange(len(fp)) - 1
         left[size > short] = 0
         for d in range(1, int(left.max(initial=0)) + 1):
             i = np.flatnonzero(left >= d)
-            hit = i[np.bitwise_count((fp[i] ^ fp[i + d]).view(np.uint64)) <= radius]
+            hit = i[bits.close(i, i + d)]
             yield rep[hit], rep[hit + d]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -331,16 +344,18 @@ def _links(rows: DataFrame, radius: int, short: int = 48, middle: int = 1024) ->
     return dealt.mapInArrow(run, "a bigint, b bigint")
 
 
-def near_links(fps: DataFrame, radius: int, limit: int = BUCKET_ROWS) -> DataFrame:
+def near_links(fps: DataFrame, radius: int, limit: int = BUCKET_ROWS, both: int | None = None) -> DataFrame:
     """Links (a, b) between the reps of distinct fingerprints, enough to join all within ``radius`` bits.
 
+    With a second fingerprint, in a column ``other``, a link must also keep within ``both`` bits of the two together.
+
     Buckets that hold more than ``limit`` fingerprints are divided until they do not, so no bucket is too large for
     a task and none is cut off. Within a large bucket only links that join its components are given out. A radius above
     WIDE leaves too few agreeing bits to divide by: its buckets stay whole, and a task holds one of them.
     """
     chosen = plan(fps, radius)
     rows = _buckets(fps, chosen)
-    return _links(_refined(rows, chosen, radius, limit) if radius <= WIDE else rows, radius).distinct()
+    return _links(_refined(rows, chosen, radius, limit) if radius <= WIDE else rows, radius, both).distinct()
 
 
 def near_components(fps: DataFrame, radius: int = 3, limit: int = BUCKET_ROWS) -> DataFrame:
@@ -378,8 +393,8 @@ def similar_documents(
 ) -> DataFrame:
     """(doc_id, component_id): groups of texts whose shingle sets have about this Jaccard similarity or more.
 
-    Two of four SimHashes of a text are searched, each up to the distance that nearly all such pairs keep; all four
-    together, 256 bits, then tell similar pairs from chance. The bounds lie 1.5 standard deviations beyond what
+    Two of four SimHashes of a text are searched, each up to the distance that nearly all such pairs keep, and compared
+    together at once; all four, 256 bits, then tell similar pairs from chance. The bounds lie 1.5 standard deviations beyond what
     the similarity gives on average. Other rules as for ``near_duplicates``; a text of no words is like no other
     text but another of no words.
     """
@@ -388,8 +403,9 @@ def similar_documents(
     prints = materialized(fingerprints(docs, doc_id, text, shingle, more=3))
     known = prints.where("doc_id is not null")
     fps = materialized(known.groupBy("fp", "more").agg(F.min("doc_id").alias("rep")))
-    first = near_links(fps.select("fp", "rep"), bound(BITS))
-    second = near_links(fps.select(F.get("more", F.lit(0)).alias("fp"), "rep"), bound(BITS))
+    second = F.get("more", F.lit(0))
+    sides = [fps.select("fp", "rep", second.alias("other")), fps.select(second.alias("fp"), "rep", F.col("fp").alias("other"))]
+    first, second = (near_links(x, bound(BITS), both=bound(2 * BITS)) for x in sides)
     links = materialized(first.union(second).distinct())
     side = lambda n: fps.select(F.col("rep").alias(n), F.concat(F.array("fp"), "more").alias(f"bits_{n}"))
     apart = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
