@@ -29,7 +29,7 @@ from plugload.session import materialized
 LENGTH = 200
 GRAM = 40
 #: Longer texts are parsed in overlapping pieces of so many starts, which bounds memory and changes no result.
-PIECE = 1 << 20
+PIECE = 1 << 19
 #: Triggers with more distinct phrases are compared through a shuffle of string hashes instead of in one task.
 GROUP_PHRASES = 20_000
 _BASE = 0x9E3779B97F4A7C15
@@ -132,7 +132,7 @@ def parse(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parser = Parser(length, gram)
-        for batch in slices(batches, "text", 1 << 20):
+        for batch in slices(batches, "text", 1 << 19):
             cut = list(_pieces([t.as_py() for t in batch.column(2)], length))
             joined = b"".join(t for _, _, t in cut)
             sizes = np.array([len(t) for _, _, t in cut], np.int64)
