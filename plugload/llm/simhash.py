@@ -24,6 +24,7 @@ SAMPLE_ROWS = 4_096
 #: Radii up to here have their large buckets divided.
 WIDE = 6
 _CHUNK = 4_096
+_FLUSH_ROWS = 32_768
 
 
 def fingerprint(text: bytes, shingle: int = 3, more: int = 0) -> list[int]:
@@ -313,31 +314,25 @@ def _links(rows: DataFrame, radius: int, both: int | None = None, short: int = 4
             hit = i[bits.close(i, i + d)]
             yield rep[hit], rep[hit + d]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []
-
-        def flush(columns):
-            for a, b in pairs(*columns):
-                if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+    def flush(columns):
+        for a, b in pairs(*columns):
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n, enough = [], 0, _FLUSH_ROWS
         for batch in batches:
-            if not batch.num_rows:
+            held.append([np.asarray(c) for c in batch.columns])
+            n += batch.num_rows
+            if n < enough:
                 continue
-            new = [np.asarray(c) for c in batch.columns]
-            same = (new[0] == new[0][-1]) & (new[1] == new[1][-1])
-            cut = 0 if same.all() else len(same) - int(np.argmin(same[::-1]))
-            if cut == 0 and held and (held[-1][0][-1], held[-1][1][-1]) == (new[0][0], new[1][0]):
-                held.append(new)
-                continue
-            if cut == 0:
-                yield from flush([np.concatenate(c) for c in zip(*held)]) if held else ()
-                held = [new]
-                continue
-            held.append([c[:cut] for c in new])
-            yield from flush([np.concatenate(c) for c in zip(*held)])
-            held = [[c[cut:] for c in new]]
-        if held:
+            every = [np.concatenate(c) for c in zip(*held)]
+            last = (every[0] == every[0][-1]) & (every[1] == every[1][-1])
+            cut = 0 if last.all() else len(last) - int(np.argmin(last[::-1]))  # the last bucket may go on
+            yield from flush([c[:cut] for c in every]) if cut else ()
+            held, n = [[c[cut:] for c in every]], n - cut
+            enough = max(_FLUSH_ROWS, 2 * n)
+        if n:
             yield from flush([np.concatenate(c) for c in zip(*held)])
 
     dealt = rows.repartition("part", "key").sortWithinPartitions("part", "key")

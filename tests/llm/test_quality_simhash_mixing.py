@@ -1,6 +1,7 @@
 from collections import Counter, defaultdict
 import re
 
+import pytest
 import xxhash
 from pyspark.sql import Row
 
@@ -97,9 +98,12 @@ def test_simhash_equals_brute_force(spark):
     assert simhash.near_duplicates(odd(spark).limit(0)).count() == 0
 
 
-def test_near_fingerprints_with_divided_buckets(spark):
+@pytest.mark.parametrize("flush", [32_768, 7])
+def test_near_fingerprints_with_divided_buckets(spark, monkeypatch, flush):
     import random
 
+    monkeypatch.setattr(simhash, "_FLUSH_ROWS", flush)
+
     rnd = random.Random(1)
     prints = {}
     for c in range(6):
