@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from plugload.functions.columns import day_of, slice_index, slot_of
 from plugload.operators.blocks import running
 from plugload.schema import HOUSE, PLUG
+from plugload.session import materialized
 from plugload.settings import Settings
 
 
@@ -94,7 +95,11 @@ def _over_history(rows: DataFrame, keys: Sequence[str], s: Settings) -> DataFram
 
 
 def with_markers(plugs: DataFrame) -> DataFrame:
-    """Archive rows plus one closing marker row (household -1, plug -1, load -1, count 1) per house and slice."""
+    """Archive rows plus one closing marker row (household -1, plug -1, load -1, count 1) per house and slice.
+
+    The rows are used twice and so written to the shared folder first.
+    """
+    plugs = materialized(plugs)
     markers = plugs.select(*HOUSE, "slice_idx").distinct().select(
         *HOUSE, F.lit(-1).alias("household_id"), F.lit(-1).alias("plug_id"), "slice_idx",
         F.lit(-1.0).alias("average_load"), F.lit(1).cast("long").alias("readings_count"),
@@ -106,7 +111,11 @@ def with_markers(plugs: DataFrame) -> DataFrame:
 def punctuated_batches(
     df: DataFrame, marker: str, keys: Sequence[str], order: Sequence[str], s: Settings, name: str = "batch_no"
 ) -> DataFrame:
-    """Number the batches that marker rows close, from 1 per key; markers and rows of an unclosed batch are dropped."""
+    """Number the batches that marker rows close, from 1 per key; markers and rows of an unclosed batch are dropped.
+
+    The rows are counted, numbered and measured, and so written to the shared folder first.
+    """
+    df = materialized(df)
     is_marker = F.when(F.col(marker), 1).otherwise(0).cast("long")
     closed = df.groupBy(*keys).agg(F.sum(is_marker).alias("_closed"))
     numbered = running(df, keys, order, s, sums={"_markers": is_marker}).where(~F.col(marker))
