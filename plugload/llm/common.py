@@ -13,7 +13,7 @@ SPACE = r"[\x20\x09-\x0D]+"
 
 
 #: Rows of a batch that a Python task gets, where the session has Spark's default: long texts make large batches.
-BATCH_ROWS = 2_000
+BATCH_ROWS = 500
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
