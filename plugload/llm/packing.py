@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -19,7 +20,7 @@ LENGTH = 2048
 #: Items that one task packs together; each shard leaves a few sequences that are not full.
 SHARD_ITEMS = 4_096
 #: Words whose ids a task remembers in each of two generations.
-CACHE_WORDS = 100_000
+CACHE_WORDS = 250_000
 
 
 _LETTERS = re.compile(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
@@ -36,6 +37,8 @@ class WordIds:
     """
 
     def __init__(self, tokenizer_file: str):
+        # Spark runs a task per core; threads of the tokenizer's own would only take memory.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
@@ -99,7 +102,7 @@ def pieces(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = WordIds(tokenizer_file), np.array([end_id], "<u4").tobytes()
-        for batch in slices(batches, "text", 1 << 20):
+        for batch in slices(batches, "text", 8 << 20):
             rows = []
             for i, found in enumerate(encode(batch.column(1))):
                 coded = found.tobytes() + end
