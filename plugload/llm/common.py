@@ -53,3 +53,16 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 8 <<
                 start, size = i + 1, 0
         if start < batch.num_rows:
             yield batch.slice(start)
+
+
+def gathered(batches: Iterator[pa.RecordBatch], column: str, bytes_: int) -> Iterator[pa.RecordBatch]:
+    """Join Arrow batches until they hold about so many bytes of the column."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.column(batch.schema.get_field_index(column)).nbytes
+        if size >= bytes_:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)

@@ -13,14 +13,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from plugload.llm.common import slices
+from plugload.llm.common import gathered, slices
 from plugload.session import materialized
 
 LENGTH = 2048
 #: Items that one task packs together; each shard leaves a few sequences that are not full.
 SHARD_ITEMS = 4_096
 #: Words whose ids a task remembers in each of two generations.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 400_000
+#: Bytes of text whose words are numbered together.
+SLICE_BYTES = 16 << 20
 
 
 _LETTERS = re.compile(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
@@ -102,7 +104,7 @@ def pieces(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = WordIds(tokenizer_file), np.array([end_id], "<u4").tobytes()
-        for batch in slices(batches, "text", 8 << 20):
+        for batch in slices(gathered(batches, "text", SLICE_BYTES), "text", SLICE_BYTES):
             rows = []
             for i, found in enumerate(encode(batch.column(1))):
                 coded = found.tobytes() + end
