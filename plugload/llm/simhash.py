@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
-from math import acos, comb, floor, pi, sqrt
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from plugload.llm.common import as_bytes
 from plugload.llm.components import components
+from plugload.llm.similar import similar_documents  # noqa: F401
 from plugload.session import materialized
 
 BITS = 64
@@ -376,38 +377,3 @@ def near_duplicates(
     found = near_components(fps, radius, limit).select(F.col("fp").alias("_fp"), F.col("component").alias("component_id"))
     joined = prints.join(found, F.col("fp") == F.col("_fp"), "left")
     return joined.select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
-
-
-def expected_share(similarity: float) -> float:
-    """The share of bits in which two shingle sets of equal size and this Jaccard similarity differ on average."""
-    return acos(2 * similarity / (1 + similarity)) / pi
-
-
-def similar_documents(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8
-) -> DataFrame:
-    """(doc_id, component_id): groups of texts whose shingle sets have about this Jaccard similarity or more.
-
-    Two of four SimHashes of a text are searched, each up to the distance that nearly all such pairs keep, and compared
-    together at once; all four, 256 bits, then tell similar pairs from chance. The bounds lie 1.5 standard deviations beyond what
-    the similarity gives on average. Other rules as for ``near_duplicates``; a text of no words is like no other
-    text but another of no words.
-    """
-    share = expected_share(similarity)
-    bound = lambda bits: floor(bits * share + 1.5 * sqrt(bits * share * (1 - share)))
-    prints = materialized(fingerprints(docs, doc_id, text, shingle, more=3))
-    known = prints.where("doc_id is not null")
-    fps = materialized(known.groupBy("fp", "more").agg(F.min("doc_id").alias("rep")))
-    second = F.get("more", F.lit(0))
-    sides = [fps.select("fp", "rep", second.alias("other")), fps.select(second.alias("fp"), "rep", F.col("fp").alias("other"))]
-    first, second = (near_links(x, bound(BITS), both=bound(2 * BITS)) for x in sides)
-    links = materialized(first.union(second).distinct())
-    side = lambda n: fps.select(F.col("rep").alias(n), F.concat(F.array("fp"), "more").alias(f"bits_{n}"))
-    apart = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
-    verified = links.join(side("a"), "a").join(side("b"), "b").where(apart <= bound(4 * BITS)).select("a", "b")
-    found = components(verified).withColumnsRenamed({"node": "_node"})
-    of = fps.join(found, F.col("rep") == F.col("_node"), "left").select(
-        F.col("fp").alias("_fp"), F.col("more").alias("_more"), F.coalesce("component", "rep").alias("component_id")
-    )
-    joined = prints.join(of, (F.col("fp") == F.col("_fp")) & (F.col("more") == F.col("_more")), "left")
-    return joined.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
