@@ -66,7 +66,7 @@ def running(
     )
     earlier = Window.partitionBy(*keys).orderBy("_block")
     carry = totals.select(
-        *group,
+        *(F.col(k).alias(f"_of_{k}") for k in group),
         *(F.sum(f"_sum_{k}").over(earlier.rowsBetween(Window.unboundedPreceding, -1)).alias(f"_c_{k}") for k in sums),
         *(F.lag(f"_prev_{k}").over(earlier).alias(f"_c_{k}") for k in previous),
     )
@@ -74,7 +74,9 @@ def running(
     local_prev = {f"_l_{k}": F.col(f"_prev_{k}") for k in previous}
     first = F.row_number().over(Window.partitionBy(*group).orderBy(*order)) == 1
     inside = rows.select("*", *_window_columns(group, order, local_sums, local_prev), first.alias("_first"))
-    joined = inside.join(carry, group, "left")
+    # Rows whose key is null are a group like any other, as they are for a window.
+    same = [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in group]
+    joined = inside.join(carry, same, "left")
     return joined.select(
         *df.columns,
         *(_total(F.col(f"_l_{k}"), F.col(f"_c_{k}")).alias(k) for k in sums),
