@@ -6,11 +6,11 @@ strings that start one after the other mostly share their trigger. A phrase is t
 string with the same trigger; phrases overlap by length - 1 bytes, so that every string lies in exactly one phrase.
 The dictionary holds the distinct phrases, the parse is where they occur.
 
-Corpus order follows from both. Equal strings have the same trigger, hence only phrases with a common trigger can
-share them: a trigger that occurs once rules out all strings of its phrase. A phrase that occurs twice repeats all its
-strings. What is left are the rims of repeats: distinct phrases with a common trigger, whose suffixes are sorted
-together by their first ``length`` bytes, once per entry of the dictionary and not per occurrence; equal neighbours in
-that order are repeats.
+Neither the dictionary nor the parse has a suffix array, and no corpus order is made: hash equality takes their place.
+Equal strings have the same trigger, hence only phrases with a common trigger can share them: a trigger that occurs
+once rules out all strings of its phrase. A phrase that occurs twice repeats all its strings. What is left are the rims
+of repeats: distinct phrases with a common trigger, whose strings of ``length`` bytes are grouped by their 64-bit
+hashes, once per entry of the dictionary and not per occurrence; strings of one hash are repeats.
 """
 
 from __future__ import annotations
