@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plugload.llm import archives, hnsw, maintext, mixing, packing, quality, quoting, simhash, substrings, toxicity
+from plugload.llm import (
+    archives, collocations, factorization, hnsw, maintext, mixing, packing, quality, quoting, simhash, substrings, toxicity, whitening,
+)
 from plugload.llm.common import table
 
 
@@ -81,6 +83,37 @@ def op10_mixing(spark, d):
     return mixed.select("row.doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_collocations(spark, d):
+    return collocations.collocations(table(spark, d, "documents"))
+
+
+METADATA = ["n_chars"]
+
+
+def quality_model(spark, d):
+    """Learnt from labelled rows outside the held-out quarter."""
+    labels = table(spark, d, "labels").where(~held_out_quarter())
+    return factorization.train(table(spark, d, "documents"), labels, metadata=METADATA)
+
+
+def held_out_quarter():
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+
+
+def op12_quality(spark, d):
+    docs = table(spark, d, "documents")
+    scored = factorization.score(docs, quality_model(spark, d), METADATA, carry=["doc_id"])
+    return scored.select(
+        "doc_id", F.coalesce(held_out_quarter(), F.lit(False)).alias("held_out"), "score",
+        (F.col("score") >= 0.7).cast("int").alias("predicted"),
+    )
+
+
+def op13_whitening(spark, d):
+    white = whitening.whitened(table(spark, d, "embeddings"))
+    return white.withColumn("deviation", F.col("deviation").try_cast("bigint"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_warc": op2_warc,
@@ -92,6 +125,9 @@ QUERIES = {
     "op8_hnsw": op8_hnsw,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_mixing": op10_mixing,
+    "op11_collocations": op11_collocations,
+    "op12_quality": op12_quality,
+    "op13_whitening": op13_whitening,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -168,5 +204,38 @@ WITH RECURSIVE lines AS (
   LEFT JOIN answers a ON a.conv_id = c.conv_id AND a.turn = c.turn
 )
 SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY root_turn, turn, role, reply) AS position FROM every
+""",
+    "op11_collocations": r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+), lists AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces
+), totals AS (
+  SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM lists GROUP BY lang
+), grams AS (
+  SELECT lang, m, array_to_string(w[i : i + m - 1], ' ') AS phrase
+  FROM (SELECT lang, m, w, unnest(range(1, len(w) - m + 2)) AS i FROM lists, range(1, 4) AS sizes(m))
+), f AS (
+  SELECT lang, m, phrase, count(*) AS a FROM grams GROUP BY lang, m, phrase HAVING count(*) >= 10
+), cuts AS (
+  SELECT lang, m, phrase, a, k, array_to_string(string_split(phrase, ' ')[1 : k], ' ') AS head, array_to_string(string_split(phrase, ' ')[k + 1 :], ' ') AS tail
+  FROM (SELECT *, unnest(range(1, m)) AS k FROM f WHERE m > 1)
+), priced AS (
+  SELECT c.lang, c.m, c.phrase, c.a, c.k, l.a AS l, r.a AS r,
+         CAST((CAST(1000000 AS HUGEINT) * c.a * c.a) // (CAST(l.a AS HUGEINT) * r.a) AS BIGINT) AS score
+  FROM cuts c JOIN f l ON l.lang = c.lang AND l.phrase = c.head JOIN f r ON r.lang = c.lang AND r.phrase = c.tail
+), best AS (
+  SELECT * FROM priced QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), longer AS (
+  SELECT lang, phrase, max(a) AS most
+  FROM (SELECT lang, a, unnest([array_to_string(string_split(phrase, ' ')[1 : 2], ' '), array_to_string(string_split(phrase, ' ')[2 : 3], ' ')]) AS phrase
+        FROM f WHERE m = 3) GROUP BY lang, phrase
+), ranked AS (
+  SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY b.score DESC, b.a DESC, b.phrase) AS rank, b.phrase, b.a, b.l, b.r, b.score
+  FROM best b LEFT JOIN longer o ON o.lang = b.lang AND o.phrase = b.phrase WHERE b.m = 3 OR o.most IS NULL OR 100 * o.most < 50 * b.a
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
 """,
 }
