@@ -306,14 +306,14 @@ def score(
     own; equal rows score alike; an empty table stays empty. A column of the new name is replaced.
     """
     kept = [c for c in (carry or docs.columns) if c != name]
-    schema = StructType([*docs.select(*kept).schema.fields, StructField(name, DoubleType())])
+    row = F.struct(*kept).alias("row")  # one column, so that no name can clash
+    schema = StructType([docs.select(row).schema["row"], StructField("score", DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashed = Words(model.bits)
-        for batch in slices(batches, "_scored", 1 << 20):
-            texts = [t.as_py() for t in batch.column(batch.num_columns - 2)]
-            scores = score_texts(texts, batch.column(batch.num_columns - 1).to_pylist(), model, hashed)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(scores)], [*kept, name])
+        for batch in slices(batches, "text", 1 << 20):
+            scores = score_texts([t.as_py() for t in batch.column(1)], batch.column(2).to_pylist(), model, hashed)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores)], ["row", "score"])
 
-    rows = docs.select(*kept, as_bytes(text).alias("_scored"), _numbers(metadata).alias("_numbers"))
-    return rows.mapInArrow(run, schema)
+    scored = docs.select(row, as_bytes(text).alias("text"), _numbers(metadata)).mapInArrow(run, schema)
+    return scored.select(*(F.col("row").getField(c).alias(c) for c in kept), F.col("score").alias(name))

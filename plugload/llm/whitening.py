@@ -81,6 +81,7 @@ class _Slicer:
     def __init__(self, matrix: np.ndarray):
         self.matrix, self.n = matrix, len(matrix)
         self.size = float(np.abs(matrix).sum(axis=1).max())
+        self.tolerance = self.size * 16 * _EPS * self.n**0.5
         diagonal, off = tridiagonal(matrix)
         self.form = diagonal.tolist(), [0.0, *(off * off).tolist()]
         self.counts = {self.size * (1 + 1e-9): 0, -self.size * (1 + 1e-9): self.n}
@@ -102,12 +103,14 @@ class _Slicer:
             low, high = (middle, high) if self.above(middle) >= i else (low, middle)
         return low, high
 
-    def iterate(self, low: float, high: float, found: np.ndarray, start: np.ndarray) -> tuple[float, np.ndarray, float]:
-        """(value, unit vector, residual) of an eigenvalue between low and high, the vector orthogonal to those found.
+    def iterate(self, low: float, high: float, found: np.ndarray, x: np.ndarray) -> tuple[float, np.ndarray, float]:
+        """(value, unit vector, residual) for the eigenvalue between low and high, the vector orthogonal to those found.
 
-        Inverse iteration with the middle as shift until the Rayleigh quotient lies inside, then with the quotient.
+        Inverse iteration with the middle as shift, until the residual is smaller than the distance to both ends: then
+        there is an eigenvalue within, and the Rayleigh quotient becomes the shift. Ends when the residual is as small as
+        rounding allows, or after some steps, where the caller narrows the interval.
         """
-        def solve(shift: float, x: np.ndarray) -> np.ndarray:
+        def solve(shift: float) -> np.ndarray:
             try:
                 y = np.linalg.solve(self.matrix - shift * np.eye(self.n), x)
             except np.linalg.LinAlgError:
@@ -117,19 +120,19 @@ class _Slicer:
                 y -= found @ (found.T @ y)
             return y / np.linalg.norm(y)
 
-        x = start - found @ (found.T @ start)
-        x, value, best = x / np.linalg.norm(x), (low + high) / 2, (np.inf, 0.0, start)
-        for step in range(40):
-            x = solve(value, x)
-            quotient = float(x @ (self.matrix @ x))
-            residual = float(np.linalg.norm(self.matrix @ x - quotient * x))
-            inside = low - self.size * 4 * _EPS <= quotient <= high + self.size * 4 * _EPS
-            if inside and residual < best[0]:
-                best = (residual, quotient, x)
-            elif best[0] <= 32 * self.size * _EPS * self.n**0.5:
-                break  # no longer falls
-            value = quotient if inside and step else (low + high) / 2
-        return best[1], best[2], best[0]
+        x = x - found @ (found.T @ x)
+        x, shift, before = x / np.linalg.norm(x), (low + high) / 2, np.inf
+        for _ in range(16):
+            x = solve(shift)
+            product = self.matrix @ x
+            quotient = float(x @ product)
+            residual = float(np.linalg.norm(product - quotient * x))
+            if residual <= self.tolerance and residual >= before / 2:
+                break
+            before = residual
+            if residual < min(quotient - low, high - quotient):
+                shift = quotient
+        return quotient, x, residual
 
 
 def leading(matrix: np.ndarray, components: int = COMPONENTS) -> Spectrum:
@@ -145,15 +148,17 @@ def leading(matrix: np.ndarray, components: int = COMPONENTS) -> Spectrum:
         low, high = slicer.isolate(i, slicer.size * 64 * _EPS)
         if high <= ZERO * (values[0] if values else slicer.size):
             break
+        vector = rng.standard_normal(n)
         while True:
-            value, vector, residual = slicer.iterate(low, high, found, rng.standard_normal(n))
+            value, vector, residual = slicer.iterate(low, high, found, vector)
             margin = max(4 * residual, 256 * slicer.size * _EPS)
-            if np.isfinite(residual) and slicer.above(value - margin) >= i > slicer.above(value + margin):
+            if residual <= slicer.tolerance and slicer.above(value - margin) >= i > slicer.above(value + margin):
                 break
-            if high - low <= slicer.size * 64 * _EPS:
+            if high - low <= slicer.size * 8 * _EPS:
                 raise ArithmeticError(f"eigenvalue {i} of {n} is not certified")
             middle = (low + high) / 2  # narrower, where neighbours disturb
             low, high = (middle, high) if slicer.above(middle) >= i else (low, middle)
+            vector = vector + 1e-3 * rng.standard_normal(n)
         if value <= ZERO * (values[0] if values else slicer.size):
             break
         found = np.column_stack([found, vector])
