@@ -28,7 +28,8 @@ from plugload.sources.readings import (
     slice_rows,
     stream_readings_from_events,
 )
-from plugload.streaming import queries as S
+from plugload.streaming import continuous as K, queries as S
+from plugload.streaming.tables import Tables
 
 HOUR_MS = 3_600_000
 # 6-hour slices and live data from 2024-01-23 00:00 UTC suit the density of the driver tables.
@@ -312,6 +313,65 @@ def _stream_outliers(spark, d):
     )
 
 
+def _streamed_medians(spark, d, keys, settings=SETTINGS.with_window(HOUR_MS)) -> Tables:
+    folder = new_folder(spark, "medians")
+    K.stream_sliding_median(
+        stream_readings_from_events(spark, d), keys, settings, folder, new_folder(spark, "state"), available_now=True
+    ).awaitTermination()
+    return Tables(spark, folder)
+
+
+def _global_medians(spark, d) -> DataFrame:
+    """The table of closed global medians as a stream."""
+    return _streamed_medians(spark, d, []).follow("medians", K.GLOBAL_MEDIAN)
+
+
+def _stream_global_median(spark, d):
+    medians = _streamed_medians(spark, d, []).all("medians", K.GLOBAL_MEDIAN)
+    return medians.select("ts_ms", _r("global_median"))
+
+
+def _written(spark, rows: DataFrame) -> DataFrame:
+    """The rows of a stream, written by the file sink."""
+    folder = new_folder(spark, "rows")
+    sinks.write_results(rows, folder, new_folder(spark, "state"), available_now=True).awaitTermination()
+    return spark.read.schema(rows.schema).parquet(folder)
+
+
+def _stream_plug_median(spark, d):
+    medians = K.plug_medians(stream_readings_from_events(spark, d), SETTINGS.with_window(HOUR_MS))
+    return _written(spark, medians).select(*PLUG, "ts_ms", _r("median").alias("plug_median"))
+
+
+def _stream_reading_with_global_median(spark, d):
+    rows = K.with_global_median(stream_readings_from_events(spark, d), _global_medians(spark, d), SETTINGS)
+    return _written(spark, rows).select("id", *PLUG, "ts_ms", "value", _r("global_median"))
+
+
+def _stream_q2a_changes(spark, d):
+    folder = new_folder(spark, "changes")
+    K.stream_outlier_changes(
+        stream_readings_from_events(spark, d), _global_medians(spark, d), SETTINGS.with_window(HOUR_MS), folder,
+        new_folder(spark, "state"), available_now=True,
+    ).awaitTermination()
+    return Tables(spark, folder).all("changes", K.CHANGES).select("id", "ts_ms", "time_frame", *PLUG, _r("percentage"))
+
+
+def _stream_per_reading(keys):
+    def run(spark, d):
+        folder = new_folder(spark, "readings")
+        K.prepare_partials(readings_from_events(spark, d, end_ms=SETTINGS.live_start_ms), keys, SETTINGS, folder)
+        K.stream_predict_per_reading(
+            stream_readings_from_events(spark, d), keys, SETTINGS, folder, new_folder(spark, "state"), available_now=True
+        ).awaitTermination()
+        key = [C.plug_key().alias("plug_key")] if keys == PLUG else []
+        types = ", ".join(f"{k} int" for k in keys)
+        rows = Tables(spark, folder).all("predictions", f"id bigint, {types}, slice_idx bigint, time_slice string, current_load double, predicted_load double")
+        return rows.select("id", *keys, *key, "slice_idx", "time_slice", _r("current_load"), _r("predicted_load"))
+
+    return run
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "load_readings": lambda spark, d: _load_readings(spark, d).select("id", "ts_ms", "value", "property", *PLUG),
@@ -356,6 +416,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "stream_q1a": _stream_predict(HOUSE),
         "stream_q1b": _stream_predict(PLUG),
         "stream_q2a": _stream_outliers,
+        "stream_global_median_1h": _stream_global_median,
+        "stream_plug_median_1h": _stream_plug_median,
+        "stream_reading_with_global_median": _stream_reading_with_global_median,
+        "stream_q2a_changes": _stream_q2a_changes,
+        "stream_q1a_per_reading": _stream_per_reading(HOUSE),
+        "stream_q1b_per_reading": _stream_per_reading(PLUG),
         "house_limited_plug_slice": _house_limited,
         "q2a_blocks": _outliers(O.q2a, SMALL),
         "running_blocks": _running_avg(HOUSE, SMALL_WINDOWS),
@@ -462,13 +528,13 @@ def _predict_sql(keys: str, closed: bool = False) -> str:
     )
 
 
-def _per_reading_sql(keys: str) -> str:
+def _per_reading_sql(keys: str, closed: bool = False) -> str:
     table = "plug_slices" if "plug_id" in keys else "house_slices"
     key = "house_id || '_' || household_id || '_' || plug_id AS plug_key," if "plug_id" in keys else ""
     return _sql(
         f"SELECT id, {keys}, {key} slice_idx, {_LABEL.format(ahead=2)} AS time_slice, "
         f"CAST(round(CAST(current_load AS DECIMAL(38,9)), 6) AS DOUBLE) AS current_load, CAST(round(CAST((history_median + current_load) / 2 AS DECIMAL(38,9)), 6) AS DOUBLE) AS predicted_load "
-        f"FROM live JOIN history USING ({keys}, slice_idx)",
+        f"FROM live JOIN history USING ({keys}, slice_idx)" + (f" WHERE ts_ms <= {_CLOSED.format(rows='readings')}" if closed else ""),
         _history_cte(keys, table), _running_cte(keys),
     )
 
@@ -482,6 +548,11 @@ def _outliers_sql(width: int) -> str:
     )
 
 
+def _of_closed(sql: str) -> str:
+    """The rows of a query over readings whose time a stream has closed at the end of the table."""
+    return f"SELECT closed.* FROM ({sql}) closed WHERE ts_ms <= (SELECT max(epoch_us(ts) // 1000) - 60000 FROM events)"
+
+
 def _holes(sql: str) -> str:
     missing = "CASE WHEN event_id % 7 = 0 OR event_id % 11 = 0 THEN NULL ELSE value END AS value,"
     return sql.replace("AS ts_ms, value,", f"AS ts_ms, {missing}")
@@ -637,6 +708,15 @@ def oracle_sql() -> dict[str, str]:
             _GRID_RESULT.format(frame=_FRAME.format(width=DAY_MS).replace("ts_ms", "window_end") + " AS time_frame,"),
             _GRID.format(where="WHERE window_end <= " + _CLOSED.format(rows="readings"), moves=_MOVES),
         ),
+        "stream_global_median_1h": _of_closed(_global_sql(HOUR_MS)),
+        "stream_plug_median_1h": _of_closed(_plug_sql(HOUR_MS)),
+        "stream_reading_with_global_median": _of_closed(_sql(
+            f"SELECT id, {_PLUG_COLS}, ts_ms, value, CAST(round(CAST(global_median AS DECIMAL(38,9)), 6) AS DOUBLE) AS global_median FROM medians",
+            _flags_cte(HOUR_MS),
+        )),
+        "stream_q2a_changes": _of_closed(_outliers_sql(HOUR_MS)),
+        "stream_q1a_per_reading": _per_reading_sql("house_id", closed=True),
+        "stream_q1b_per_reading": _per_reading_sql(_PLUG_COLS, closed=True),
         "house_limited_plug_slice": plug_slice.replace("FROM loads),", "FROM loads WHERE house_id < 10),"),
         "q2a_blocks": _outliers_sql(HOUR_MS),
         "running_blocks": _running_sql("house_id"),

@@ -45,15 +45,21 @@ def span_sizes(df: DataFrame, keys: Sequence[str], width_ms: int) -> DataFrame:
 
 
 def sliding_median(
-    df: DataFrame, keys: Sequence[str], width_ms: int, s: Settings, sizes: tuple[int, int] | None = None
+    df: DataFrame, keys: Sequence[str], width_ms: int, s: Settings, sizes: tuple[int, int] | None = None,
+    since: int | None = None,
 ) -> DataFrame:
     """Columns keys, ts_ms, median, first_id: one row per distinct (key, ts_ms), first_id the smallest id there.
 
     ``df`` needs keys, ts_ms, value and id. Rows with the same millisecond see each other. Null and NaN values are
     not counted; a window without values has a null median. ``sizes`` are the number of rows and the rows of the
-    largest (key, span) if known, otherwise they are counted.
+    largest (key, span) if known, otherwise they are counted. With ``since`` only times from there on are answered.
     """
-    keys = list(keys)
+    if since is not None:
+        return _sliding_median(df, list(keys), width_ms, s, sizes, since).where(F.col("ts_ms") >= since)
+    return _sliding_median(df, list(keys), width_ms, s, sizes)
+
+
+def _sliding_median(df: DataFrame, keys: list[str], width_ms: int, s: Settings, sizes=None, since: int | None = None) -> DataFrame:
     number = F.when(~F.isnan("value"), F.col("value")).alias("value")
     rows = df.select(*keys, "ts_ms", number, "id")
     span_ms = width_ms * span_widths(keys)
@@ -62,6 +68,8 @@ def sliding_median(
     total, largest = total or 0, largest or 0
     packs = max(df.sparkSession.sparkContext.defaultParallelism, -(-total // PACK_ROWS))
     spread = _into_spans(rows, width_ms, span_ms)
+    if since is not None:  # earlier rows only fill windows
+        spread = spread.withColumn("kind", F.when(F.col("ts_ms") < since, F.lit(PREVIOUS)).otherwise(F.col("kind")))
     if 2 * largest <= s.group_rows:  # a span and what it copies from the one before
         return _packed_medians(spread, keys, width_ms, packs)
 

@@ -64,3 +64,10 @@ def remove(spark: SparkSession, folder: str) -> None:
     """Delete a folder that this package wrote, if it is there."""
     path, files = _path(spark, folder)
     files.delete(path, True)
+
+
+def rename(spark: SparkSession, folder: str, target: str) -> None:
+    """Give a folder its final name; on HDFS and local disks readers see all of it or nothing."""
+    path, files = _path(spark, folder)
+    if not files.rename(path, _path(spark, target)[0]):
+        raise OSError(f"cannot rename {folder} to {target}")
