@@ -47,10 +47,10 @@ def _wanted(s: Settings, limited: bool = False) -> Column:
 def loads(stream: DataFrame, s: Settings, limited: bool = False) -> DataFrame:
     """Load readings of a stream, where every reading moves the watermark.
 
-    Spark would move a plain filter below the watermark, which would then not see the other readings; it leaves
-    conditions alone that follow one with a random number.
+    Spark would move a plain filter below the watermark, which would then not see the other readings. It leaves a
+    comparison with a random number where it is; 1 is above any such number, 0 above none.
     """
-    marked = stream.withWatermark("ts", _interval(s.watermark_ms)).where((F.rand(0) >= 0) & _wanted(s, limited))
+    marked = stream.withWatermark("ts", _interval(s.watermark_ms)).where(_wanted(s, limited).cast("int") > F.rand(0))
     return marked.withColumn("value", F.when(~F.isnan("value"), F.col("value")))
 
 
