@@ -18,7 +18,7 @@ from plugload.operators.blocks import sample_every_n
 from plugload.plans import outliers as O, predict as P
 from plugload.plans.sqlsteps import run_statements
 from plugload.schema import HOUSE, PLUG
-from plugload.session import new_folder
+from plugload.session import materialized, new_folder
 from plugload.settings import DAY_MS, Settings
 from plugload.sources import sinks
 from plugload.sources.readings import (
@@ -28,7 +28,7 @@ from plugload.sources.readings import (
     slice_rows,
     stream_readings_from_events,
 )
-from plugload.streaming import continuous as K, queries as S
+from plugload.streaming import continuous as K, keyed, queries as S
 from plugload.streaming.tables import Tables
 
 HOUR_MS = 3_600_000
@@ -372,6 +372,47 @@ def _stream_per_reading(keys):
     return run
 
 
+def _sliding_sample(spark, d):
+    rows = K.sample_medians(stream_readings_from_events(spark, d), HOUSE, 5, SAMPLE_SEED, SETTINGS.with_window(DAY_MS))
+    return _written(spark, rows).select(*HOUSE, "ts_ms", _r("median"), "drawn")
+
+
+def _kll_median_house(spark, d):
+    """Stored sketches per slice, merged over all days, and whether the median is within 2 % of the middle rank."""
+    loads = _load_readings(spark, d)
+    medians = M.quantile_of_sketches(materialized(M.sketch_slices(loads, HOUSE, SETTINGS)), HOUSE)
+    checked = M.with_rank_error(medians.drop("n"), loads, HOUSE)
+    return checked.select(*HOUSE, "n", (F.col("rank_error") <= 0.02).alias("rank_ok"))
+
+
+def _stream_last_n(spark, d):
+    slices = S.slice_averages(stream_readings_from_events(spark, d), HOUSE, SETTINGS, start_ms=0)
+    slices = A.with_day_and_slot(slices.withColumnRenamed("current_load", "average_load"), SETTINGS)
+    folder = new_folder(spark, "slices")
+    sinks.write_results(slices, folder, new_folder(spark, "state"), available_now=True).awaitTermination()
+    lists = keyed.last_n_lists(spark.readStream.schema(slices.schema).parquet(folder), HOUSE, SETTINGS.history_days)
+    latest = _written(spark, lists).groupBy(*HOUSE, "slot").agg(F.max_by(F.arrays_zip("days", "averages"), "newest").alias("held"))
+    return latest.select(*HOUSE, "slot", F.posexplode("held").alias("at", "entry")).select(
+        *HOUSE, "slot", F.col("entry.days").alias("day"), (F.col("at") + 1).alias("age"),
+        _six(F.col("entry.averages")).alias("average_load"),
+    )
+
+
+def _stream_punctuated(spark, d):
+    """The archive rows with their markers come in three parts in the order of their slices; the stream restarts for each."""
+    rows = materialized(A.with_markers(_plugs(spark, d)).select(*HOUSE, "slice_idx", "average_load", "readings_count", "value_count", "is_marker"))
+    first, last = rows.agg(F.min("slice_idx"), F.max("slice_idx")).first()
+    source, folder, state = (new_folder(spark, name) for name in ("source", "batches", "state"))
+    third = ((last or 0) - (first or 0)) // 3 + 1
+    for k in range(3):
+        low = (first or 0) + k * third
+        rows.where(F.col("slice_idx").between(low, low + third - 1)).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(rows.schema).parquet(source)
+        batches = keyed.punctuated_averages(stream, "is_marker", "slice_idx", HOUSE)
+        sinks.write_results(batches, folder, state, available_now=True).awaitTermination()
+    return spark.read.parquet(folder).select(*HOUSE, "batch_no", _r("average_load"), "readings_count")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "load_readings": lambda spark, d: _load_readings(spark, d).select("id", "ts_ms", "value", "property", *PLUG),
@@ -420,6 +461,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "stream_plug_median_1h": _stream_plug_median,
         "stream_reading_with_global_median": _stream_reading_with_global_median,
         "stream_q2a_changes": _stream_q2a_changes,
+        "sliding_sample_median": _sliding_sample,
+        "kll_median_house": _kll_median_house,
+        "stream_archive_last_n": _stream_last_n,
+        "stream_punctuated_avg": _stream_punctuated,
         "stream_q1a_per_reading": _stream_per_reading(HOUSE),
         "stream_q1b_per_reading": _stream_per_reading(PLUG),
         "house_limited_plug_slice": _house_limited,
@@ -611,6 +656,17 @@ def oracle_sql() -> dict[str, str]:
     plug_slice = _sql(
         f"SELECT {_PLUG_COLS}, slice_idx, CAST(round(CAST(average_load AS DECIMAL(38,9)), 6) AS DOUBLE) AS average_load, readings_count FROM plug_slices"
     )
+    last_n = _sql(
+        "SELECT house_id, CAST(slot AS INTEGER) AS slot, CAST(day AS INTEGER) AS day, CAST(age AS INTEGER) AS age, "
+        "CAST(round(CAST(average_load AS DECIMAL(38,9)), 6) AS DOUBLE) AS average_load FROM aged WHERE age <= 29",
+        "days AS (SELECT *, CAST(floor(slice_idx / 4) AS BIGINT) AS day, "
+        "slice_idx - 4 * CAST(floor(slice_idx / 4) AS BIGINT) AS slot FROM house_slices {where})",
+        "aged AS (SELECT *, row_number() OVER (PARTITION BY house_id, slot ORDER BY day DESC) AS age FROM days)",
+    )
+    punctuated = _sql(
+        "SELECT house_id, row_number() OVER (PARTITION BY house_id ORDER BY slice_idx) AS batch_no, "
+        "CAST(round(CAST(average_load AS DECIMAL(38,9)), 6) AS DOUBLE) AS average_load, CAST(readings_count AS BIGINT) AS readings_count FROM house_slices"
+    )
     return {
         "load_readings": _sql(f"SELECT id, ts_ms, value, property, {_PLUG_COLS} FROM loads"),
         "archive_plug_slice": plug_slice,
@@ -621,13 +677,7 @@ def oracle_sql() -> dict[str, str]:
         "archive_house_weighted_avg": _sql(
             "SELECT house_id, slice_idx, CAST(round(CAST(average_load AS DECIMAL(38,9)), 6) AS DOUBLE) AS average_load, readings_count FROM house_slices"
         ),
-        "archive_last_n": _sql(
-            "SELECT house_id, CAST(slot AS INTEGER) AS slot, CAST(day AS INTEGER) AS day, CAST(age AS INTEGER) AS age, "
-            "CAST(round(CAST(average_load AS DECIMAL(38,9)), 6) AS DOUBLE) AS average_load FROM aged WHERE age <= 29",
-            "days AS (SELECT *, CAST(floor(slice_idx / 4) AS BIGINT) AS day, "
-            "slice_idx - 4 * CAST(floor(slice_idx / 4) AS BIGINT) AS slot FROM house_slices)",
-            "aged AS (SELECT *, row_number() OVER (PARTITION BY house_id, slot ORDER BY day DESC) AS age FROM days)",
-        ),
+        "archive_last_n": last_n.format(where=""),
         "history_median_house": _history_sql("house_id"),
         "history_median_plug": _history_sql(_PLUG_COLS),
         "house_running_avg": _running_sql("house_id"),
@@ -678,10 +728,18 @@ def oracle_sql() -> dict[str, str]:
             _flags_cte(HOUR_MS), _SNAPSHOT,
         ),
         "house_outlier_pct_grid": _sql(_GRID_RESULT.format(frame=""), _GRID.format(where="", moves=_MOVES)),
-        "punctuated_weighted_avg": _sql(
-            "SELECT house_id, row_number() OVER (PARTITION BY house_id ORDER BY slice_idx) AS batch_no, "
-            "CAST(round(CAST(average_load AS DECIMAL(38,9)), 6) AS DOUBLE) AS average_load, CAST(readings_count AS BIGINT) AS readings_count FROM house_slices"
-        ),
+        "punctuated_weighted_avg": punctuated,
+        "stream_punctuated_avg": punctuated,
+        "stream_archive_last_n": last_n.format(where=f"WHERE (slice_idx + 1) * 21600000 + 1705968000000 <= {_CLOSED.format(rows='readings')}"),
+        "kll_median_house": _sql("SELECT house_id, count(*) AS n, true AS rank_ok FROM loads GROUP BY house_id"),
+        "sliding_sample_median": _of_closed(_sql(
+            "SELECT house_id, ts_ms, CAST(round(CAST(median(value) AS DECIMAL(38,9)), 6) AS DOUBLE) AS median, count(*) AS drawn "
+            "FROM ranked WHERE rn <= 5 GROUP BY house_id, ts_ms",
+            "ranked AS (SELECT a.house_id, a.ts_ms, b.value, row_number() OVER (PARTITION BY a.house_id, a.ts_ms "
+            f"ORDER BY substr(md5('{SAMPLE_SEED}:' || b.id), 1, 13), b.id) AS rn "
+            "FROM (SELECT DISTINCT house_id, ts_ms FROM loads) a JOIN loads b ON a.house_id = b.house_id "
+            f"AND b.ts_ms <= a.ts_ms AND b.ts_ms > a.ts_ms - {DAY_MS})",
+        )),
         "sample_every_n": _sql(
             "SELECT row_no, id, house_id, CAST(round(CAST(current_load AS DECIMAL(38,9)), 6) AS DOUBLE) AS current_load "
             "FROM (SELECT *, row_number() OVER (ORDER BY ts_ms, id) AS row_no FROM live) WHERE row_no % 100 = 0",

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from plugload.functions.columns import slice_index
 from plugload.operators.blocks import largest_group, running
 from plugload.operators.sliding import sliding_median
 from plugload.settings import Settings
@@ -99,6 +100,33 @@ def sketch_median(df: DataFrame, keys: Sequence[str], accuracy: int = 10_000, va
     )
 
 
+def sketch_slices(df: DataFrame, keys: Sequence[str], s: Settings, k: int = 400, value: str = "value") -> DataFrame:
+    """One KLL sketch of the values per key and slice, to be stored: keys, slice_idx, sketch, n.
+
+    A sketch has some kilobytes whatever it has seen; partial sketches are merged before the shuffle.
+    """
+    slices = slice_index(F.col("ts_ms"), s).alias("slice_idx")
+    return df.where(F.col(value).isNotNull()).groupBy(*keys, slices).agg(
+        F.kll_sketch_agg_double(value, k).alias("sketch"), F.count("*").alias("n")
+    )
+
+
+def quantile_of_sketches(sketches: DataFrame, keys: Sequence[str], quantile: float = 0.5) -> DataFrame:
+    """Quantile per key over all given slices by merging their stored sketches: keys, quantile, n. No value is read again."""
+    merged = sketches.groupBy(*keys).agg(F.kll_merge_agg_double("sketch").alias("sketch"), F.sum("n").alias("n"))
+    return merged.select(*keys, F.kll_sketch_get_quantile_double("sketch", F.lit(quantile)).alias("quantile"), "n")
+
+
+def with_rank_error(quantiles: DataFrame, df: DataFrame, keys: Sequence[str], quantile: float = 0.5, value: str = "value") -> DataFrame:
+    """Adds rank_error: how far, as a share of the rows, the quantile lies from the values of the wanted rank."""
+    rows = df.where(F.col(value).isNotNull()).join(quantiles, list(keys))
+    ranks = rows.groupBy(*keys, "quantile").agg(
+        F.count_if(F.col(value) < F.col("quantile")).alias("below"), F.count_if(F.col(value) <= F.col("quantile")).alias("upto"), F.count("*").alias("n")
+    )
+    share = lambda c: F.col(c) / F.col("n")
+    return ranks.select(*keys, "quantile", "n", F.greatest(share("below") - quantile, quantile - share("upto"), F.lit(0.0)).alias("rank_error"))
+
+
 def grid_ends(df: DataFrame, keys: Sequence[str], width_ms: int, slide_ms: int) -> DataFrame:
     """Columns keys, window_end, n: the half-open windows [end - width, end) that hold values, each once.
 

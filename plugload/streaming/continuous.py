@@ -21,7 +21,7 @@ from plugload.plans.outliers import count_moves
 from plugload.schema import HOUSE, PLUG
 from plugload.settings import LOAD, Settings
 from plugload.sources.readings import between, slice_rows
-from plugload.streaming.keyed import FlagChanges, SlidingMedian, in_event_order
+from plugload.streaming.keyed import FlagChanges, SlidingMedian, SlidingSample, in_event_order
 from plugload.streaming.tables import Tables, deliver
 
 GLOBAL_MEDIAN = "ts_ms bigint, global_median double"
@@ -124,6 +124,18 @@ def plug_medians(stream: DataFrame, s: Settings, idle_ms: int | None = None) ->
     return in_event_order(loads(stream, s), PLUG, SlidingMedian(s.window_ms), idle_ms)
 
 
+def sample_draw(seed: int, id_col: str = "id") -> Column:
+    """52 random bits of a reading, as a double; the same for the same seed and id."""
+    digits = F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.col(id_col))), 1, 13)
+    return F.conv(digits, 16, 10).cast("double")
+
+
+def sample_medians(stream: DataFrame, keys: Sequence[str], k: int, seed: int, s: Settings, idle_ms: int | None = None) -> DataFrame:
+    """Streaming median of k sampled readings of each key's window at its closed times: keys, ts_ms, id, median, drawn."""
+    rows = loads(stream, s).withColumn("draw", sample_draw(seed))
+    return in_event_order(rows, keys, SlidingSample(s.window_ms, k), idle_ms)
+
+
 # -- readings with the global median, flags ---------------------------------------------------------------------------
 
 

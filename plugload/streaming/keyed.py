@@ -168,3 +168,127 @@ class FlagChanges(SlidingMedian):
                 found.append((t, int(ids[first]), flag, memory.flag))
                 memory.flag = flag
         return [list(c) for c in zip(*found)] if found else [[], [], [], []]
+
+
+class SlidingSample:
+    """Median of a sample of ``k`` readings of (t - width, t] at each distinct time: those of the least draws.
+
+    Draws are given as a column, so a sample is repeatable. A reading can never be drawn again once k newer ones have
+    lesser draws, as they stay longer; only the others are remembered, about k log(n / k) of the n readings in a window.
+    """
+
+    columns = ["value", "draw"]
+    output = "ts_ms bigint, id bigint, median double, drawn bigint"
+
+    def __init__(self, width_ms: int, k: int):
+        self.width_ms, self.k = width_ms, k
+
+    def start(self) -> list[np.ndarray]:
+        """One table with the rows time, id, draw, value, number of newer readings with lesser draws."""
+        return [np.empty((5, 0))]
+
+    def advance(self, memory: list, ts, ids, values) -> list[list]:
+        found, kept = [], memory[0]
+        edges = np.flatnonzero(np.append(True, ts[1:] != ts[:-1])).tolist()
+        for first, after in zip(edges, [*edges[1:], len(ts)]):
+            t = int(ts[first])
+            kept = kept[:, kept[0] > t - self.width_ms]
+            for i in range(first, after):
+                value, draw = values[0][i], values[1][i]
+                if value == value:
+                    kept[4] += (kept[2] > draw) | ((kept[2] == draw) & (kept[1] > ids[i]))
+                    kept = np.column_stack([kept[:, kept[4] < self.k], [t, ids[i], draw, value, 0]])
+            drawn = kept[3][np.lexsort((kept[1], kept[2]))[: self.k]]
+            found.append((t, int(ids[first]), float(np.median(drawn)) if len(drawn) else None, len(drawn)))
+        memory[0] = kept
+        return [list(c) for c in zip(*found)]
+
+    def expire(self, memory: list, watermark: int) -> int | None:
+        memory[0] = memory[0][:, memory[0][0] > watermark - self.width_ms]
+        return int(memory[0][0].min()) + self.width_ms if memory[0].size else None
+
+    def dump(self, memory: list) -> bytes:
+        return memory[0].tobytes()
+
+    def load(self, data: bytes) -> list:
+        return [np.frombuffer(data).reshape(5, -1).copy()]
+
+
+# -- state that data close, not time ----------------------------------------------------------------------------------
+
+
+def last_n_lists(averages: DataFrame, keys: Sequence[str], n: int) -> DataFrame:
+    """The latest n day averages per key and slot of a stream, as a list for every change: days and averages, latest first.
+
+    ``averages`` has keys, slot, day, average_load. State is one list of at most n entries per key and slot; a new day pushes
+    the oldest out, wherever in the order it comes, and a day that is older than a full list changes nothing.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in averages.schema.fields}
+    group = [*keys, "slot"]
+    schema = ", ".join([*(f"{k} {kinds[k]}" for k in group), "newest int, days array<int>, averages array<double>"])
+
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        days, loads = (list(part) for part in state.get) if state.exists else ([], [])
+        held = dict(zip(days, loads))
+        before = dict(held)
+        for frame in frames:
+            held.update(zip(frame["day"].tolist(), frame["average_load"].tolist()))
+            held = dict(sorted(held.items(), reverse=True)[:n])
+        if held != before:
+            state.update((list(held), list(held.values())))
+            yield pd.DataFrame([[*key, max(held), list(held), list(held.values())]], columns=[*group, "newest", "days", "averages"])
+
+    rows = averages.select(*group, F.col("day").cast("int").alias("day"), "average_load")
+    state = "days array<int>, averages array<double>"
+    return rows.groupBy(*group).applyInPandasWithState(run, schema, state, "append", GroupStateTimeout.NoTimeout)
+
+
+BATCH_SUMS = ["total", "weight", "readings_count"]
+
+
+def punctuated_averages(rows: DataFrame, marker: str, order: str, keys: Sequence[str]) -> DataFrame:
+    """Weighted averages of the batches that marker rows close: keys, batch_no, average_load, readings_count.
+
+    ``rows`` is a stream of average_load, value_count, readings_count, the marker flag and an order (bigint). A marker closes
+    what is open up to its place in the order; a batch is emitted when its marker comes and stays in state until then,
+    for ever if none comes. Rows must come before their marker or with it; markers of a key in their order. Each task adds up its
+    rows first, so a key's state function gets a few sums per micro-batch however many rows it has.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    columns = [*keys, "place", "closes", *BATCH_SUMS]
+    head = ", ".join(f"{k} {kinds[k]}" for k in keys)
+
+    def combine(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield frame.groupby([*keys, "place", "closes"], as_index=False, dropna=False)[BATCH_SUMS].sum()[columns]
+
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        closed, packed = state.get if state.exists else (0, pickle.dumps({}))
+        open_sums: dict[int, list] = pickle.loads(packed)
+        markers, found = [], []
+        for frame in frames:
+            for place, closes, *sums in frame[["place", "closes", *BATCH_SUMS]].itertuples(index=False, name=None):
+                if closes:
+                    markers.append(place)
+                else:
+                    open_sums[place] = [a + b for a, b in zip(open_sums.get(place, [0, 0, 0]), sums)]
+        for place in sorted(markers):
+            closed += 1
+            parts = [open_sums.pop(p) for p in sorted(open_sums) if p <= place]
+            total, weight, readings = (sum(p[k] for p in parts) for k in range(3))
+            if parts:
+                found.append([*key, closed, total / weight if weight else None, int(readings)])
+        state.update((closed, pickle.dumps(open_sums)))
+        if found:
+            yield pd.DataFrame(found, columns=[*keys, "batch_no", "average_load", "readings_count"])
+
+    weight = F.col("value_count")
+    sums = rows.select(
+        *keys, F.col(order).cast("long").alias("place"), F.col(marker).alias("closes"),
+        F.coalesce(F.col("average_load") * weight, F.lit(0.0)).alias("total"), weight.cast("long").alias("weight"),
+        F.col("readings_count").cast("long").alias("readings_count"),
+    ).mapInPandas(combine, f"{head}, place bigint, closes boolean, total double, weight bigint, readings_count bigint")
+    return sums.groupBy(*keys).applyInPandasWithState(
+        run, f"{head}, batch_no bigint, average_load double, readings_count bigint", "closed bigint, open binary",
+        "append", GroupStateTimeout.NoTimeout,
+    )

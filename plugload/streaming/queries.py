@@ -46,14 +46,14 @@ def _load(s: Settings, limited: bool) -> Column:
     return wanted & (F.col("house_id") < s.house_limit) if limited and s.house_limit is not None else wanted
 
 
-def slice_averages(stream: DataFrame, keys: Sequence[str], s: Settings) -> DataFrame:
-    """Streaming average and count per key and closed slice.
+def slice_averages(stream: DataFrame, keys: Sequence[str], s: Settings, start_ms: int | None = None) -> DataFrame:
+    """Streaming average and count per key and closed slice, from ``start_ms`` (live_start unless given) on.
 
     Any reading moves the watermark, also one that does not count here; so the readings that do not are not filtered
     out before but gathered under null keys, as groups without a counted reading, which are dropped at the end.
     """
     slices = F.window("ts", _interval(s.slice_ms), startTime=_interval(s.live_start_ms % s.slice_ms))
-    wanted = _load(s, limited=True) & (F.col("ts_ms") >= s.live_start_ms)
+    wanted = _load(s, limited=True) & (F.col("ts_ms") >= (s.live_start_ms if start_ms is None else start_ms))
     number = F.when(wanted & ~F.isnan("value"), F.col("value"))
     closed = stream.withWatermark("ts", _interval(s.watermark_ms)).groupBy(
         *(F.when(wanted, F.col(k)).alias(k) for k in keys), slices
