@@ -7,6 +7,8 @@ readings of a closed window are dropped.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 from time import time
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -18,9 +20,10 @@ from plugload.plans.outliers import Sizes, count_moves, flag_changes, grid_flags
 from plugload.plans.predict import key_averages
 from plugload.operators.blocks import running
 from plugload.schema import HOUSE, PLUG
-from plugload.session import remove, subfolders
+from plugload.session import is_folder, remove, subfolders
 from plugload.settings import LOAD, Settings
 from plugload.sources.readings import between, slice_rows
+from plugload.streaming.panes import left_of, needed, new_nodes, top_level, windows_of_nodes
 
 PREDICTION = (
     "slice_idx bigint, current_load double, readings_count bigint, history_median double, history_count bigint, "
@@ -158,23 +161,15 @@ def pane_histogram(stream: DataFrame, slide_ms: int, s: Settings) -> DataFrame:
     return counted.where("n > 0").select(*PLUG, F.unix_millis("window.end").alias("pane_end"), "value", "n")
 
 
-def windows_of_panes(panes: DataFrame, first: int, last: int, slide_ms: int, width_ms: int) -> DataFrame:
-    """Histogram per plug and window that ends from ``first`` to ``last``, from the panes that such windows hold."""
-    start = F.greatest(F.col("pane_end"), F.lit(first))
-    end = F.least(F.col("pane_end") + (width_ms - slide_ms), F.lit(last))
-    held = panes.where((F.col("pane_end") > first - width_ms) & (F.col("pane_end") <= last) & (start <= end))
-    ends = F.explode(F.sequence(start, end, F.lit(slide_ms))).alias("window_end")
-    return held.select(*PLUG, ends, "value", "n").groupBy(*PLUG, "window_end", "value").agg(F.sum("n").alias("n"))
-
-
 def stream_outliers(
     stream: DataFrame, slide_ms: int, s: Settings, folder: str, state: str,
     available_now: bool = False, every: str = "1 minute",
 ) -> StreamingQuery:
     """Percentage changes per house for each closed window, written to folder/changes/batch=<id>.
 
-    Closed panes are stored, and a batch builds the windows that have become complete from the panes of one width; a
-    window is complete once a pane that ends with it or later has closed. The last flag of every plug is kept as a
+    Value counts of closed panes are stored at doubling widths (``panes``), and a batch builds the windows that have
+    become complete from a few of them, whatever the width; a window is complete once a pane that ends with it or later
+    has closed. The last flag of every plug is kept as a
     table, one version per micro-batch (folder/flags/batch=<id>); it never expires. A batch reads version id - 1
     and replaces version id, so a retry gives the same result. What a retry cannot need is removed when the next
     batch begins, so the folder holds the panes of one width and two versions of the flags, however long the stream
@@ -196,9 +191,14 @@ def stream_outliers(
             _empty(spark, CHANGES).write.mode("overwrite").parquet(f"{folder}/changes/{part}")
             return
         first = oldest if before is None else before + slide_ms
-        needed = [b for b, end in kept.items() if end > first - s.window_ms]
-        panes = spark.read.schema(batch.schema).parquet(*(f"{folder}/panes/batch={b}" for b in [*needed, batch_id]))
-        windows_of_panes(panes, first, newest, slide_ms, s.window_ms).write.mode("overwrite").parquet(f"{folder}/histogram/{part}")
+        _store_nodes(spark, folder, batch_id, own, kept, first, newest, slide_ms, s)
+        number = lambda ms: ms // slide_ms
+        width, ranges = number(s.window_ms), _pane_ranges({**kept, batch_id: newest}, slide_ms)
+        top = top_level(width)
+        nodes = _nodes(spark, folder, needed(ranges, number(first), number(newest), width, top))
+        windows = windows_of_nodes(nodes, number(first), number(newest), width, top)
+        windows = windows.withColumn("window_end", F.col("window") * slide_ms).drop("window")
+        windows.write.mode("overwrite").parquet(f"{folder}/histogram/{part}")
         hist = spark.read.parquet(f"{folder}/histogram/{part}")
         rows = hist.count()  # from the Parquet footers
         # The whole batch bounds every group; if that is no proof of small groups they are counted one by one.
@@ -221,6 +221,44 @@ def stream_outliers(
     )
 
 
+NODES = "house_id int, household_id int, plug_id int, value double, n bigint, node bigint, batch bigint, level int"
+
+
+def _pane_ranges(kept: dict[int, int], slide_ms: int) -> dict[int, tuple[int, int]]:
+    """Panes of each batch as (before, newest): a batch begins where the one before it ends."""
+    ends = sorted((end // slide_ms, batch) for batch, end in kept.items())
+    starts = [0, *(end for end, _ in ends[:-1])]
+    return {batch: (start, end) for start, (end, batch) in zip(starts, ends)}
+
+
+def _nodes(spark: SparkSession, folder: str, folders: Sequence[tuple[int, int]]) -> DataFrame:
+    """Stored nodes of the given (batch, level) folders; nothing is listed but these."""
+    paths = [f"{folder}/nodes/batch={b}/level={level}" for b, level in folders]
+    paths = [p for p in paths if is_folder(spark, p)]
+    if not paths:
+        return _empty(spark, NODES)
+    return spark.read.schema(NODES).option("basePath", f"{folder}/nodes").parquet(*paths)
+
+
+def _store_nodes(
+    spark: SparkSession, folder: str, batch_id: int, own: DataFrame, kept: dict[int, int], first: int, newest: int, slide_ms: int, s: Settings
+) -> None:
+    """Write the nodes that the panes of a batch complete, with what they take in from batches before."""
+    before, last, top = first // slide_ms - 1, newest // slide_ms, top_level(s.window_ms // slide_ms)
+    ranges = _pane_ranges(kept, slide_ms)
+    wanted = left_of(before, last, top)
+    place = {}
+    for level, node in wanted:
+        end = (node + 1) << level
+        place.update({(b, level): True for b, (low, high) in ranges.items() if low < end <= high})
+    stored = _nodes(spark, folder, list(place))
+    is_wanted = [(F.col("level") == level) & (F.col("node") == node) for level, node in wanted]
+    stored = stored.where(reduce(or_, is_wanted)) if wanted else stored
+    fresh = own.withColumn("pane", (F.col("pane_end") / slide_ms).cast("long") - 1)
+    made = new_nodes(fresh, stored, before, last, top)
+    made.repartition("level", "node").write.partitionBy("level").mode("overwrite").parquet(f"{folder}/nodes/batch={batch_id}")
+
+
 def _known_panes(spark: SparkSession, folder: str, batch_id: int) -> dict[int, int]:
     """Batches whose panes later windows may need, and where their last pane ends; at most width / slide and one."""
     if batch_id == 0:
@@ -236,10 +274,10 @@ def _remember_panes(spark: SparkSession, folder: str, batch_id: int, kept: dict[
 
 def _tidy_outliers(spark: SparkSession, folder: str, batch_id: int, kept: dict[int, int]) -> None:
     """Remove what batches before the last one left and no later batch reads."""
-    for table, oldest in (("flags", batch_id - 1), ("kept", batch_id - 1), ("histogram", batch_id), ("windows", batch_id), ("panes", batch_id)):
+    for table, oldest in (("flags", batch_id - 1), ("kept", batch_id - 1), ("histogram", batch_id), ("windows", batch_id), ("panes", batch_id), ("nodes", batch_id)):
         for name in subfolders(spark, f"{folder}/{table}"):
             number = int(name.split("=")[1])
-            if number < oldest and not (table == "panes" and number in kept):
+            if number < oldest and not (table == "nodes" and number in kept):
                 remove(spark, f"{folder}/{table}/{name}")
 
 

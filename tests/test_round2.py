@@ -109,7 +109,7 @@ def test_many_batches_leave_bounded_tables(spark, tmp_path):
         S.stream_outliers(stream, 6 * HOUR, conf, out, str(tmp_path / "s1"), available_now=True).awaitTermination()
         S.stream_prediction(stream, HOUSE, conf, pred, str(tmp_path / "s2"), available_now=True).awaitTermination()
     count = lambda folder: len(list(Path(folder).iterdir())) if Path(folder).exists() else 0
-    assert count(f"{out}/flags") <= 2 and count(f"{out}/kept") <= 2 and count(f"{out}/histogram") <= 2 and count(f"{out}/panes") <= 5
+    assert count(f"{out}/flags") <= 2 and count(f"{out}/kept") <= 2 and count(f"{out}/histogram") <= 2 and count(f"{out}/panes") <= 2 and count(f"{out}/nodes") <= 5
     days = [p for p in Path(pred, "averages").iterdir() if p.name.startswith("day=")]
     assert len(days) <= conf.history_days + 2
     last = rows[-1][1] - conf.watermark_ms
