@@ -127,26 +127,37 @@ def with_rank_error(quantiles: DataFrame, df: DataFrame, keys: Sequence[str], qu
     return ranks.select(*keys, "quantile", "n", F.greatest(share("below") - quantile, quantile - share("upto"), F.lit(0.0)).alias("rank_error"))
 
 
+#: Widths per block of time in which grid windows are counted.
+GRID_WIDTHS = 24
+
+
 def grid_ends(df: DataFrame, keys: Sequence[str], width_ms: int, slide_ms: int) -> DataFrame:
     """Columns keys, window_end, n: the half-open windows [end - width, end) that hold values, each once.
 
     Ends are multiples of the slide. Values are counted per pane of one slide; a pane adds the ends that the pane
-    before it did not reach, and range sums of the panes give n. A key has at most one pane per slide of time.
+    before it did not reach, and range sums of the panes give n. Time is cut into blocks of some widths, each of which also
+    gets the panes of one width before it, so neither a key nor all keys together are one task.
     """
     if width_ms % slide_ms:
         raise ValueError("the slide must divide the width")
+    block_ms = GRID_WIDTHS * width_ms
     pane = ((F.floor(F.col("ts_ms") / slide_ms) + 1) * slide_ms).alias("window_end")
     panes = df.where(F.col("value").isNotNull()).groupBy(*keys, pane).agg(F.count("*").alias("n"))
-    along = Window.partitionBy(*keys).orderBy("window_end")
-    first = F.greatest("window_end", F.coalesce(F.lag("window_end").over(along) + width_ms, "window_end"))
-    last = F.col("window_end") + (width_ms - slide_ms)
-    asked = panes.select(*keys, first.alias("first"), last.alias("last")).where("first <= last")
-    asked = asked.select(*keys, F.explode(F.sequence("first", "last", F.lit(slide_ms))).alias("window_end"))
+    own = F.floor(F.col("window_end") / block_ms)
+    reaches = F.col("window_end") + width_ms > (own + 1) * block_ms
+    blocks = F.when(reaches, F.array(own, own + 1)).otherwise(F.array(own))
+    panes = panes.withColumn("_block", F.explode(blocks))
+    along = Window.partitionBy(*keys, "_block").orderBy("window_end")
+    # A pane that is missing before a block's first one reaches no end of this block.
+    first = F.greatest("window_end", F.coalesce(F.lag("window_end").over(along) + width_ms, "window_end"), F.col("_block") * block_ms)
+    last = F.least(F.col("window_end") + (width_ms - slide_ms), (F.col("_block") + 1) * block_ms - 1)
+    asked = panes.select(*keys, "_block", first.alias("first"), last.alias("last")).where("first <= last")
+    asked = asked.select(*keys, "_block", F.explode(F.sequence("first", "last", F.lit(slide_ms))).alias("window_end"))
     every = panes.withColumn("asked", F.lit(False)).unionByName(
         asked.select("*", F.lit(0).cast("long").alias("n"), F.lit(True).alias("asked"))
     )
     inside = F.sum("n").over(along.rangeBetween(-(width_ms - slide_ms), 0))
-    return every.withColumn("n", inside).where("asked").drop("asked")
+    return every.withColumn("n", inside).where("asked").drop("asked", "_block")
 
 
 def grid_median(df: DataFrame, keys: Sequence[str], width_ms: int, slide_ms: int, s: Settings) -> DataFrame:

@@ -12,6 +12,7 @@ from plugload.operators.blocks import running
 from plugload.operators.medians import grid_median, median_of_histogram
 from plugload.operators.sliding import sliding_median, span_widths
 from plugload.schema import HOUSE, PLUG
+from plugload.session import materialized
 from plugload.settings import DAY_MS, Settings
 from plugload.sources.readings import load_only
 
@@ -142,10 +143,16 @@ def grid_flags(hist: DataFrame, s: Settings, sizes: Sizes | None = None) -> Data
 
 
 def grid_outliers(readings: DataFrame, slide_ms: int, s: Settings) -> DataFrame:
-    """Change events on a grid of windows, in the order (window_end, household, plug) within a house."""
+    """Change events on a grid of windows, in the order (window_end, household, plug) within a house.
+
+    Flags are written once; their number, read from the footers, bounds all later groups.
+    """
     load = load_only(readings)
     plugs = grid_median(load, PLUG, s.window_ms, slide_ms, s).select(*PLUG, "window_end", F.col("median").alias("plug_median"))
     overall = grid_median(load, [], s.window_ms, slide_ms, s).select("window_end", F.col("median").alias("global_median"))
     flags = plugs.join(overall, "window_end").withColumn("flag", above(F.col("plug_median"), F.col("global_median")))
-    changes = flag_changes(flags, ["window_end"], s)
-    return percentages(changes, ["window_end", "household_id", "plug_id"], s)
+    flags = materialized(flags)
+    rows = flags.count()
+    most = rows if rows <= s.window_rows else None
+    changes = flag_changes(flags, ["window_end"], s, most)
+    return percentages(changes, ["window_end", "household_id", "plug_id"], s, most)

@@ -3,6 +3,7 @@ from statistics import median, median_low
 
 import pytest
 
+from plugload.operators import medians as M
 from plugload.operators.medians import (
     exact_median, grid_median, histogram, lower_median_of_histogram, reservoir_median, sketch_median,
 )
@@ -88,3 +89,21 @@ def test_grid(rows, s):
 def test_slide_must_divide_width(rows):
     with pytest.raises(ValueError):
         grid_median(rows[1], ["k"], 2000, 300, Settings())
+
+
+@pytest.mark.parametrize("keys", [[], ["house_id"]])
+def test_grid_ends_over_blocks_of_time(spark, readings, keys):
+    """Ends and counts over many blocks, with gaps at their borders; no window function without a partition."""
+    width, slide = 4000, 1000
+    block = M.GRID_WIDTHS * width
+    times = [0, 1, 999, block - 4001, block - 1, block, block + 1, 2 * block - 3000, 2 * block + 3000, 5 * block + 500, 5 * block + 8500]
+    rows = [(i, t, 1.0, i % 2, 0, 0) for i, t in enumerate(times)]
+    got = M.grid_ends(readings(rows), keys, width, slide)
+    want = {}
+    for r in rows:
+        for k in range(width // slide):
+            end = (r[1] // slide + 1 + k) * slide
+            key = (r[3], end) if keys else (end,)
+            want[key] = want.get(key, 0) + 1
+    assert sorted(map(tuple, got.collect())) == sorted((*k, n) for k, n in want.items())
+    assert "SinglePartition" not in got._jdf.queryExecution().executedPlan().toString()
