@@ -63,12 +63,12 @@ def mix(
     equal the target, rounded, for each source.
 
     Documents are dealt into hash buckets, and the sums of the buckets tell which one holds the border; only its
-    rows are sorted, so a source with a third of all rows is no burden. The seeded order depends on the id alone:
-    reruns agree at any partitioning. Null texts have size 0, null sources form a source of their own, repeated rows
+    rows are sorted, so a source with a third of all rows is no burden. The seeded order depends on id and text, then
+    on the carried columns, so reruns agree at any partitioning: rows that tie are equal. Null texts have size 0, null sources form a source of their own, repeated rows
     count each, an empty table gives an empty result. Other columns, whatever their names, are only carried.
     """
     carried = F.struct(*(F.col(c) for c in (carry or docs.columns)))
-    order = F.xxhash64(F.col(doc_id), F.lit(seed))
+    order = F.xxhash64(F.col(doc_id), F.col(text), F.lit(seed))
     rows = docs.select(
         carried.alias("row"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), order.alias("order"),
         F.pmod(F.shiftright(order, 20), F.lit(BUCKETS)).alias("bucket"),
@@ -95,7 +95,8 @@ def mix(
     )
     planned = rows.join(plan, F.col("source").eqNullSafe(F.col("of")))
     clear = planned.where("bucket <> at").withColumn("part", F.when(F.col("bucket") < F.col("at"), F.col("size")).otherwise(0))
-    earlier = Window.partitionBy("source").orderBy("order", "size").rowsBetween(Window.unboundedPreceding, -1)
+    tie = F.xxhash64(F.to_json("row"))
+    earlier = Window.partitionBy("source").orderBy("order", "size", tie).rowsBetween(Window.unboundedPreceding, -1)
     start = F.col("before") + F.coalesce(F.sum("size").over(earlier), F.lit(0))
     mixed = planned.where("bucket = at").withColumn("start", start).withColumn(
         "part", F.greatest(F.lit(0), F.least(F.col("size"), F.col("lack") - F.col("start")))

@@ -13,16 +13,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from plugload.llm.common import gathered, slices
+from plugload.llm.common import gathered, released, slices
 from plugload.session import materialized
 
 LENGTH = 2048
 #: Items that one task packs together; each shard leaves a few sequences that are not full.
 SHARD_ITEMS = 4_096
 #: Words whose ids a task remembers in each of two generations.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 100_000
 #: Bytes of text whose words are numbered together.
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 4 << 20
 
 
 _LETTERS = re.compile(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
@@ -118,7 +118,7 @@ def pieces(
             )
 
     texts = F.coalesce(F.col(text), F.lit("")).alias("text")
-    return docs.select(F.col(doc_id).alias("doc_id"), texts).mapInArrow(run, schema)
+    return docs.select(F.col(doc_id).alias("doc_id"), texts).mapInArrow(released(run), schema)
 
 
 def pack_shard(demand: np.ndarray, limits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -73,8 +73,8 @@ def op8_hnsw(spark, d):
 def op9_suffix_dedup(spark, d):
     cleaned = substrings.remove_repeats(table(spark, d, "documents"), carry=["doc_id"])
     return cleaned.select(
-        "doc_id", F.col("_bytes").alias("n_bytes"), F.col("_removed").alias("n_removed"),
-        F.col("_spans").alias("n_spans"), F.col("_sha256").alias("kept_sha256"),
+        "row.doc_id", F.col("bytes").alias("n_bytes"), F.col("removed").alias("n_removed"),
+        F.col("spans").alias("n_spans"), F.col("sha256").alias("kept_sha256"),
     )
 
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from plugload.llm.common import as_bytes, slices
+from plugload.llm.common import as_bytes, released, slices
 from plugload.session import materialized
 
 LENGTH = 200
@@ -152,7 +152,7 @@ def parse(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame
 
     if length - gram + 1 > 255:
         raise ValueError("a trigger may serve at most 255 starts")
-    return texts.mapInArrow(run, "key bigint, phrase bigint, doc bigint, mark int, place bigint")
+    return texts.mapInArrow(released(run), "key bigint, phrase bigint, doc bigint, mark int, place bigint")
 
 
 def _rims(rims: DataFrame, texts: DataFrame, length: int) -> DataFrame:
@@ -220,7 +220,7 @@ def _sorted_groups(rims: DataFrame, length: int) -> DataFrame:
             yield flush()
 
     columns = ["key", "times", "doc", "mark", "place", "bytes"]
-    return rims.select(*columns).repartition("key").sortWithinPartitions("key").mapInArrow(run, _FOUND)
+    return rims.select(*columns).repartition("key").sortWithinPartitions("key").mapInArrow(released(run), _FOUND)
 
 
 def _shuffled_groups(rims: DataFrame, length: int) -> DataFrame:
@@ -282,18 +282,19 @@ def remove_repeats(
     docs: DataFrame, carry: list[str] | None = None, doc_id: str = "doc_id", text: str = "text",
     length: int = LENGTH, gram: int = GRAM, group_phrases: int = GROUP_PHRASES, with_text: bool = False,
 ) -> DataFrame:
-    """The ``carry`` columns of every row (all unless given) with _bytes, _removed, _spans, _sha256 and, if asked for, _kept.
+    """row (struct of the ``carry`` columns, all unless given), bytes, removed, spans, sha256 and, if asked for, kept.
 
     Removed is every byte covered by a string of ``length`` bytes that starts anywhere else, in the same or another
-    row. Bytes are those of the UTF-8 text; a cut may fall inside a character, so _kept is text without the bytes of
+    row. Bytes are those of the UTF-8 text; a cut may fall inside a character, so kept is text without the bytes of
     incomplete characters. Null and empty texts lose nothing; of repeated rows of enough length nothing remains,
-    because each repeats the other. An empty table stays empty.
+    because each repeats the other. An empty table stays empty. Ids are whole numbers or null. Columns of any name are
+    carried. Equal 64-bit hashes of strings are taken for equal strings.
     """
     names = carry or docs.columns
     keyed = docs.select(F.struct(*(F.col(c) for c in names)).alias("row"), *_text_key(doc_id, text), as_bytes(text))
     marked = repeats(keyed.select("doc", "mark", "text"), length, gram, group_phrases)
     rows = docs.select(*names).schema
-    out = f"_bytes bigint, _removed bigint, _spans bigint, _sha256 string{', _kept string' if with_text else ''}"
+    out = f"bytes bigint, removed bigint, spans bigint, sha256 string{', kept string' if with_text else ''}"
     joined = keyed.join(marked.withColumnsRenamed({"doc": "_d", "mark": "_m"}), (F.col("doc") == F.col("_d")) & (F.col("mark") == F.col("_m")), "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -308,9 +309,8 @@ def remove_repeats(
             kinds = [pa.int64()] * 3 + [pa.string()] * (2 if with_text else 1)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds))],
-                ["row", "_bytes", "_removed", "_spans", "_sha256", *(["_kept"] if with_text else [])],
+                ["row", "bytes", "removed", "spans", "sha256", *(["kept"] if with_text else [])],
             )
 
     kind = rows.simpleString()
-    cleaned = joined.select("row", "text", "places").mapInArrow(run, f"row {kind}, {out}")
-    return cleaned.select("row.*", *(c for c in cleaned.columns if c != "row"))
+    return joined.select("row", "text", "places").mapInArrow(released(run), f"row {kind}, {out}")

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from plugload.llm.common import slices
+from plugload.llm.common import released, slices
 
 ORDERS = (3, 4, 5, 6)
 #: n-grams are hashed into 2 ** BUCKET_BITS buckets.
@@ -101,16 +101,13 @@ def _texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str, max_rows: int) -> DataFrame:
-    """(text, label) of at most max_rows labelled documents, chosen by a hash of the id, in a fixed number of partitions.
+    """(text, label) of at most max_rows labelled documents, those of the least hashes of the id, in a fixed number of partitions.
 
     The ids are bounded, so they are broadcast and the texts are not shuffled for the join.
     """
     known = labels.where(F.col(doc_id).isNotNull() & F.col(label).isNotNull())
     known = known.groupBy(F.col(doc_id).alias("_id")).agg(F.max(F.col(label).cast("int")).alias("label"))
-    n = known.count()
-    if n > max_rows:
-        share = int(max_rows / n * 1e6)
-        known = known.where(F.pmod(F.xxhash64("_id", F.lit(11)), F.lit(1_000_000)) < share).limit(max_rows)
+    known = known.orderBy(F.xxhash64("_id", F.lit(11)), "_id").limit(max_rows)
     texts = docs.select(F.col(doc_id).alias("_doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = texts.join(F.broadcast(known), F.col("_doc") == F.col("_id")).select("text", "label")
     return rows.repartition(TRAIN_PARTITIONS)
@@ -245,12 +242,13 @@ def score(
     stays empty. A column of the new name is replaced.
     """
     kept = [c for c in (carry or docs.columns) if c != name]
-    schema = StructType([*docs.select(*kept).schema.fields, StructField(name, DoubleType())])
+    row = F.struct(*kept).alias("row")  # one column, so that no name can clash
+    schema = StructType([docs.select(row).schema["row"], StructField("score", DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lookup = _lookup(model.buckets)
-        for batch in slices(batches, "_scored", 1 << 20):
-            scores = score_texts(_texts(batch, "_scored"), model, lookup)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores)], [*kept, name])
+        for batch in slices(batches, "text", 1 << 20):
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score_texts(_texts(batch), model, lookup))], ["row", "score"])
 
-    return docs.select(*kept, F.col(text).alias("_scored")).mapInArrow(run, schema)
+    scored = docs.select(row, F.col(text).alias("text")).mapInArrow(released(run), schema)
+    return scored.select(*(F.col("row").getField(c).alias(c) for c in kept), F.col("score").alias(name))

@@ -6,22 +6,14 @@ import numpy as np
 import corpus_pipeline as C
 from plugload.llm import queries as Q, toxicity as T
 from plugload.session import materialized
-from tests.llm.test_quality_simhash_mixing import naive_groups, naive_targets, split
+from tests.llm.test_quality_simhash_mixing import naive_targets, split
+from tests.llm.test_similar import brute_force
 from tests.llm.test_substrings import naive
 from tests.llm.test_toxicity_packing import check_pieces
 
 SF = "/root/testdata/sf0.001"
 
 
-def five_word_print(text):
-    import xxhash
-
-    words = split("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
-    grams = [" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))] if words else []
-    hashes = [xxhash.xxh64_intdigest(g.encode(), 42) for g in grams]
-    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
-
-
 def test_every_stage_equals_brute_force(spark):
     """The stages one by one, each against a plain version over the rows its predecessor kept."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")
@@ -35,7 +27,7 @@ def test_every_stage_equals_brute_force(spark):
 
     single = materialized(stages["simhash_near_dedup"](spark, clean, SF))
     rows = clean.collect()
-    groups = naive_groups({r["doc_id"]: five_word_print(r["text"]) for r in rows})
+    groups, _ = brute_force({r["doc_id"]: r["text"] for r in rows})
     assert Counter(single.collect()) == Counter(r for r in rows if groups[r["doc_id"]] == r["doc_id"]) and single.columns == columns
 
     cut = materialized(stages["suffix_array_dedup"](spark, single, SF))
@@ -74,7 +66,7 @@ def test_odd_documents_pass_all_stages(spark):
     words = lambda n: " ".join(rng.choice(["aa", "bb", "cc", "dd", "ee", "ff"], n))
     rows = [(1, None, None, None, None), (2, "", "en", "a", 0), (3, "", "en", "a", 0), (4, "one", "en", None, 3), (None, "no id " * 3, "en", "b", 18),
             (5, words(30_000), "en", "b", 0), (6, "same text of some words here", "en", "b", 0), (6, "same text of some words here", "en", "b", 0), (7, "same text of some words here", "en", "c", 0)]
-    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, size int, row string, taken string"
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, removed int, row string, _score string"
     docs = spark.createDataFrame([(*r, 1, "r", "t") for r in rows], schema)
     for start in (docs, docs.limit(0)):
         at = start

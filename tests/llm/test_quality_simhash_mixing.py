@@ -225,3 +225,13 @@ def test_mix_equals_brute_force(spark):
     check_mix(spark.read.parquet(f"{SF}/documents.parquet"))
     assert mixing.mix(odd(spark).limit(0)).count() == 0
     assert mixing.mix(odd(spark).where("doc_id = 1")).select("taken").collect() == [Row(taken=0)]
+
+
+def test_mixing_reruns_agree_for_rows_alike(spark):
+    """Null and repeated ids of one size: the same rows are taken at any partitioning."""
+    rows = [(None, f"{w} b c d", "s", w) for w in "abcdefgh"] + [(7, "x y z", "s", w) for w in "abcdefgh"] + [(i, "k l", "t", "") for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, tag string")
+    found = [
+        sorted((repr(r["row"]), r["taken"]) for r in mixing.mix(docs.repartition(n), weights=(3, 2)).collect()) for n in (1, 7, 40)
+    ]
+    assert found[0] == found[1] == found[2]

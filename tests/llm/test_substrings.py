@@ -28,8 +28,8 @@ def check(df, **more):
     length = more.get("length", S.LENGTH)
     want = naive([(r["text"] or "").encode() for r in rows], length)
     got = S.remove_repeats(df, carry=["doc_id"], **more).collect()
-    fields = ["_bytes", "_removed", "_spans", "_sha256"]
-    assert Counter((r["doc_id"], *(r[f] for f in fields)) for r in got) == Counter((r["doc_id"], *w) for r, w in zip(rows, want))
+    fields = ["bytes", "removed", "spans", "sha256"]
+    assert Counter((r["row"]["doc_id"], *(r[f] for f in fields)) for r in got) == Counter((r["doc_id"], *w) for r, w in zip(rows, want))
     return want
 
 
@@ -81,7 +81,7 @@ def test_phrases_cover_every_start_once(letters):
 def test_kept_text_drops_broken_characters(spark):
     rows = [(1, "é" * 300 + "ü"), (2, "x" + "é" * 300)]
     df = spark.createDataFrame([(i, t, "p", "r") for i, t in rows], SCHEMA)
-    got = {r["doc_id"]: r for r in S.remove_repeats(df, with_text=True).collect()}
+    got = {r["row"]["doc_id"]: r for r in S.remove_repeats(df, with_text=True).collect()}
     # The first byte of ü is also the first of é and goes with them; its second byte alone is no character.
-    assert got[1]["_bytes"] - got[1]["_removed"] == 1 and got[1]["_kept"] == ""
-    assert got[2]["_kept"] == "x" and got[1]["places"] == "p"
+    assert got[1]["bytes"] - got[1]["removed"] == 1 and got[1]["kept"] == ""
+    assert got[2]["kept"] == "x" and got[1]["row"]["places"] == "p"
