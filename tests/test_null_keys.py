@@ -3,7 +3,6 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from plugload import Settings
-from plugload.llm.quoting import without_quotes
 from plugload.operators.blocks import running
 
 BLOCKS = Settings(window_rows=2, block_rows=4)
@@ -16,11 +15,3 @@ def test_null_keys_run_on_from_block_to_block(spark):
     more = dict(sums={"n": F.lit(1), "total": F.col("v")}, previous={"before": F.col("v")})
     plain, blocks = (running(df, *args, s, **more).collect() for s in (Settings(), BLOCKS))
     assert Counter(plain) == Counter(blocks) and max(r["n"] for r in blocks) == 60
-
-
-def test_rows_without_conversation_are_numbered_once(spark):
-    rows = [(c, t, "user", f"says {t}\n> says {t - 1}") for c in (None, 1) for t in range(40)]
-    df = spark.createDataFrame(rows, "conv_id bigint, turn int, role string, text string").repartition(3)
-    plain, blocks = (without_quotes(df, s).collect() for s in (Settings(), BLOCKS))
-    assert Counter(plain) == Counter(blocks)
-    assert sorted(r["position"] for r in blocks if r["conv_id"] is None) == list(range(1, 41))
