@@ -30,6 +30,8 @@ COVER_PERCENT = 50
 TOP = 2000
 #: Bits of the map of frequent phrases, as a power of two; 16 MB at most are sent to a task.
 FILTER_BITS = 27
+#: Parts that the phrases of a language are ranked in before they are ranked together.
+PARTS = 64
 #: Bytes of text or of chunks that a task looks at together.
 SLICE_BYTES = 4 << 20
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -157,14 +159,19 @@ class Level:
             seeds = np.array([xxhash.xxh64_intdigest(x) for x in names], np.uint64)
             good &= self._passes(w, seeds[lang])
         at = np.flatnonzero(good)
-        key = lang[at]
-        for k in range(m):
-            key, index, group = np.unique(key * len(w.hashes) + w.number[at + k], return_index=True, return_inverse=True)
-            key = group
         if not len(at):
             return [], [], []
-        counts = np.bincount(group, times[w.text[at]]).astype(np.int64)
-        one, every = at[index], list(names)
+        key, bound = lang[at], len(names)
+        for k in range(m):
+            if bound * len(w.hashes) >= 1 << 62:
+                key = np.unique(key, return_inverse=True)[1]
+                bound = len(at)
+            key, bound = key * len(w.hashes) + w.number[at + k], bound * len(w.hashes)
+        order = np.argsort(key)
+        key = key[order]
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        counts = np.add.reduceat(times[w.text[at[order]]], first)
+        one, every = at[order[first]], list(names)
         phrases = [w.data[a:b] for a, b in zip(w.start[one].tolist(), w.end[one + m - 1].tolist())]
         return [every[i] for i in lang[one].tolist()], phrases, counts
 
@@ -266,8 +273,10 @@ def collocations(
     totals = entries.groupBy("lang").agg(F.sum(F.col("own") * F.col("times")).alias("n"))
     candidates = materialized(scored(frequencies(entries, longest, min_count, bits)))
     order = [F.col("score").desc(), F.col("a").desc(), F.col("phrase")]
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(*order))
-    ranked = uncovered(candidates, cover_percent).withColumn("rank", rank).where(F.col("rank") <= top)
-    return ranked.join(totals, "lang").select(
+    kept = uncovered(candidates, cover_percent).withColumn("_part", F.pmod(F.xxhash64("phrase"), F.lit(PARTS)))
+    # First within parts of a language, so that the last task of a language gets top rows of each part only.
+    for keys in (["lang", "_part"], ["lang"]):
+        kept = kept.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= top)
+    return kept.join(totals, "lang").select(
         "lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score"
     )
