@@ -20,9 +20,9 @@ LENGTH = 2048
 #: Items that one task packs together; each shard leaves a few sequences that are not full.
 SHARD_ITEMS = 4_096
 #: Words whose ids a task remembers in each of two generations.
-CACHE_WORDS = 100_000
+CACHE_WORDS = 250_000
 #: Bytes of text whose words are numbered together.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 12 << 20
 
 
 _LETTERS = re.compile(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
