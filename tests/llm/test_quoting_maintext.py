@@ -98,6 +98,22 @@ def test_blocks(page, want):
     assert M.page_blocks(page)[0] == want
 
 
+@pytest.mark.parametrize("page, want", [
+    ("<p title='it's'>Hello</p><p>there isn't</p>", ["Hello", "there isn't"]),
+    ('<p class="x" ">Lost text</p><p>"quoted"</p>', ["Lost text", '"quoted"']),
+    ("<article><p>text</p><article class='comment'><p>reader</p></article><p>end</p></article>", ["text", "end"]),
+    ("<div class='has-ads-below no-sidebar'>real text</div><div class='top-ads'>buy</div><div class=siteHeader>h</div>", ["real text"]),
+    ("<article class='post comment-open'>kept</article><article id=related>other</article>", ["kept"]),
+    ('<p class="x>never closed</p><p>next', ["never closed", "next"]), ("<p a=b'c>one</p><p d='e>f'>two</p>", ["one", "two"]),
+    ("<svg/><p>after</p><svg><title>t</title><path d='x'/></svg><p>end", ["after", "end"]), ("<!-->a<!--->b<!-- c --!>d", ["abd"]),
+    ("<title>T</title><p>a</p></>b</ x>c", ["a", "bc"]), ("<template><p>x<p>y</template>z<noscript><p>n</noscript>", ["z"]),
+    ("<script data-x='</p>'>1</script >a<script src=x>2</script x>b<scripted>c", ["abc"]), ("<div role='main' role=search>in</div>out", ["in"]),
+    ("<p " + "'" * 200_000 + ">long", ["long"]), ("<script " + "a" * 200_000, []), ("<p>x</p><p title='role=main'>y</p>", ["x", "y"]),
+])
+def test_stray_quotes_and_names(page, want):
+    assert M.page_blocks(page)[0] == want
+
+
 def naive_starts(streams, width):
     seen = defaultdict(set)
     for k, s in enumerate(streams):
