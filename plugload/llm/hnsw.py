@@ -17,9 +17,15 @@ DEGREE = 16
 BUILD_BEAM = 48
 FIRST_BEAM = 16
 SHARD_ROWS = 65_536
+#: A shard of long vectors has fewer rows: its graph must fit into one binary value and a task.
+SHARD_BYTES = 512 << 20
 MIN_SHARDS = 8
 BLOCK_ROWS = 16_384
+#: Points drawn for the audit, and how many of them should have links.
 AUDIT_ROWS = 256
+AUDIT_LINKED = 64
+#: The first beam where too few points with links were found to audit it.
+UNSURE_BEAM = 128
 TARGET_RECALL = 0.97
 _TOGETHER = 256
 _STEP = 4
@@ -187,14 +193,17 @@ def _verified(graph: Graph, exact: np.ndarray, x: np.ndarray, least: float, beam
 
 
 def build_shards(points: DataFrame, least: float, beam: int) -> DataFrame:
-    """(dim, shard, graph): the graph of each shard, with ids, copies and the least id that links inside it reach."""
+    """(dim, shard, graph, linked): the graph of each shard, with ids, copies and the least id that links inside it reach.
+
+    linked has at most AUDIT_ROWS ids of points that have a link inside the shard.
+    """
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         dim = key[0].as_py()
         exact = _unit(_matrix(table.column("vector"), dim))
         graph, order = Graph.build(exact.astype(np.float32), seed=key[1].as_py())
         exact, ids = exact[order], np.asarray(table.column("rep"))[order]
-        root = np.arange(len(ids))
+        root, linked = np.arange(len(ids)), np.zeros(len(ids), bool)
 
         def find(a: int) -> int:
             while root[a] != a:
@@ -204,44 +213,53 @@ def build_shards(points: DataFrame, least: float, beam: int) -> DataFrame:
 
         for i, nodes in _verified(graph, exact, exact, least, beam):
             for j in nodes:
+                linked[[i, j]] |= i != j
                 a, b = find(i), find(int(j))
                 if a != b:
                     root[max(a, b, key=lambda k: ids[k])] = min(a, b, key=lambda k: ids[k])
         group = ids[[find(i) for i in range(len(ids))]]
         packed = graph.to_bytes(exact=exact, ids=ids, copies=np.asarray(table.column("copies"))[order], group=group)
-        return pa.table({"dim": [dim], "shard": [key[1].as_py()], "graph": pa.array([packed], pa.binary())},
-                        pa.schema([("dim", pa.int32()), ("shard", pa.int32()), ("graph", pa.binary())]))
+        return pa.table({
+            "dim": pa.array([dim], pa.int32()), "shard": pa.array([key[1].as_py()], pa.int32()), "graph": pa.array([packed], pa.binary()),
+            "linked": pa.array([np.sort(ids[linked])[:AUDIT_ROWS].tolist()], pa.list_(pa.int64())),
+        })
 
-    return points.groupBy("dim", "shard").applyInArrow(run, "dim int, shard int, graph binary")
+    return points.groupBy("dim", "shard").applyInArrow(run, "dim int, shard int, graph binary, linked array<bigint>")
 
 
 def search_shards(
     points: DataFrame, graphs: DataFrame, shards: int, least: float, beam: int, block_rows: int
 ) -> DataFrame:
-    """(rep, n, groups): per point and shard the number of linked vectors there and the groups they belong to.
+    """(rep, n, back, groups): per point and shard the number of linked vectors there and the groups they belong to.
 
     Points go to every shard of their dimension, in blocks of about block_rows; a task holds one graph and one block.
+    A second row per block and point of the shard has in back by how many vectors of the block it was found, so that a
+    link counts at both ends without a row per pair.
     """
     blocks = max(1, -(-points.count() // block_rows))
     asked = points.withColumn("block", F.pmod(F.xxhash64("rep", F.lit(3)), F.lit(blocks)).cast("int"))
     every = F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard")
-    asked = asked.select("dim", "block", "rep", "vector", every)
-    spread = graphs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    asked = asked.select("dim", "block", "rep", "copies", "vector", every)
+    spread = graphs.select("dim", "shard", "graph").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
     def run(key: tuple, queries: pa.Table, graph: pa.Table) -> pa.Table:
         found = []
         if queries.num_rows and graph.num_rows:
             net, more = Graph.from_bytes(graph.column("graph")[0].as_py())
             ids, x = np.asarray(queries.column("rep")), _unit(_matrix(queries.column("vector"), key[0].as_py()))
+            copies, back = np.asarray(queries.column("copies")), np.zeros(len(more["ids"]), np.int64)
             for i, nodes in _verified(net, more["exact"], x, least, beam):
                 nodes = nodes[more["ids"][nodes] != ids[i]]
                 if len(nodes):
-                    found.append((ids[i], int(more["copies"][nodes].sum()), np.unique(more["group"][nodes]).tolist()))
-        rep, n, groups = zip(*found) if found else ((), (), ())
-        return pa.table({"rep": pa.array(rep, pa.int64()), "n": pa.array(n, pa.int64()), "groups": pa.array(groups, pa.list_(pa.int64()))})
+                    back[nodes] += copies[i]
+                    found.append((ids[i], int(more["copies"][nodes].sum()), 0, np.unique(more["group"][nodes]).tolist()))
+            found += [(more["ids"][k], 0, int(back[k]), []) for k in np.flatnonzero(back)]
+        rep, n, back, groups = zip(*found) if found else ((), (), (), ())
+        return pa.table({"rep": pa.array(rep, pa.int64()), "n": pa.array(n, pa.int64()), "back": pa.array(back, pa.int64()),
+                         "groups": pa.array(groups, pa.list_(pa.int64()))})
 
     keys = ["dim", "shard", "block"]
-    return asked.groupBy(*keys).cogroup(spread.groupBy(*keys)).applyInArrow(run, "rep bigint, n bigint, groups array<bigint>")
+    return asked.groupBy(*keys).cogroup(spread.groupBy(*keys)).applyInArrow(run, "rep bigint, n bigint, back bigint, groups array<bigint>")
 
 
 def _true_counts(points: DataFrame, sample: list, least: float) -> dict[int, int]:
@@ -272,20 +290,29 @@ def audited_beam(
 ) -> int:
     """The first beam, doubled from FIRST_BEAM, with which a bounded sample finds its links, compared with brute force.
 
-    Both the share of all links and the mean share per point must reach the target. At most AUDIT_ROWS points are
-    sampled, by a hash, so the driver gets a bounded number of rows.
+    Both the share of all links and the mean share per point must reach the target. AUDIT_ROWS points are drawn by a
+    hash. Where links are rare these hardly have any; then as many points that have a link inside their own shard are
+    audited too, with all their links in all shards. If still fewer than AUDIT_LINKED points have links, the beam starts
+    at UNSURE_BEAM. The driver gets at most 2 * AUDIT_ROWS points.
     """
     share = max(1, points.count() // AUDIT_ROWS)
-    drawn = points.where(F.pmod(F.xxhash64("rep", F.lit(5)), F.lit(share)) == 0).limit(AUDIT_ROWS)
-    sample = drawn.collect()
+    sample = points.where(F.pmod(F.xxhash64("rep", F.lit(5)), F.lit(share)) == 0).orderBy(F.xxhash64("rep", F.lit(6)), "rep").limit(AUDIT_ROWS).collect()
     truth = _true_counts(points, sample, least)
-    asked = points.sparkSession.createDataFrame(sample, points.schema)
-    beam = FIRST_BEAM
-    while sum(truth.values()):
-        found = search_shards(asked, graphs, shards, least, beam, block_rows).groupBy("rep").agg(F.sum("n").alias("n"))
-        got = {r["rep"]: r["n"] for r in found.collect()}
-        shares = [got.get(k, 0) / n for k, n in truth.items() if n]
-        if min(sum(shares) / len(shares), sum(got.values()) / sum(truth.values())) >= target or beam >= SHARD_ROWS:
+    if sum(n > 0 for n in truth.values()) < AUDIT_LINKED:
+        drawn = graphs.select(F.explode("linked").alias("rep")).orderBy(F.xxhash64("rep", F.lit(7)), "rep").limit(AUDIT_ROWS)
+        known = {r["rep"] for r in sample}
+        more = [r for r in points.join(F.broadcast(drawn), "rep", "left_semi").collect() if r["rep"] not in known]
+        truth |= _true_counts(points, more, least) if more else {}
+        sample += more
+    linked = [r for r in sample if truth.get(r["rep"])]
+    beam = FIRST_BEAM if len(linked) >= AUDIT_LINKED else UNSURE_BEAM
+    asked = points.sparkSession.createDataFrame(linked, points.schema) if linked else None
+    while linked:
+        found = search_shards(asked, graphs, shards, least, beam, block_rows).groupBy("rep").agg(F.sum("n").alias("n")).where("n > 0")
+        asked_ids = {r["rep"] for r in linked}
+        got = {r["rep"]: r["n"] for r in found.join(F.broadcast(asked.select("rep")), "rep", "left_semi").collect()}
+        shares = [got.get(k, 0) / truth[k] for k in asked_ids]
+        if min(sum(shares) / len(shares), sum(got.values()) / sum(truth[k] for k in asked_ids)) >= target or beam >= SHARD_ROWS:
             break
         beam *= 2
     return beam
@@ -298,7 +325,8 @@ def near_vectors(
     """(vec_id, n_links, component_id, kept) for every row: links have a cosine of at least ``least``, in doubles.
 
     Equal vectors are one point with a number of copies, combined before the shuffle, so thousands of copies cost
-    nothing in the search. Points are dealt into shards by a hash; each shard is a graph in the shared folder. A point
+    nothing in the search. A link that the search finds from one end only joins both ends into a component; n_links is
+    the larger of the numbers found from a vector and found of it, so no link is counted that is none. Points are dealt into shards by a hash; each shard is a graph in the shared folder. A point
     gives one row per shard, with the groups that its links belong to, so a group of near copies makes no pairs.
     Vectors that are null, empty, zero or hold null or non-finite components link with nothing, and so do rows
     without id, whose component is null; vectors of different lengths never link. Repeated rows count as vectors of
@@ -311,14 +339,17 @@ def near_vectors(
     rows = rows.withColumn("vector", F.when(usable, F.col("vector")))
     points = rows.where("vector is not null").groupBy("vector").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
     points = materialized(points.select("rep", "copies", F.size("vector").alias("dim"), "vector"))
-    shards = max(MIN_SHARDS, -(-points.count() // shard_rows))
+    size = points.agg(F.count("*").alias("n"), F.coalesce(F.max("dim"), F.lit(0)).alias("dim")).first()
+    # Doubles, floats and links of a point.
+    shard_rows = max(1, min(shard_rows, SHARD_BYTES // (12 * size["dim"] + 5 * 4 * DEGREE)))
+    shards = max(MIN_SHARDS, -(-size["n"] // shard_rows))
     dealt = points.withColumn("shard", F.pmod(F.xxhash64("rep"), F.lit(shards)).cast("int"))
     graphs = materialized(build_shards(dealt, least, FIRST_BEAM))
     beam = audited_beam(points, graphs, shards, least, block_rows, target)
     found = materialized(search_shards(points, graphs, shards, least, beam, block_rows))
     links = found.select(F.col("rep").alias("a"), F.explode("groups").alias("b")).where("a <> b")
     joined = components(links).withColumnRenamed("node", "_node")
-    counted = found.groupBy("rep").agg(F.sum("n").alias("n"))
+    counted = found.groupBy("rep").agg(F.greatest(F.sum("n"), F.sum("back")).alias("n"))
     per_point = points.join(counted, "rep", "left").join(joined, F.col("rep") == F.col("_node"), "left").select(
         F.col("vector").alias("_vector"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
         F.coalesce("component", "rep").alias("component"),

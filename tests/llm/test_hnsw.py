@@ -87,3 +87,58 @@ def test_graph_recall_on_structureless_vectors():
     assert sum(len(found[i] & t) for i, t in enumerate(true)) > 0.97 * sum(map(len, true))
     again, more = H.Graph.from_bytes(graph.to_bytes(ids=order))
     assert (again.layers[0] == graph.layers[0]).all() and (more["ids"] == order).all()
+
+
+def points_of(spark, vectors):
+    rows = [(i, 1, len(v), [float(a) for a in v]) for i, v in enumerate(vectors)]
+    return spark.createDataFrame(rows, "rep bigint, copies bigint, dim int, vector array<double>")
+
+
+def test_rare_links_are_audited(spark):
+    """20 pairs among 3,000 vectors: a random draw of 256 hardly meets one, points linked in their shard do."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(3000, 32))
+    x[2980:] = x[:20] + rng.normal(size=(20, 32)) * 0.02
+    points = points_of(spark, x)
+    dealt = points.selectExpr("*", "cast(pmod(rep, 4) as int) as shard")
+    graphs = H.build_shards(dealt, 0.9, H.FIRST_BEAM).persist()
+    linked = [i for r in graphs.collect() for i in r["linked"]]
+    assert set(linked) == set(range(20)) | set(range(2980, 3000))  # 2980 is a multiple of 4, so both ends share a shard
+    asked = []
+    search = H.search_shards
+    try:
+        H.search_shards = lambda p, g, n, least, beam, rows: asked.append(p.count()) or search(p, g, n, least, beam, rows)
+        assert H.audited_beam(points, graphs, 4, 0.9, 1000) == H.UNSURE_BEAM
+    finally:
+        H.search_shards = search
+    assert asked == [40]
+    apart = points_of(spark, np.eye(32))
+    lonely = H.build_shards(apart.selectExpr("*", "0 as shard"), 0.9, H.FIRST_BEAM)
+    assert H.audited_beam(apart, lonely, 1, 0.9, 1000) == H.UNSURE_BEAM
+
+
+def test_links_found_from_one_end_count_at_both(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(60, 16))
+    x[50:] = x[40:50] + rng.normal(size=(10, 16)) * 0.02
+    points = points_of(spark, x)
+    dealt = points.selectExpr("*", "if(rep < 50, 0, 1) as shard")
+    rows = []
+    for r in H.build_shards(dealt, 0.9, 16).collect():
+        net, more = H.Graph.from_bytes(r["graph"])
+        if r["shard"] == 1:  # a graph without links: searches end at its entry
+            net.layers = [np.full_like(layer, -1) for layer in net.layers]
+        keep = {k: v for k, v in more.items() if k in ("exact", "ids", "copies", "group")}
+        rows.append((r["dim"], r["shard"], net.to_bytes(**keep), r["linked"]))
+    graphs = spark.createDataFrame(rows, "dim int, shard int, graph binary, linked array<bigint>")
+    found = H.search_shards(points, graphs, 2, 0.9, 16, 25).groupBy("rep").agg({"n": "sum", "back": "sum"}).collect()
+    n = {r["rep"]: r["sum(n)"] for r in found}
+    back = {r["rep"]: r["sum(back)"] for r in found}
+    assert sum(v == 0 for k, v in n.items() if k in range(40, 50)) == 9  # nine of ten miss their partner
+    assert all(max(n[k], back[k]) == 1 for k in range(40, 60))
+
+
+def test_shards_are_bounded_by_bytes(spark, monkeypatch):
+    monkeypatch.setattr(H, "SHARD_BYTES", 20_000)
+    rng = np.random.default_rng(10)
+    check(spark, groups(rng, 60, 24, 8))
