@@ -6,11 +6,14 @@ strings that start one after the other mostly share their trigger. A phrase is t
 string with the same trigger; phrases overlap by length - 1 bytes, so that every string lies in exactly one phrase.
 The dictionary holds the distinct phrases, the parse is where they occur.
 
-Neither the dictionary nor the parse has a suffix array, and no corpus order is made: hash equality takes their place.
-Equal strings have the same trigger, hence only phrases with a common trigger can share them: a trigger that occurs
-once rules out all strings of its phrase. A phrase that occurs twice repeats all its strings. What is left are the rims
-of repeats: distinct phrases with a common trigger, whose strings of ``length`` bytes are grouped by their 64-bit
-hashes, once per entry of the dictionary and not per occurrence; strings of one hash are repeats.
+The dictionary's suffixes are put in order by prefix doubling (``suffix_order``) up to ``length`` bytes. A string of that
+length lies in one phrase, so its place in the order of the corpus is that of its suffix in the dictionary, as often
+as the parse has the phrase: neighbours that agree in ``length`` bytes, or a phrase that the parse has twice, are
+repeats. The order of the parse would only tell apart strings that agree in ``length`` bytes; no byte depends on it, so
+the parse is counted and not sorted. Equal strings have the same trigger, hence only phrases with a common trigger can
+share them: a trigger that occurs once rules out all strings of its phrase, and the dictionary is sorted in parts that
+hold whole triggers. Hashes only bring phrases together. A trigger with more phrases than one task should sort is the
+exception: its strings are counted by hash through a shuffle.
 """
 
 from __future__ import annotations
@@ -31,7 +34,9 @@ GRAM = 40
 #: Longer texts are parsed in overlapping pieces of so many starts, which bounds memory and changes no result.
 PIECE = 1 << 19
 #: Triggers with more distinct phrases are compared through a shuffle of string hashes instead of in one task.
-GROUP_PHRASES = 20_000
+GROUP_PHRASES = 8_000
+#: Triggers are sorted together until their phrases hold so many bytes.
+SORT_BYTES = 1 << 20
 _BASE = 0x9E3779B97F4A7C15
 
 
@@ -182,27 +187,59 @@ def _runs(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 _FOUND = "doc bigint, mark int, place bigint"
 
 
+def _ranks(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, rank): equal keys share a rank, ranks count from 1."""
+    order = np.argsort(keys)
+    ordered = keys[order]
+    rank = np.empty(len(keys), np.int64)
+    rank[order] = np.cumsum(np.append(True, ordered[1:] != ordered[:-1]))
+    return order, rank
+
+
+def suffix_order(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(order, rank): the suffixes of data sorted by their first ``length`` bytes; equal ones share a rank from 1.
+
+    Prefix doubling from words of seven bytes. The end of data counts as less than any byte.
+    """
+    n, width = len(data), min(7, length)
+    padded = np.concatenate([data.astype(np.uint64) + np.uint64(1), np.zeros(width, np.uint64)])
+    word = np.zeros(n, np.uint64)
+    for k in range(width):
+        word = word << np.uint64(9) | padded[k : k + n]
+    order, rank = _ranks(word)
+    while width < length and rank[order[-1]] < n:
+        step = min(width, length - width)
+        pair = rank * (n + 1)
+        pair[: n - step] += rank[step:]
+        order, rank = _ranks(pair)
+        width += step
+    return order, rank
+
+
+def repeated_starts(phrases: list[bytes], times: list[int], length: int) -> list[np.ndarray]:
+    """Per phrase, which of its strings of ``length`` bytes the phrases hold more than once, each counted ``times`` times."""
+    sizes = np.array([len(p) for p in phrases])
+    first = np.cumsum(sizes) - sizes
+    numbers = sizes - length + 1
+    _, rank = suffix_order(np.frombuffer(b"".join(phrases), np.uint8), length)
+    rank = rank[np.concatenate([np.arange(a, a + k) for a, k in zip(first, numbers)])]
+    repeated = np.bincount(rank, np.repeat(times, numbers))[rank] > 1
+    return np.split(repeated, np.cumsum(numbers)[:-1])
+
+
 def _sorted_groups(rims: DataFrame, length: int) -> DataFrame:
     """Repeated starts of phrases whose trigger has few distinct phrases: their suffixes are sorted within the task."""
 
     def found(rows: list[tuple]) -> Iterator[tuple]:
         rows = list({r[2:5]: r for r in rows}.values())
-        hashes = [_string_hashes(r[5], length) for r in rows]
-        sizes = [len(h) for h in hashes]
-        every = np.concatenate(hashes)
-        order = np.argsort(every, kind="stable")
-        ordered = every[order]
-        group = np.cumsum(np.append(True, ordered[1:] != ordered[:-1])) - 1
-        times = np.repeat([r[1] for r in rows], sizes)
-        repeated = np.empty(len(every), bool)
-        repeated[order] = np.bincount(group, times[order])[group] > 1
-        for r, hit in zip(rows, np.split(repeated, np.cumsum(sizes)[:-1])):
+        for r, hit in zip(rows, repeated_starts([r[5] for r in rows], [r[1] for r in rows], length)):
             if r[1] == 1 and hit.any():
                 for s, n in zip(*_runs(np.flatnonzero(hit))):
                     yield r[2], r[3], (r[4] >> 8) + int(s) << 8 | int(n)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
+        size = 0
 
         def flush() -> pa.RecordBatch:
             return pa.RecordBatch.from_pylist(
@@ -211,12 +248,12 @@ def _sorted_groups(rims: DataFrame, length: int) -> DataFrame:
 
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if held and held[0][0] != row[0]:
-                    if len(held) > 1:
-                        yield flush()
-                    held = []
+                if size >= SORT_BYTES and held[-1][0] != row[0]:
+                    yield flush()
+                    held, size = [], 0
                 held.append(row)
-        if len(held) > 1:
+                size += len(row[5])
+        if held:
             yield flush()
 
     columns = ["key", "times", "doc", "mark", "place", "bytes"]
@@ -228,18 +265,19 @@ def _shuffled_groups(rims: DataFrame, length: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "bytes", 1 << 18):
-            hashes = [_string_hashes(b.as_py(), length) for b in batch.column(4)]
+            hashes = [_string_hashes(b.as_py(), length) for b in batch.column(5)]
             n = [len(h) for h in hashes]
             row = pa.array(np.repeat(np.arange(len(n)), n))
-            first = np.array([p >> 8 for p in batch.column(3).to_pylist()], np.int64)
+            first = np.array([p >> 8 for p in batch.column(4).to_pylist()], np.int64)
             start = np.concatenate([f + np.arange(k) for f, k in zip(first, n)])
             yield pa.RecordBatch.from_arrays([
-                pa.array(np.concatenate(hashes).view(np.int64)), *(batch.column(k).take(row) for k in range(3)), pa.array(start << 8 | 1)
-            ], ["string", "times", "doc", "mark", "place"])
+                pa.array(np.concatenate(hashes).view(np.int64)), *(batch.column(k).take(row) for k in range(4)), pa.array(start << 8 | 1)
+            ], ["string", "key", "times", "doc", "mark", "place"])
 
-    strings = rims.select("times", "doc", "mark", "place", "bytes").mapInArrow(run, f"string bigint, times bigint, {_FOUND}")
-    repeated = strings.groupBy("string").agg(F.sum("times").alias("n")).where("n > 1").select("string")
-    return strings.where("times = 1").join(repeated, "string", "left_semi").select("doc", "mark", "place")
+    columns = ["key", "times", "doc", "mark", "place", "bytes"]
+    strings = rims.select(*columns).mapInArrow(run, f"string bigint, key bigint, times bigint, {_FOUND}")
+    repeated = strings.groupBy("string", "key").agg(F.sum("times").alias("n")).where("n > 1").select("string", "key")
+    return strings.where("times = 1").join(repeated, ["string", "key"], "left_semi").select("doc", "mark", "place")
 
 
 def repeats(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, group_phrases: int = GROUP_PHRASES) -> DataFrame:
@@ -288,7 +326,7 @@ def remove_repeats(
     row. Bytes are those of the UTF-8 text; a cut may fall inside a character, so kept is text without the bytes of
     incomplete characters. Null and empty texts lose nothing; of repeated rows of enough length nothing remains,
     because each repeats the other. An empty table stays empty. Ids are whole numbers or null. Columns of any name are
-    carried. Equal 64-bit hashes of strings are taken for equal strings.
+    carried. Phrases of equal trigger and hash (two of 64 bits) are taken for equal.
     """
     names = carry or docs.columns
     keyed = docs.select(F.struct(*(F.col(c) for c in names)).alias("row"), *_text_key(doc_id, text), as_bytes(text))

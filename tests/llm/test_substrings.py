@@ -33,6 +33,32 @@ def check(df, **more):
     return want
 
 
+@pytest.mark.parametrize("length", [1, 5, 7, 8, 20, 200])
+def test_suffix_order_equals_sorting(length):
+    rng = np.random.default_rng(length)
+    for data in (b"a" * 300, bytes(rng.integers(0, 256, 400, np.uint8)), bytes(rng.integers(0, 2, 500, np.uint8)), b"ab" * 130 + b"a", b"\x00", b"\xff\x00" * 90):
+        order, rank = S.suffix_order(np.frombuffer(data, np.uint8), length)
+        cut = [data[i : i + length] for i in range(len(data))]
+        assert [cut[i] for i in order] == sorted(cut)
+        number = {c: k for k, c in enumerate(sorted(set(cut)), 1)}
+        assert rank.tolist() == [number[c] for c in cut]
+
+
+def test_repeated_starts_count_the_parse():
+    rng = np.random.default_rng(3)
+    shared = bytes(rng.integers(0, 256, 30, np.uint8))
+    phrases = [b"xx" + shared, shared + b"yy", b"q" * 25, b"once more, but only once"]
+    once = S.repeated_starts(phrases, [1, 1, 1, 1], 20)
+    assert [h.tolist() for h in once] == [[False] * 2 + [True] * 11, [True] * 11 + [False] * 2, [True] * 6, [False] * 5]
+    assert S.repeated_starts(phrases, [1, 1, 1, 2], 20)[3].all()
+
+
+def test_triggers_sorted_apart_or_together(spark, monkeypatch):
+    check(made(spark, np.random.default_rng(8)))
+    monkeypatch.setattr(S, "SORT_BYTES", 1)
+    check(made(spark, np.random.default_rng(8)))
+
+
 def text(rng, n, letters="abcd "):
     return "".join(rng.choice(list(letters), n))
 
