@@ -35,6 +35,8 @@ GRAM = 40
 PIECE = 1 << 19
 #: Triggers with more distinct phrases are compared through a shuffle of string hashes instead of in one task.
 GROUP_PHRASES = 8_000
+#: A group with more than one of so many parts of all rows is not brought into one task.
+LARGE_GROUPS = 1_000
 #: Triggers are sorted together until their phrases hold so many bytes.
 SORT_BYTES = 1 << 20
 _BASE = 0x9E3779B97F4A7C15
@@ -280,16 +282,27 @@ def _shuffled_groups(rims: DataFrame, length: int) -> DataFrame:
     return strings.where("times = 1").join(repeated, ["string", "key"], "left_semi").select("doc", "mark", "place")
 
 
+def _semi(rows: DataFrame, groups: DataFrame, on: list[str], total: int) -> DataFrame:
+    """The rows whose group is among groups (on, n), n being the group's rows of ``total``.
+
+    Rows of groups that hold more than a thousandth of all rows, of which there are less than a thousand, stay where they
+    are: those groups are broadcast. So no task gets a large group; the other rows meet their groups in a shuffle.
+    """
+    large = F.broadcast(groups.where(F.col("n") * LARGE_GROUPS > total).select(*on))
+    small = groups.where(F.col("n") * LARGE_GROUPS <= total).select(*on)
+    rest = rows.join(large, on, "left_anti")
+    return rows.join(large, on, "left_semi").union(rest.join(small, on, "left_semi"))
+
+
 def repeats(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, group_phrases: int = GROUP_PHRASES) -> DataFrame:
     """(doc, mark, places): runs of starts whose string of ``length`` bytes starts anywhere else too."""
     parsed = materialized(parse(texts, length, gram))
-    shared = materialized(parsed.groupBy("key").count().where("count > 1").select("key"))
-    parsed = materialized(parsed.join(shared, "key", "left_semi"))
+    shared = materialized(parsed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
+    parsed = materialized(_semi(parsed, shared, ["key"], parsed.count()))
     # The dictionary of phrases with shared triggers, each with its number of occurrences and one of its places.
     entries = parsed.groupBy("key", "phrase").agg(F.count("*").alias("n"), F.min(F.struct("doc", "mark", "place")).alias("one"))
     entries = materialized(entries)
-    copied = entries.where("n > 1").select("key", "phrase")
-    whole = parsed.join(copied, ["key", "phrase"], "left_semi").select("doc", "mark", "place")
+    whole = _semi(parsed, entries.where("n > 1"), ["key", "phrase"], parsed.count()).select("doc", "mark", "place")
     varied = entries.groupBy("key").agg(F.count("*").alias("phrases")).where("phrases > 1")
     rims = entries.join(varied, "key").select("key", F.least("n", F.lit(2)).alias("times"), "one.*", "phrases")
     cut = materialized(_rims(rims.select("key", "times", "doc", "mark", "place"), texts, length))

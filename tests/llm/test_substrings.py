@@ -59,6 +59,12 @@ def test_triggers_sorted_apart_or_together(spark, monkeypatch):
     check(made(spark, np.random.default_rng(8)))
 
 
+@pytest.mark.parametrize("parts", [1, 50, 10**12])
+def test_large_and_small_groups(spark, monkeypatch, parts):
+    monkeypatch.setattr(S, "LARGE_GROUPS", parts)
+    check(made(spark, np.random.default_rng(9)))
+
+
 def text(rng, n, letters="abcd "):
     return "".join(rng.choice(list(letters), n))
 
