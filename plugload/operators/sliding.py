@@ -3,8 +3,8 @@
 Time is cut into spans that are multiples of the width; a reading also goes into the next span if a window
 there can reach it. Spans are independent, so the work spreads over keys and time.
 
-* Usual case: a (key, span) has at most ``group_rows`` rows. Such spans are packed by hash into Python groups of
-  moderate size and one numpy pass answers all windows of a pack.
+* Usual case: a (key, span) has at most ``group_rows`` rows. Such spans are packed by
+  hash into Python groups of about PACK_ROWS rows and one numpy pass answers all windows of a pack.
 * Dense case: larger spans go through ``_dense_medians``, which never puts a whole window into one task. The windows at consecutive readings differ by few rows, so for a block of readings only the rows that
   enter or leave during the block and a thin band of values around the median are needed; the rest is counted.
 """
@@ -28,9 +28,12 @@ from plugload.settings import Settings
 # the smallest id of that time to the block that answers it.
 OWN, PREVIOUS, CORE, BELOW, ABOVE, SKIP, EARLIER = range(7)
 
-PACK_ROWS = 200_000
-# Tables of small rows are broadcast up to this many rows: the dense spans, at most 2 * rows / group_rows, and the
-# bins, 2 * rows / block_rows and some more where spans end inside a block.
+# Rows of what is packed together into a Python group.
+PACK_ROWS = 1 << 16
+# Values that a bin of a dense span gives to the chunks of the span, per task of the join.
+SALT_ROWS = 1 << 18
+# Tables of small rows are broadcast up to this many rows: the dense spans, at most 2 * rows / limit, and the
+# bins, 2 * rows / block and some more where spans end inside a block.
 BROADCAST_ROWS = 200_000
 
 
@@ -39,6 +42,16 @@ def span_widths(keys: Sequence[str]) -> int:
     return 24 if keys else 1
 
 
+def dense_block_rows(most: int, s: Settings) -> int:
+    """Rows of a block of dense spans of at most ``most`` rows, a power of two.
+
+    Two blocks' events fit into a Python group. A block is at least twice the square root of a span, as a span has a cell
+    per pair of blocks: there are then a quarter as many cells as rows, whatever ``block_rows`` is.
+    """
+    root = 1 << (max(most - 1, 0).bit_length() + 1) // 2
+    return max(min(s.block_rows, PACK_ROWS // 2), 2 * root)
+
+
 def span_sizes(df: DataFrame, keys: Sequence[str], width_ms: int) -> DataFrame:
     span = F.floor(F.col("ts_ms") / (width_ms * span_widths(keys))).alias("span")
     return df.groupBy(*keys, span).count()
@@ -70,20 +83,21 @@ def _sliding_median(df: DataFrame, keys: list[str], width_ms: int, s: Settings,
     spread = _into_spans(rows, width_ms, span_ms)
     if since is not None:  # earlier rows only fill windows
         spread = spread.withColumn("kind", F.when(F.col("ts_ms") < since, F.lit(PREVIOUS)).otherwise(F.col("kind")))
-    if 2 * largest <= s.group_rows:  # a span and what it copies from the one before
+    limit = s.group_rows
+    if 2 * largest <= limit:  # a span and what it copies from the one before
         return _packed_medians(spread, keys, width_ms, packs)
 
     reached = F.explode(F.array("span", F.col("span") + 1)).alias("span")
     dense = spans.select(*keys, reached, "count").groupBy(*keys, "span").agg(F.sum("count").alias("count"))
-    dense = dense.where(F.col("count") > s.group_rows).select(*keys, F.col("span").alias("long_span"))
-    if 2 * total // s.group_rows <= BROADCAST_ROWS:
+    dense = dense.where(F.col("count") > limit).select(*keys, F.col("span").alias("long_span"))
+    if 2 * total // limit <= BROADCAST_ROWS:
         dense = F.broadcast(dense)
     on = [*keys, "long_span"]
     usual = spread.withColumn("long_span", F.col("span")).join(dense, on, "left_anti").drop("long_span")
     narrow = _into_spans(rows, width_ms, width_ms)
     narrow = narrow.withColumn("long_span", F.floor(F.col("span") / span_widths(keys)))
     narrow = narrow.join(dense, on, "left_semi").drop("long_span")
-    return _packed_medians(usual, keys, width_ms, packs).unionByName(_dense_medians(narrow, keys, width_ms, total, s))
+    return _packed_medians(usual, keys, width_ms, packs).unionByName(_dense_medians(narrow, keys, width_ms, total, 2 * largest, s))
 
 
 def _into_spans(rows: DataFrame, width_ms: int, span_ms: int) -> DataFrame:
@@ -108,31 +122,33 @@ def _schema(df: DataFrame, keys: list[str]) -> str:
 def _packed_medians(spread: DataFrame, keys: list[str], width_ms: int, packs: int) -> DataFrame:
     pack = F.pmod(F.xxhash64(*keys, "span"), F.lit(packs))
     rows = spread.select(*keys, "span", "ts_ms", "value", F.col("kind").cast("byte").alias("kind"), "id")
-    return rows.groupBy(pack).applyInPandas(_answer(keys, width_ms), _schema(spread, keys))
+    return rows.groupBy(pack).applyInPandas(_answer(keys, width_ms, [*keys, "span"]), _schema(spread, keys))
 
 
-def _dense_medians(spread: DataFrame, keys: list[str], width_ms: int, total: int, s: Settings) -> DataFrame:
-    """Sliding medians for windows of any size; every task sees at most a few blocks of block_rows rows.
+def _dense_medians(spread: DataFrame, keys: list[str], width_ms: int, total: int, most: int, s: Settings) -> DataFrame:
+    """Sliding medians for windows of any size; every task sees at most a few blocks of rows, or a pack of small blocks.
 
     1. Number blocks along (key, span, value) -> ``bin`` and along (key, span, event time) -> ``chunk``. Here a
        span is one width, so an OWN row only enters and a PREVIOUS row only leaves during it: one event each.
     2. Count the core of each chunk per bin: OWN rows of earlier chunks, PREVIOUS rows of later chunks.
     3. With d events in a chunk the median can only be a core value whose core rank is within d/2 of the middle,
        or an event value. Keep the bins that cover these ranks as the band, count what lies below and above.
-    4. Send the band's core values to the chunk and let the numpy pass answer its readings.
+    4. Send the band's core values to the chunk and let the numpy pass answer its readings, those of several small
+       chunks at once.
 
-    Step 2 and 3 work on summaries of (rows of two widths / block_rows) squared cells per (key, span).
+    Step 2 and 3 work on summaries of (rows of two widths / block) squared cells per (key, span), see
+    ``dense_block_rows``. ``most`` bounds the rows of two widths.
     """
-    group = [*keys, "span"]
+    group, block = [*keys, "span"], dense_block_rows(most, s)
     leaves = F.col("kind") == PREVIOUS
     event = F.when(leaves, F.col("ts_ms") + width_ms).otherwise(F.col("ts_ms"))
-    spread = in_blocks(spread.withColumn("event", event), [*group, "value", "ts_ms", "id"], s.block_rows, "bin")
+    spread = in_blocks(spread.withColumn("event", event), [*group, "value", "ts_ms", "id"], block, "bin")
     # Leaving rows first: the last chunk with a given event time then holds an entering row, if there is any.
     spread = spread.withColumn("phase", -F.col("kind"))
-    spread = materialized(in_blocks(spread, [*group, "event", "phase", "id"], s.block_rows, "chunk"))
+    spread = materialized(in_blocks(spread, [*group, "event", "phase", "id"], block, "chunk"))
 
     along = Window.partitionBy(*group).orderBy("chunk")
-    chunks = (
+    chunks = materialized(
         spread.groupBy(*group, "chunk")
         .agg(
             F.min("event").alias("first"), F.max("event").alias("last"), F.count("value").alias("events"),
@@ -153,7 +169,9 @@ def _dense_medians(spread: DataFrame, keys: list[str], width_ms: int, total: int
     )
     # Every bin needs a count for every chunk of its span, also where no event of the chunk lies in the bin.
     last_no = chunks.groupBy(*group).agg(F.max("no").alias("last_no"))
-    cells = counts.select(*group, "bin").distinct().join(last_no, group).select(
+    # The number of parts is given, as a few bins make many cells.
+    parts = int(spread.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cells = counts.select(*group, "bin").distinct().join(last_no, group).repartition(parts, *group, "bin").select(
         *group, "bin", F.explode(F.sequence(F.lit(1), "last_no")).alias("no")
     )
     cells = cells.join(counts, [*group, "bin", "no"], "left").na.fill(0, ["entering", "leaving"])
@@ -166,6 +184,7 @@ def _dense_medians(spread: DataFrame, keys: list[str], width_ms: int, total: int
     ranked = ranked.withColumn(
         "under", F.coalesce(F.sum("core").over(over_bins.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     ).withColumn("size", F.sum("core").over(Window.partitionBy(*group, "chunk")))
+    ranked = materialized(ranked.drop("entering", "leaving"))
     lowest = (F.col("size") - F.col("events")) / 2 - 2
     highest = (F.col("size") + F.col("events")) / 2 + 1
     in_band = (F.col("core") > 0) & (F.col("under") + F.col("core") > lowest) & (F.col("under") <= highest)
@@ -178,9 +197,9 @@ def _dense_medians(spread: DataFrame, keys: list[str], width_ms: int, total: int
     ]
     events = spread.select(*shape(F.col("ts_ms"), F.col("value"), F.lit(1), F.col("kind"), F.col("id")))
 
-    # The middle bins meet every chunk of a span: salt them so that the join output spreads.
-    # More blocks in all mean more of them per span and more salts.
-    salts = min(1024, max(32, 2 * total // s.block_rows))
+    # The middle bins meet every chunk of a span, so each gives about as many values as the span has rows: salt them so
+    # that the join output spreads.
+    salts = min(1024, -(-most // SALT_ROWS))
     wanted = band.select(*group, "bin", F.col("chunk").alias("for_chunk"), "first").withColumn(
         "salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
     )
@@ -188,7 +207,7 @@ def _dense_medians(spread: DataFrame, keys: list[str], width_ms: int, total: int
         F.col("chunk") < F.col("for_chunk")
     )
     bins = band.select(*group, "bin").distinct()
-    if 2 * total // s.block_rows <= BROADCAST_ROWS:
+    if 2 * total // block <= BROADCAST_ROWS:
         bins = F.broadcast(bins)
     core_values = (
         spread.where("value is not null").join(bins, [*group, "bin"], "left_semi").withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int"))
@@ -213,12 +232,12 @@ def _dense_medians(spread: DataFrame, keys: list[str], width_ms: int, total: int
     asked_events = events.join(asked.select(*group, "chunk"), [*group, "chunk"], "left_semi")
     parts = asked_events.unionByName(core_values).unionByName(below).unionByName(over).unionByName(skip)
     parts = parts.unionByName(earlier)
-    return parts.groupBy("chunk").applyInPandas(_answer(keys, width_ms), _schema(spread, keys))
+    pack = F.shiftright("chunk", (PACK_ROWS // block).bit_length() - 1 if block < PACK_ROWS else 0)
+    return parts.groupBy(pack).applyInPandas(_answer(keys, width_ms, [*group, "chunk"]), _schema(spread, keys))
 
 
-def _answer(keys: list[str], width_ms: int):
-    """Function that answers all readings of a pandas group holding one or more (key, span) groups."""
-    group = [*keys, "span"]
+def _answer(keys: list[str], width_ms: int, group: list[str]):
+    """Function that answers all readings of a pandas group holding one or more groups by the columns ``group``."""
     result = [*keys, "ts_ms", "median", "first_id"]
 
     def answer(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -4,6 +4,7 @@ import pytest
 from hypothesis import given, settings as hyp, strategies as st
 
 from plugload.functions.ranks import select_in_ranges
+from plugload.operators import sliding
 from plugload.operators.sliding import sliding_median
 from plugload.settings import Settings
 
@@ -91,3 +92,33 @@ def test_even_median_is_half_of_the_sum(readings):
     rows = [(2 * n + side, 10_000_000 * n, pair[side], 0, 0, 0) for n, pair in enumerate(pairs) for side in (0, 1)]
     got = {r.ts_ms: r["median"] for r in sliding_median(readings(rows), [], 3_600_000, Settings()).collect()}
     assert got == {10_000_000 * n: (a + b) / 2 for n, (a, b) in enumerate(pairs)}
+
+
+def counted_answers(spark, monkeypatch, most):
+    """Counts the Python groups; one of more than ``most`` rows fails."""
+    real, groups = sliding._answer, spark.sparkContext.accumulator(0)
+
+    def counting(*args):
+        answer = real(*args)
+
+        def run(pdf):
+            groups.add(1)
+            if len(pdf) > most:
+                raise ValueError(f"{len(pdf)} rows in one Python group")
+            return answer(pdf)
+
+        return run
+
+    monkeypatch.setattr(sliding, "_answer", counting)
+    return groups
+
+
+def test_small_blocks_share_groups_and_cells_stay_below_the_rows(data, spark, monkeypatch):
+    pdf, df = data
+    groups = counted_answers(spark, monkeypatch, 1 << 20)
+    got = sliding_median(df, [], WIDTH, Settings(group_rows=1, block_rows=16)).collect()
+    want = brute(pdf, [])
+    assert all(r["median"] == pytest.approx(want[(r.ts_ms,)][0], nan_ok=True) for r in got) and len(got) == len(want)
+    assert 0 < groups.value <= 16
+    for rows in (1, 100, 10_000, 10**7, 10**10):
+        assert (rows / sliding.dense_block_rows(rows, Settings(block_rows=16))) ** 2 <= rows
