@@ -3,10 +3,12 @@
 Time is cut into spans that are multiples of the width; a reading also goes into the next span if a window
 there can reach it. Spans are independent, so the work spreads over keys and time.
 
-* Usual case: a (key, span) has at most ``group_rows`` rows. Such spans are packed by
+* Usual case: a (key, span) has at most ``group_rows`` rows, and SPAN_ROWS whatever these are. Such spans are packed by
   hash into Python groups of about PACK_ROWS rows and one numpy pass answers all windows of a pack.
 * Dense case: larger spans go through ``_dense_medians``, which never puts a whole window into one task. The windows at consecutive readings differ by few rows, so for a block of readings only the rows that
   enter or leave during the block and a thin band of values around the median are needed; the rest is counted.
+
+So the rows of a Python group do not grow with the table.
 """
 
 from __future__ import annotations
@@ -28,7 +30,8 @@ from plugload.settings import Settings
 # the smallest id of that time to the block that answers it.
 OWN, PREVIOUS, CORE, BELOW, ABOVE, SKIP, EARLIER = range(7)
 
-# Rows of what is packed together into a Python group.
+# Rows of a Python group: of a span that is answered whole, and of what is packed together.
+SPAN_ROWS = 1 << 17
 PACK_ROWS = 1 << 16
 # Values that a bin of a dense span gives to the chunks of the span, per task of the join.
 SALT_ROWS = 1 << 18
@@ -83,7 +86,7 @@ def _sliding_median(df: DataFrame, keys: list[str], width_ms: int, s: Settings,
     spread = _into_spans(rows, width_ms, span_ms)
     if since is not None:  # earlier rows only fill windows
         spread = spread.withColumn("kind", F.when(F.col("ts_ms") < since, F.lit(PREVIOUS)).otherwise(F.col("kind")))
-    limit = s.group_rows
+    limit = min(s.group_rows, SPAN_ROWS)
     if 2 * largest <= limit:  # a span and what it copies from the one before
         return _packed_medians(spread, keys, width_ms, packs)
 

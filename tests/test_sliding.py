@@ -122,3 +122,16 @@ def test_small_blocks_share_groups_and_cells_stay_below_the_rows(data, spark, mo
     assert 0 < groups.value <= 16
     for rows in (1, 100, 10_000, 10**7, 10**10):
         assert (rows / sliding.dense_block_rows(rows, Settings(block_rows=16))) ** 2 <= rows
+
+
+@pytest.mark.parametrize("keys", [[], ["k"]])
+def test_python_groups_are_bounded(data, spark, monkeypatch, keys):
+    """Whatever group_rows allows, a span above SPAN_ROWS is cut and packs have about PACK_ROWS rows."""
+    pdf, df = data
+    monkeypatch.setattr(sliding, "SPAN_ROWS", 256, raising=False)
+    monkeypatch.setattr(sliding, "PACK_ROWS", 128)
+    counted_answers(spark, monkeypatch, 1000)
+    got = sliding_median(df, keys, WIDTH, Settings()).collect()
+    want = brute(pdf, keys)
+    assert len(got) == len(want)
+    assert all((np.nan if r["median"] is None else r["median"]) == pytest.approx(want[(*(r[k] for k in keys), r.ts_ms)][0], nan_ok=True) for r in got)
