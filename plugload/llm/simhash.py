@@ -11,9 +11,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
+from plugload.llm import similar
 from plugload.llm.common import as_bytes
 from plugload.llm.components import components
-from plugload.llm.similar import similar_documents  # noqa: F401
 from plugload.session import materialized
 
 BITS = 64
@@ -377,3 +377,26 @@ def near_duplicates(
     found = near_components(fps, radius, limit).select(F.col("fp").alias("_fp"), F.col("component").alias("component_id"))
     joined = prints.join(found, F.col("fp") == F.col("_fp"), "left")
     return joined.select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+
+
+def near_pairs(docs: DataFrame, shingle: int = 3, radius: int = 3, limit: int = BUCKET_ROWS) -> DataFrame:
+    """Pairs (a, b) of documents (doc_id, text) that join all whose fingerprints are linked: those of equal fingerprint with the
+    least of them, and the links between these."""
+    prints = materialized(fingerprints(docs, shingle=shingle).select("doc_id", "fp").distinct())
+    fps = materialized(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")))
+    equal = prints.join(fps, "fp").where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
+    return equal.union(near_links(fps, radius, limit))
+
+
+def similar_documents(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = 3
+) -> DataFrame:
+    """(doc_id, component_id): groups of texts joined by links of this similarity or more of their shingle sets.
+
+    Fingerprints of the shingles give the first links, by parts and thresholds as for ``near_duplicates``, and the sets decide
+    each of them. Similar texts may differ in more bits than any such search reaches (17 of 64 at similarity 0.83 in the
+    given documents), so texts that are still in different groups go on to the bands and rounds of
+    ``similar.similar_documents``, whose rules hold for the rest.
+    """
+    near = lambda texts: near_pairs(texts, shingle, radius)
+    return similar.similar_documents(docs, doc_id, text, shingle, similarity, near)

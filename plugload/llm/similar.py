@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -204,14 +204,23 @@ def nearest_pairs(dealt: DataFrame, similarity: float, nearest: int) -> DataFram
     return dealt.groupBy("key", "lo", "hi").applyInArrow(run, "key bigint, a bigint, b bigint, more boolean")
 
 
+def between_components(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose ends are in different components by labels (node, component)."""
+    side = lambda x: labels.select(F.col("node").alias(x), F.col("component").alias(f"of_{x}"))
+    joined = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
+    return joined.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
+
+
 def similar_documents(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8,
+    near: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """(doc_id, component_id): groups of texts joined by links of this Jaccard similarity or more of their shingle sets.
 
     Equal sets are one row in the search. Rows that share a band are candidates, if sizes and minima per bin allow the
     similarity; of pairs at 0.8 at least 0.99 are. Texts are read for such pairs only. The sets of a candidate pair are compared exactly before it is a link.
-    First each row is compared with the least one of its bucket. After that only buckets of several components are
+    ``near`` may give pairs (a, b) for the texts of distinct sets (doc_id, text); these are compared before all others.
+    Then each row is compared with the least one of its bucket. After that only buckets of several components are
     looked at, and in rounds each row with more and more of its nearest candidates of other components, until
     no such candidate was left out: no bucket is capped, and copies by the thousand do not make all their pairs.
     Other rules as for ``simhash.near_duplicates``; a text of no words is like no other text but another of no words.
@@ -224,8 +233,19 @@ def similar_documents(
     rows = sets.select(F.explode("keys").alias("key"), "rep")
     shared = rows.groupBy("key").count().where("count > 1").select("key")
     met = materialized(rows.join(shared, "key", "left_semi"))
-    tried = materialized(hub_pairs(met, facts, similarity))
-    links = materialized(verified(tried, texts, similarity, shingle))
+    hubs = hub_pairs(met, facts, similarity)
+    if near is None:
+        tried = materialized(hubs)
+        links = materialized(verified(tried, texts, similarity, shingle))
+    else:
+        distinct = texts.join(sets.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+        given = near(distinct).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
+        tried = materialized(given)
+        links = materialized(verified(tried, texts, similarity, shingle))
+        fresh = between_components(hubs, materialized(components(links))).join(tried, ["a", "b"], "left_anti")
+        fresh = materialized(fresh)
+        tried = tried.union(fresh)
+        links = links.union(materialized(verified(fresh, texts, similarity, shingle)))
     labels, nearest = materialized(components(links)), FIRST_NEAREST
     while True:
         asked = materialized(nearest_pairs(open_buckets(met, facts, labels), similarity, nearest))

@@ -112,3 +112,28 @@ def test_templates_below_the_bound_are_hardly_verified(spark, monkeypatch):
         assert got == {i: i - 10_000 if i >= 10_000 else i for i in got}
         found[n] = sum(asked)
     assert found[400] <= 3 * found[200] + 20 and found[400] <= 3 * 400
+
+
+def test_pipeline_stage_links_by_fingerprints_first(spark, monkeypatch):
+    """The stage asks the fingerprints; the sets still decide, and what the fingerprints miss is found by bands."""
+    from corpus_pipeline import drop_near_duplicates
+    from plugload.llm import simhash
+
+    rnd = random.Random(3)
+    words = lambda n: [f"w{rnd.randrange(10**9)}" for _ in range(n)]
+    texts, base = {}, words(300)
+    for k in range(40):
+        own = words(300)
+        texts[3 * k], texts[3 * k + 1] = " ".join(own), " ".join([*own[:-1], "end"])  # few bits apart
+        texts[3 * k + 2] = " ".join([*own[:270], *words(30)])  # 0.81, many bits apart
+    texts[1000], texts[1001] = " ".join(base * 1), " ".join([*base, *words(2) * 40])  # some bits apart, similarity decides
+    asked, given = [], []
+    links, verify = simhash.near_links, similar.verified
+    monkeypatch.setattr(simhash, "near_links", lambda *a, **k: (asked.append(1), links(*a, **k))[1])
+    monkeypatch.setattr(similar, "verified", lambda pairs, *rest: (given.append({tuple(r) for r in pairs.collect()}), verify(pairs, *rest))[1])
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts.items()], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    want, _ = brute_force(texts)
+    kept = {r["doc_id"] for r in drop_near_duplicates(spark, df, "").collect()}
+    assert kept == {i for i in texts if want[i] == i}
+    assert asked and sum((3 * k, 3 * k + 1) in given[0] for k in range(40)) >= 30
+    assert all((3 * k, 3 * k + 1) not in pairs for k in range(40) for pairs in given[1:] if (3 * k, 3 * k + 1) in given[0])
