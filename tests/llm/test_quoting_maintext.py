@@ -159,3 +159,18 @@ def test_given_pages(spark):
         blocks = [" ".join(html.unescape(re.sub(r"<[^>]*>", " ", b)).split()) for b in re.split(r"</?(?:p|h1)>", inside)]
         want = "\n\n".join(b for b in blocks if b)
         assert got[r["page_id"]]["text"] == want and got[r["page_id"]]["n_chars"] == len(want)
+
+
+@pytest.mark.parametrize("window_rows, block_rows", [(1 << 20, 1 << 20), (2, 4)])
+def test_suffixes_of_a_host_form_one_array(spark, window_rows, block_rows):
+    """The order over all tasks is that of the sorted suffixes, and runs are those of equal first words."""
+    rng = np.random.default_rng(1)
+    rows = [(h, k, [" ".join(rng.choice(list("abc"), 7)), " ".join(rng.choice(list("ab"), 5))]) for h in ("x", "y", "") for k in range(6)]
+    df = spark.createDataFrame(rows, "host string, page bigint, blocks array<string>").repartition(5)
+    got = M.host_suffix_array(df, 3, Settings(window_rows=window_rows, block_rows=block_rows)).collect()
+    want = []
+    for host in ("x", "y", ""):
+        found = sorted((" ".join(w[i : i + 3]), k, i) for h, k, b in rows if h == host for w in [" ".join(b).split()] for i in range(len(w) - 2))
+        runs = {text: n for n, text in enumerate(sorted({text for text, _, _ in found}), 1)}
+        want += [(host, k, i, runs[text]) for text, k, i in found]
+    assert sorted(map(tuple, got)) == sorted(want)
