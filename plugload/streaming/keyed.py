@@ -2,7 +2,7 @@
 
 ``in_event_order`` holds the readings of a key until the watermark has passed them and then hands them to a processor, sorted
 by time and id, whatever the order and the micro-batches in which they came. What a processor remembers between
-calls is its memory; it is part of the checkpointed state of the key.
+calls is its memory, one per key; it is part of the checkpointed state.
 """
 
 from __future__ import annotations
@@ -19,7 +19,9 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from plugload.functions.ranks import RankedValues
 
-STATE = "pending binary, memory binary, newest bigint"
+STATE = "pending binary, memories binary"
+# Keys whose hash is equal modulo this number share a state; part of a checkpoint.
+BUCKETS = 4096
 
 
 class Processor(Protocol):
@@ -46,49 +48,88 @@ def in_event_order(
 ) -> DataFrame:
     """Output rows of the processor with the keys; ``rows`` needs keys, ts_ms, id, the processor's columns and an event time.
 
-    Rows up to the watermark are final, as later ones of that time are dropped. A key's timer is set to its oldest
-    waiting row, so rows are released when the watermark moves, also without new ones. ``idle_ms`` removes the whole
-    state of a key that had no reading for so long (event time); off by default.
+    Rows up to the watermark are final, as later ones of that time are dropped. The state of many keys is kept together, by
+    a hash of the key: Spark's cost per state is far above that of a key's few readings. Each key has a memory of its
+    own. A bucket's timer is set to its oldest waiting row, so rows are released when the watermark moves, also without new
+    ones. ``idle_ms`` removes a key that had no reading for so long (event time); off by default.
     """
-    columns, names = list(processor.columns), [part.split()[0] for part in processor.output.split(", ")]
+    keys, columns = list(keys), list(processor.columns)
+    names = [part.split()[0] for part in processor.output.split(", ")]
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
     schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), processor.output])
 
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    def run(_bucket: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         watermark = max(state.getCurrentWatermarkMs(), 0)
-        waiting, memory, newest = [], None, 0
+        # Waiting rows: place of the key in ``held``, time, id, columns. Held: key, memory, when to expire, newest time.
+        waiting, held = [], []
         if state.exists:
-            pending, packed, newest = state.get
-            waiting, memory = [pickle.loads(pending)], processor.load(packed)
+            pending, packed = state.get
+            waiting, held = [pickle.loads(pending)], pickle.loads(packed)
+        places = {entry[0]: i for i, entry in enumerate(held)}
         for frame in frames:
-            some = [frame["ts_ms"].to_numpy(np.int64), frame["id"].to_numpy(np.int64)]
-            waiting.append([*some, *(frame[c].to_numpy(float) for c in columns)])
-        memory = processor.start() if memory is None else memory
-        data = [np.concatenate(part) for part in zip(*waiting)] if waiting else [np.empty(0, np.int64)] * (2 + len(columns))
-        newest = max(int(data[0].max(initial=0)), newest)
-        ready = data[0] <= watermark
-        if ready.any():
-            done = [part[ready] for part in data]
-            order = np.lexsort((done[1], done[0]))
-            done = [part[order] for part in done]
-            out = processor.advance(memory, done[0], done[1], done[2:])
-            if len(out[0]):
-                yield pd.DataFrame({**{k: [v] * len(out[0]) for k, v in zip(keys, key)}, **dict(zip(names, out))}, dtype=object)
-        rest = [part[~ready] for part in data]
-        wake = processor.expire(memory, watermark)
-        times = [int(rest[0].min()) - 1] if len(rest[0]) else []
-        times += [wake] if wake is not None else []
+            if len(frame):
+                place = _places(frame[keys], places, held)
+                some = [frame["ts_ms"].to_numpy(np.int64), frame["id"].to_numpy(np.int64)]
+                waiting.append([place, *some, *(frame[c].to_numpy(float) for c in columns)])
+        data = [np.concatenate(part) for part in zip(*waiting)] if waiting else [np.empty(0, np.int64)] * (3 + len(columns))
+        newest = np.array([entry[3] for entry in held], np.int64)
+        np.maximum.at(newest, data[0], data[1])
+        ready = data[1] <= watermark
+        done, rest = [part[ready] for part in data], [part[~ready] for part in data]
+        order = np.lexsort((done[2], done[1], done[0]))
+        done = [part[order] for part in done]
+        bounds = np.searchsorted(done[0], np.arange(len(held) + 1)).tolist()
+
+        owners, out = [], [[] for _ in names]
+        for i, (key, packed, wake, _) in enumerate(held):
+            first, after = bounds[i], bounds[i + 1]
+            if first < after or (wake is not None and wake <= watermark):
+                memory = processor.start() if packed is None else processor.load(packed)
+                if first < after:
+                    found = processor.advance(memory, *(part[first:after] for part in done[1:3]), [p[first:after] for p in done[3:]])
+                    owners += [key] * len(found[0])
+                    for column, part in zip(out, found):
+                        column += part
+                wake = processor.expire(memory, watermark)
+                packed = processor.dump(memory)
+            held[i] = (key, packed, wake, int(newest[i]))
+        if owners:
+            yield pd.DataFrame({**dict(zip(keys, zip(*owners))), **dict(zip(names, out))}, dtype=object)
+
         if idle_ms is not None:
-            if not len(rest[0]) and newest + idle_ms <= watermark:
-                state.remove()
-                return
-            times.append(newest + idle_ms)
-        state.update((pickle.dumps(rest), processor.dump(memory), newest))
+            kept = newest + idle_ms > watermark
+            kept[rest[0]] = True
+            rest[0] = (np.cumsum(kept) - 1)[rest[0]]
+            held = [entry for entry, keep in zip(held, kept) if keep]
+        if not held:
+            state.remove()
+            return
+        times = [int(rest[1].min()) - 1] if len(rest[1]) else []
+        times += [wake for _, _, wake, _ in held if wake is not None]
+        times += [last + idle_ms for *_, last in held] if idle_ms is not None else []
+        state.update((pickle.dumps(rest), pickle.dumps(held)))
         if times:
             state.setTimeoutTimestamp(max(min(times), watermark, 1))
 
-    wanted = rows.select(*keys, "ts", "ts_ms", "id", *(F.col(c).cast("double").alias(c) for c in columns))
-    return wanted.groupBy(*keys).applyInPandasWithState(run, schema, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    # Which keys are null is part of the bucket, so a key column of a bucket holds nulls only or none.
+    nulls = sum((F.col(k).isNull().cast("long") * (BUCKETS << i) for i, k in enumerate(keys)), F.lit(0))
+    bucket = (F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)) + nulls).alias("bucket")
+    wanted = rows.select(bucket, *keys, "ts", "ts_ms", "id", *(F.col(c).cast("double").alias(c) for c in columns))
+    return wanted.groupBy("bucket").applyInPandasWithState(run, schema, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def _places(frame: pd.DataFrame, places: dict[tuple, int], held: list[tuple]) -> np.ndarray:
+    """The place of each row's key in ``held``, where new keys are added."""
+    number = frame.groupby(list(frame.columns), sort=False, dropna=False).ngroup().to_numpy()
+    _, first = np.unique(number, return_index=True)
+    found = zip(*([None if pd.isna(v) else v for v in frame[k].iloc[first].tolist()] for k in frame.columns))
+    place = []
+    for key in found:
+        if key not in places:
+            places[key] = len(held)
+            held.append((key, None, None, 0))
+        place.append(places[key])
+    return np.array(place, np.int64)[number]
 
 
 class _Window:
