@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from plugload.llm.common import released
 from plugload.llm.components import components
 from plugload.session import materialized
 
@@ -20,7 +21,12 @@ SHARD_ROWS = 65_536
 #: A shard of long vectors has fewer rows: its graph must fit into one binary value and a task.
 SHARD_BYTES = 512 << 20
 MIN_SHARDS = 8
-BLOCK_ROWS = 16_384
+#: Points that ask one copy of a graph; they come to it in batches.
+BLOCK_ROWS = 65_536
+#: A graph travels and is stored in parts, so no row is large; so are the row groups that a reader takes at once.
+PART_BYTES = 256 << 10
+GROUP_BYTES = 16 << 20
+_ASKS = (1 << 31) - 1
 #: Points drawn for the audit, and how many of them should have links.
 AUDIT_ROWS = 256
 AUDIT_LINKED = 64
@@ -29,6 +35,10 @@ UNSURE_BEAM = 128
 TARGET_RECALL = 0.97
 _TOGETHER = 256
 _STEP = 4
+#: Places of beams or of a node's candidates that are held at once, whatever the widest of them is.
+_PLACES = 1 << 18
+#: Vectors that are scaled at once.
+_CHUNK = 4096
 
 
 class Graph:
@@ -79,7 +89,8 @@ class Graph:
         order = np.argsort(target, kind="stable")
         source, target = source[order], target[order]
         nodes, first, count = np.unique(target, return_index=True, return_counts=True)
-        for some in np.array_split(np.arange(len(nodes)), -(-len(nodes) // 1024) or 1):
+        wide = self.layers[k].shape[1] + int(count.max(initial=0))
+        for some in np.array_split(np.arange(len(nodes)), -(-len(nodes) // max(1, min(1024, _PLACES // wide))) or 1):
             if not len(some):
                 continue
             most = int(count[some].max())
@@ -157,50 +168,68 @@ class Graph:
             rows = np.arange(start, min(len(x), start + _TOGETHER))
             width = min(beam, len(self.vectors))
             while len(rows):
-                ids, sims = self._descend(x[rows], 0, width)
-                hit = (sims >= least) & (ids >= 0)
-                full = hit.all(axis=1) & (width < len(self.vectors))
-                for i in np.flatnonzero(~full):
-                    yield int(rows[i]), ids[i][hit[i]]
-                rows, width = rows[full], min(4 * width, len(self.vectors))
+                wider = []
+                for some in np.split(rows, range(0, len(rows), max(1, _PLACES // width))[1:]):
+                    ids, sims = self._descend(x[some], 0, width)
+                    hit = (sims >= least) & (ids >= 0)
+                    full = hit.all(axis=1) & (width < len(self.vectors))
+                    for i in np.flatnonzero(~full):
+                        yield int(some[i]), ids[i][hit[i]]
+                    wider.append(some[full])
+                rows, width = np.concatenate(wider), min(4 * width, len(self.vectors))
 
     def to_bytes(self, **more: np.ndarray) -> bytes:
+        """The graph and more arrays. Its vectors are those of ``exact`` in single precision if that is given."""
+        own = {} if "exact" in more else {"vectors": self.vectors}
         out = io.BytesIO()
-        np.savez(out, vectors=self.vectors, **{f"layer{k}": v for k, v in enumerate(self.layers)}, **more)
+        np.savez(out, **own, **{f"layer{k}": v for k, v in enumerate(self.layers)}, **more)
         return out.getvalue()
 
     @staticmethod
     def from_bytes(data: bytes) -> tuple[Graph, dict[str, np.ndarray]]:
         found = dict(np.load(io.BytesIO(data)))
         layers = [found[f"layer{k}"] for k in range(sum(k.startswith("layer") for k in found))]
-        return Graph(found["vectors"], layers), found
+        return Graph(found["exact"].astype(np.float32) if "exact" in found else found["vectors"], layers), found
 
 
 def _unit(vectors: np.ndarray) -> np.ndarray:
-    vectors = vectors.astype(np.float64)
-    vectors = vectors / np.abs(vectors).max(axis=1, keepdims=True, initial=1e-300)
-    return vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    out = np.empty(vectors.shape)
+    for start in range(0, len(vectors), _CHUNK):
+        some = vectors[start : start + _CHUNK].astype(np.float64)
+        some /= np.abs(some).max(axis=1, keepdims=True, initial=1e-300)
+        out[start : start + _CHUNK] = some / np.linalg.norm(some, axis=1, keepdims=True)
+    return out
 
 
-def _matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
-    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return np.asarray(column.flatten()).reshape(-1, dim)
 
 
+def _units(column: pa.ChunkedArray, dim: int) -> np.ndarray:
+    """Unit vectors of a column, without a second copy of it."""
+    out, at = np.empty((len(column), dim)), 0
+    for chunk in column.chunks:
+        out[at : at + len(chunk)] = _unit(_matrix(chunk, dim))
+        at += len(chunk)
+    return out
+
+
 def _verified(graph: Graph, exact: np.ndarray, x: np.ndarray, least: float, beam: int) -> Iterator[tuple[int, np.ndarray]]:
     for i, nodes in graph.links(x.astype(np.float32), least - 1e-4, beam):
         yield i, nodes[exact[nodes] @ x[i] >= least]
 
 
 def build_shards(points: DataFrame, least: float, beam: int) -> DataFrame:
-    """(dim, shard, graph, linked): the graph of each shard, with ids, copies and the least id that links inside it reach.
+    """(dim, shard, part, graph, linked): the graph of each shard, with ids, copies and the least id that links inside it reach.
 
-    linked has at most AUDIT_ROWS ids of points that have a link inside the shard.
+    A graph is cut into parts of PART_BYTES. linked has at most AUDIT_ROWS ids of points that have a link inside the
+    shard, in the first part.
     """
+    size = PART_BYTES
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         dim = key[0].as_py()
-        exact = _unit(_matrix(table.column("vector"), dim))
+        exact = _units(table.column("vector"), dim)
         graph, order = Graph.build(exact.astype(np.float32), seed=key[1].as_py())
         exact, ids = exact[order], np.asarray(table.column("rep"))[order]
         root, linked = np.arange(len(ids)), np.zeros(len(ids), bool)
@@ -218,13 +247,15 @@ def build_shards(points: DataFrame, least: float, beam: int) -> DataFrame:
                 if a != b:
                     root[max(a, b, key=lambda k: ids[k])] = min(a, b, key=lambda k: ids[k])
         group = ids[[find(i) for i in range(len(ids))]]
-        packed = graph.to_bytes(exact=exact, ids=ids, copies=np.asarray(table.column("copies"))[order], group=group)
+        packed = memoryview(graph.to_bytes(exact=exact, ids=ids, copies=np.asarray(table.column("copies"))[order], group=group))
+        parts = [packed[i : i + size] for i in range(0, len(packed), size)]
         return pa.table({
-            "dim": pa.array([dim], pa.int32()), "shard": pa.array([key[1].as_py()], pa.int32()), "graph": pa.array([packed], pa.binary()),
-            "linked": pa.array([np.sort(ids[linked])[:AUDIT_ROWS].tolist()], pa.list_(pa.int64())),
+            "dim": pa.array([dim] * len(parts), pa.int32()), "shard": pa.array([key[1].as_py()] * len(parts), pa.int32()),
+            "part": pa.array(range(len(parts)), pa.int32()), "graph": pa.array(parts, pa.binary()),
+            "linked": pa.array([np.sort(ids[linked])[:AUDIT_ROWS].tolist()] + [[]] * (len(parts) - 1), pa.list_(pa.int64())),
         })
 
-    return points.groupBy("dim", "shard").applyInArrow(run, "dim int, shard int, graph binary, linked array<bigint>")
+    return points.groupBy("dim", "shard").applyInArrow(run, "dim int, shard int, part int, graph binary, linked array<bigint>")
 
 
 def search_shards(
@@ -232,34 +263,59 @@ def search_shards(
 ) -> DataFrame:
     """(rep, n, back, groups): per point and shard the number of linked vectors there and the groups they belong to.
 
-    Points go to every shard of their dimension, in blocks of about block_rows; a task holds one graph and one block.
-    A second row per block and point of the shard has in back by how many vectors of the block it was found, so that a
-    link counts at both ends without a row per pair.
+    Points go to every shard of their dimension, in blocks of about block_rows; a task gets the parts of one graph, then
+    the points of one block in batches, so it holds a graph and a batch. A second row per block and point of the shard
+    has in back by how many vectors of the block it was found, so that a link counts at both ends without a row per pair.
     """
     blocks = max(1, -(-points.count() // block_rows))
-    asked = points.withColumn("block", F.pmod(F.xxhash64("rep", F.lit(3)), F.lit(blocks)).cast("int"))
-    every = F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard")
-    asked = asked.select("dim", "block", "rep", "copies", "vector", every)
-    spread = graphs.select("dim", "shard", "graph").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-
-    def run(key: tuple, queries: pa.Table, graph: pa.Table) -> pa.Table:
-        found = []
-        if queries.num_rows and graph.num_rows:
-            net, more = Graph.from_bytes(graph.column("graph")[0].as_py())
-            ids, x = np.asarray(queries.column("rep")), _unit(_matrix(queries.column("vector"), key[0].as_py()))
-            copies, back = np.asarray(queries.column("copies")), np.zeros(len(more["ids"]), np.int64)
-            for i, nodes in _verified(net, more["exact"], x, least, beam):
-                nodes = nodes[more["ids"][nodes] != ids[i]]
-                if len(nodes):
-                    back[nodes] += copies[i]
-                    found.append((ids[i], int(more["copies"][nodes].sum()), 0, np.unique(more["group"][nodes]).tolist()))
-            found += [(more["ids"][k], 0, int(back[k]), []) for k in np.flatnonzero(back)]
-        rep, n, back, groups = zip(*found) if found else ((), (), (), ())
-        return pa.table({"rep": pa.array(rep, pa.int64()), "n": pa.array(n, pa.int64()), "back": pa.array(back, pa.int64()),
-                         "groups": pa.array(groups, pa.list_(pa.int64()))})
-
-    keys = ["dim", "shard", "block"]
-    return asked.groupBy(*keys).cogroup(spread.groupBy(*keys)).applyInArrow(run, "rep bigint, n bigint, back bigint, groups array<bigint>")
+    block = F.pmod(F.xxhash64("rep", F.lit(3)), F.lit(blocks)).cast("int").alias("block")
+    shard = F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard")
+    asked = points.select("dim", F.lit(_ASKS).alias("part"), F.lit(None).cast("binary").alias("graph"), "rep", "copies", "vector", block, shard)
+    part = F.col("part") if "part" in graphs.columns else F.lit(0)
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")
+    empty = [F.lit(None).cast(points.schema[c].dataType).alias(c) for c in ("rep", "copies", "vector")]
+    rows = graphs.select("dim", part.cast("int").alias("part"), "graph", *empty, every, "shard").unionByName(asked)
+    rows = rows.repartitionById(shards * blocks, F.col("shard") * blocks + F.col("block")).sortWithinPartitions("dim", "part")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def answer(rep, n, back, groups) -> pa.RecordBatch:
+            types = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((rep, n, back, groups), types)], ["rep", "n", "back", "groups"])
+
+        def found_of() -> Iterator[pa.RecordBatch]:
+            if net is not None and len(hit := np.flatnonzero(back)):
+                yield answer(more["ids"][hit], np.zeros(len(hit), np.int64), back[hit], [[]] * len(hit))
+
+        dim, parts, net, more, back = None, [], None, {}, None
+        for batch in batches:
+            dims, asks = np.asarray(batch.column(0)), np.asarray(batch.column(1)) == _ASKS
+            edges = np.flatnonzero(np.append(True, (dims[1:] != dims[:-1]) | (asks[1:] != asks[:-1]))).tolist() if len(dims) else []
+            for first, after in zip(edges, [*edges[1:], len(dims)]):
+                some = batch.slice(first, after - first)
+                if dims[first] != dim:
+                    yield from found_of()
+                    dim, parts, net = int(dims[first]), [], None
+                if not asks[first]:
+                    parts += [value.as_buffer() for value in some.column(2)]
+                    continue
+                if net is None and parts:
+                    net, more = Graph.from_bytes(b"".join(parts))
+                    parts, back = [], np.zeros(len(more["ids"]), np.int64)
+                if net is None:
+                    continue
+                ids, copies, x = np.asarray(some.column(3)), np.asarray(some.column(4)), _unit(_matrix(some.column(5), dim))
+                found = []
+                for i, nodes in _verified(net, more["exact"], x, least, beam):
+                    nodes = nodes[more["ids"][nodes] != ids[i]]
+                    if len(nodes):
+                        back[nodes] += copies[i]
+                        found.append((ids[i], int(more["copies"][nodes].sum()), 0, np.unique(more["group"][nodes]).tolist()))
+                if found:
+                    yield answer(*zip(*found))
+        yield from found_of()
+
+    columns = ["dim", "part", "graph", "rep", "copies", "vector"]
+    return rows.select(*columns).mapInArrow(released(run), "rep bigint, n bigint, back bigint, groups array<bigint>")
 
 
 def _true_counts(points: DataFrame, sample: list, least: float) -> dict[int, int]:
@@ -276,7 +332,7 @@ def _true_counts(points: DataFrame, sample: list, least: float) -> dict[int, int
                 rows = table.filter(pa.compute.equal(table.column("dim"), dim))
                 if not rows.num_rows:
                     continue
-                hit = _unit(_matrix(rows.column("vector"), dim)) @ x.T >= least
+                hit = _units(rows.column("vector"), dim) @ x.T >= least
                 hit &= np.asarray(rows.column("rep"))[:, None] != ids[None, :]
                 n = (hit * np.asarray(rows.column("copies"))[:, None]).sum(axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n.astype(np.int64))], ["rep", "n"])
@@ -344,7 +400,7 @@ def near_vectors(
     shard_rows = max(1, min(shard_rows, SHARD_BYTES // (12 * size["dim"] + 5 * 4 * DEGREE)))
     shards = max(MIN_SHARDS, -(-size["n"] // shard_rows))
     dealt = points.withColumn("shard", F.pmod(F.xxhash64("rep"), F.lit(shards)).cast("int"))
-    graphs = materialized(build_shards(dealt, least, FIRST_BEAM))
+    graphs = materialized(build_shards(dealt, least, FIRST_BEAM), **{"parquet.block.size": GROUP_BYTES})
     beam = audited_beam(points, graphs, shards, least, block_rows, target)
     found = materialized(search_shards(points, graphs, shards, least, beam, block_rows))
     links = found.select(F.col("rep").alias("a"), F.explode("groups").alias("b")).where("a <> b")

@@ -142,3 +142,35 @@ def test_shards_are_bounded_by_bytes(spark, monkeypatch):
     monkeypatch.setattr(H, "SHARD_BYTES", 20_000)
     rng = np.random.default_rng(10)
     check(spark, groups(rng, 60, 24, 8))
+
+
+def test_graphs_travel_in_small_rows(spark, monkeypatch):
+    """Neither a stored row nor the memory of a search grows with the graph; a task takes its points in batches."""
+    monkeypatch.setattr(H, "PART_BYTES", 4000, raising=False)
+    rng = np.random.default_rng(11)
+    rows = groups(rng, 60, 24, 8)
+    points = points_of(spark, [v for _, v in rows])
+    graphs = H.build_shards(points.selectExpr("*", "cast(pmod(rep, 3) as int) as shard"), 0.9, H.FIRST_BEAM).persist()
+    sizes = [len(r["graph"]) for r in graphs.collect()]
+    assert max(sizes) <= 4000 and len(sizes) > 3
+    found = H.search_shards(points, graphs, 3, 0.9, 64, 100)
+    assert "FlatMapCoGroups" not in found._jdf.queryExecution().toString()
+    n = {r["rep"]: r["n"] for r in found.groupBy("rep").agg({"n": "sum"}).withColumnRenamed("sum(n)", "n").collect()}
+    x = H._unit(np.array([v for _, v in rows], np.float32))
+    assert all(n.get(i, 0) == hits - 1 for i, hits in enumerate((x @ x.T >= 0.9).sum(axis=1)))
+    mixed = rows + [(7000 + i, v[:20]) for i, v in rows[:40]] + [(8000 + i, [1.0, float(i)]) for i in range(5)]
+    check(spark, mixed, block_rows=40, shard_rows=50)
+
+
+def test_wide_beams_are_searched_in_pieces(monkeypatch):
+    rng = np.random.default_rng(12)
+    x = H._unit(np.ones((700, 16)) + rng.normal(size=(700, 16)) * 0.01)
+    graph, order = H.Graph.build(x.astype(np.float32))
+    want = {i: sorted(nodes.tolist()) for i, nodes in graph.links(x.astype(np.float32), 0.9, 16)}
+    widest, descend = [], H.Graph._descend
+    monkeypatch.setattr(H, "_PLACES", 2000, raising=False)
+    monkeypatch.setattr(H.Graph, "_descend", lambda self, x, k, beam, done=None: widest.append(len(x) * beam) or descend(self, x, k, beam, done))
+    got = {i: sorted(nodes.tolist()) for i, nodes in graph.links(x.astype(np.float32), 0.9, 16)}
+    assert got == want and len(got) == 700 and max(widest) <= 2000
+    again, _ = H.Graph.build(x.astype(np.float32))
+    assert all((a == b).all() for a, b in zip(again.layers, graph.layers))
