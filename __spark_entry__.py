@@ -8,6 +8,7 @@ from __future__ import annotations
 import importlib
 from collections.abc import Callable
 from dataclasses import replace
+from functools import reduce
 from importlib.util import find_spec
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -27,14 +28,17 @@ from plugload.sources.readings import (
     readings_from_events,
     slice_rows,
     stream_readings_from_events,
+    with_event_time,
 )
 from plugload.streaming import continuous as K, keyed, queries as S
-from plugload.streaming.tables import Tables
+from plugload.streaming.tables import Tables, follow_turns, write_turns
 
 HOUR_MS = 3_600_000
 # 6-hour slices and live data from 2024-01-23 00:00 UTC suit the density of the driver tables.
 SETTINGS = Settings(live_start_ms=1705968000000, slice_ms=6 * HOUR_MS)
 SAMPLE_SEED = 42
+# Rows of a micro-batch of a large table that is streamed in turns.
+TURN_ROWS = 1 << 20
 # So small that the driver tables go through the plans for groups that do not fit into one task.
 SMALL = replace(SETTINGS, group_rows=20, window_rows=200, block_rows=32)
 SMALL_WINDOWS = replace(SETTINGS, window_rows=2, block_rows=8)
@@ -348,12 +352,34 @@ def _stream_reading_with_global_median(spark, d):
     return _written(spark, rows).select("id", *PLUG, "ts_ms", "value", _r("global_median"))
 
 
+def _in_turns(spark, d):
+    """The readings as a stream of the events table that begins anew at each call, and whether it comes in turns.
+
+    A table of more than TURN_ROWS rows would be one micro-batch, whose state is the whole table. It is written in the
+    order of its times, as a stream would have brought it, and a micro-batch takes about TURN_ROWS rows.
+    """
+    readings = readings_from_events(spark, d)
+    turns = -(-readings.count() // TURN_ROWS)
+    if turns > 1:
+        folder = new_folder(spark, "turns")
+        ranged = readings.repartitionByRange(turns, "ts_ms").sortWithinPartitions("ts_ms").withColumn("turn", F.spark_partition_id())
+        if write_turns(ranged, "turn", folder):
+            return lambda: with_event_time(follow_turns(spark, folder, readings.schema)), True
+    return lambda: stream_readings_from_events(spark, d), False
+
+
 def _stream_q2a_changes(spark, d):
-    folder = new_folder(spark, "changes")
-    K.stream_outlier_changes(
-        stream_readings_from_events(spark, d), _global_medians(spark, d), SETTINGS.with_window(HOUR_MS), folder,
-        new_folder(spark, "state"), available_now=True,
-    ).awaitTermination()
+    stream, in_turns = _in_turns(spark, d)
+    settings = SETTINGS.with_window(HOUR_MS)
+    tables, folder = Tables(spark, new_folder(spark, "medians")), new_folder(spark, "changes")
+    K.stream_sliding_median(stream(), [], settings, tables.folder, new_folder(spark, "state"), available_now=True).awaitTermination()
+    medians = tables.follow("medians", K.GLOBAL_MEDIAN)
+    if in_turns:  # either side of the join waits for the other, so the medians of a turn come with its readings
+        batches = [tables.read("medians", [b], K.GLOBAL_MEDIAN).withColumn("turn", F.lit(b)) for b in tables.batches("medians")]
+        turns = new_folder(spark, "turns")
+        ordered = write_turns(reduce(DataFrame.union, batches).repartition("turn").sortWithinPartitions("turn", "ts_ms"), "turn", turns)
+        medians = follow_turns(spark, turns, K.GLOBAL_MEDIAN, ordered)
+    K.stream_outlier_changes(stream(), medians, settings, folder, new_folder(spark, "state"), available_now=True).awaitTermination()
     return Tables(spark, folder).all("changes", K.CHANGES).select("id", "ts_ms", "time_frame", *PLUG, _r("percentage"))
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from plugload.operators.blocks import row_numbers
-from plugload.session import is_folder, remove, rename, subfolders
+from plugload.session import file_times, is_folder, remove, rename, subfolders
 from plugload.settings import Settings
 
 
@@ -61,6 +61,22 @@ class Tables:
             remove(self.spark, self.path(table, b))
 
 
+def write_turns(rows: DataFrame, turn: str, folder: str) -> bool:
+    """Write rows as files that a stream takes one after the other, in the order of the column ``turn``.
+
+    Rows of a turn must be in one partition, which becomes a file. The file source goes by the times of files, so
+    these are set; False if the file system does not keep them, and then the order is not known.
+    """
+    rows.write.partitionBy(turn).parquet(folder)
+    return file_times(rows.sparkSession, folder, lambda path: (int(path.rsplit(f"/{turn}=", 1)[1].split("/")[0]), path))
+
+
+def follow_turns(spark: SparkSession, folder: str, schema: StructType | str, ordered: bool = True) -> DataFrame:
+    """The files of ``write_turns`` as a stream, one file per micro-batch; all files in one if their order is not known."""
+    reader = spark.readStream.schema(schema).option("recursiveFileLookup", "true")
+    return (reader.option("maxFilesPerTrigger", 1) if ordered else reader).parquet(folder)
+
+
 DELIVERED = "batch bigint, rows bigint, upto bigint, avg_latency_ms double, max_latency_ms bigint"
 
 
