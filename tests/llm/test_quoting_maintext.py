@@ -174,3 +174,37 @@ def test_suffixes_of_a_host_form_one_array(spark, window_rows, block_rows):
         runs = {text: n for n, text in enumerate(sorted({text for text, _, _ in found}), 1)}
         want += [(host, k, i, runs[text]) for text, k, i in found]
     assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_the_array_is_that_of_all_pages(spark):
+    """Pages that declare their text count for the others of their host, within and outside of it, and keep theirs."""
+    menu = "home news sport weather money travel food video music"
+    own = "a sentence that three articles of this host quote word by word"
+    box = "sign up now for our weekly letter of the best stories"
+    rows = [(i, "http://a.example/", f"<div>{box}</div><article><p>body {i}</p><p>{menu}</p><p>{own}</p></article>") for i in range(3)]
+    rows += [(20, "http://a.example/", f"<p>{menu}</p><p>no article here</p><p>{box}</p><p>my {own} too</p>")]
+    rows += [(21, "http://b.example/", f"<p>{menu}</p><p>no article here</p>"), (0, *rows[0][1:])]
+    got = {r["page_id"]: r["text"] for r in M.extract(pages(spark, rows).repartition(4)).collect()}
+    assert got[20] == "no article here\n\nmy too" and got[21] == f"{menu}\n\nno article here"
+    assert all(got[i] == f"body {i}\n\n{menu}\n\n{own}" for i in range(3))
+
+
+def test_keys_rule_out_no_repeat(spark):
+    """Counted by packs and by parts of a host, keys give what brute force over all windows gives."""
+    rng = np.random.default_rng(5)
+    words = [f"w{k}" for k in range(12)]
+    rows = [(h, k, [" ".join(rng.choice(words, 30))], [" ".join(rng.choice(words, 9))], bool(k % 3)) for h in ("x", "y") for k in range(40)]
+    df = spark.createDataFrame(rows, "host string, page bigint, blocks array<string>, outside array<string>, declared boolean").repartition(5)
+    maps = M.removable_maps(df, 3, 3)
+    found = {(r["host"], r["run"], r["page"], r["position"]) for r in M.host_suffix_array(df, 3, maps=maps).collect()}
+    places = {(h, p, at) for h, _, p, at in found}
+    seen = defaultdict(lambda: (set(), set()))
+    for host, page, blocks, outside, declared in rows:
+        for part, text in ((0, blocks[0]), (1, outside[0])):
+            w = text.split()
+            for i in range(len(w) - 2):
+                at, opened = seen[host, tuple(w[i : i + 3])]
+                at.add((page, i if part == 0 else -1 - i))
+                opened.add(not declared)
+    want = {(host, *place) for (host, _), (at, opened) in seen.items() if len({p for p, _ in at}) >= 3 and True in opened for place in at}
+    assert len(want) > 100 and want == places
